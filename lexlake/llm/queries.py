@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import matroska, token_output
+from . import matroska, token_counts, token_output
 
 QUERIES = {
+    "op7_token_counts": token_counts.op7_token_counts,
     "op4_media_columns": matroska.op4_media_columns,
     "op2_token_output": token_output.op2_token_output,
 }
