@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import matroska, token_counts, token_output, toxicity
+from . import lm_scoring, matroska, token_counts, token_output, toxicity
 
 QUERIES = {
     "op7_token_counts": token_counts.op7_token_counts,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op6_lm_scoring": lm_scoring.op6_lm_scoring,
     "op4_media_columns": matroska.op4_media_columns,
     "op2_token_output": token_output.op2_token_output,
 }
