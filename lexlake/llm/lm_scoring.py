@@ -25,7 +25,7 @@ class Settings:
     """order: the longest n-gram (2 or 3). strength: pseudo-count with which a context backs off to the shorter one."""
 
     order: int = 2
-    strength: float = 48.0
+    strength: float = 2048.0
 
 
 END = b""
