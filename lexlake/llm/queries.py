@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import lm_scoring, matroska, near_dedup, token_counts, token_output, toxicity
+from . import line_dedup, lm_scoring, matroska, near_dedup, token_counts, token_output, toxicity
 
 QUERIES = {
     "op7_token_counts": token_counts.op7_token_counts,
     "op10_toxicity": toxicity.op10_toxicity,
     "op6_lm_scoring": lm_scoring.op6_lm_scoring,
     "op5_near_dedup": near_dedup.op5_near_dedup,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_media_columns": matroska.op4_media_columns,
     "op2_token_output": token_output.op2_token_output,
 }
