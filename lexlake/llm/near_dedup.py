@@ -244,7 +244,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFra
 def against_leaders(sets: DataFrame, leaders: DataFrame) -> DataFrame:
     """(group, class, leader, inter, size, leader_size) of each class against its group's leader. A group's rows are spread over 16 joins of its leader."""
     salted = sets.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(16)))
-    leaders = leaders.select("group", F.col("class").alias("leader"), F.col("keys").alias("leader_keys"), F.explode(F.sequence(F.lit(0), F.lit(15))).cast("long").alias("salt"))
+    leaders = leaders.select("group", F.col("class").alias("leader"), F.col("keys").alias("leader_keys"), F.explode(F.expr("sequence(0L, 15L)")).alias("salt"))
 
     def run(batches):
         import numpy as np
@@ -341,6 +341,13 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     return out.select("doc_id", "n_shingles", component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def deduplicate(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """One document of each component, in all its columns. Rows that repeat its id go, too; rows without an id stay."""
+    kept = near_duplicates(docs, settings).where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).union(docs.where("doc_id is null"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, four-word shingles, similarity 0.8."""
     return near_duplicates(documents(spark, sf_dir), Settings(words=4))

@@ -6,8 +6,9 @@ score from each state at its begin to each at its end; a state is the number of
 crosses the boundary reaches over it. Matrices combine associatively under (max, +), in blocks of bounded size; down
 the same tree each chunk learns its two boundary states and is then traced back alone.
 
-Ids are exact, decode to the text they came from, and don't depend on how a text was cut. Ties go to the longer last
-piece. Null and empty texts have no ids. Rows with null or repeated ids are encoded each. Extra columns pass through.
+Ids decode to the text they came from, and their score does not depend on how a text was cut. Ties go to the longer last
+piece, but where a chunk ends either may be taken. Null and empty texts have no ids. Rows with null or repeated ids are
+encoded each. Extra columns pass through.
 """
 
 from __future__ import annotations

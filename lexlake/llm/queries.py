@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, line_dedup, lm_scoring, matroska, near_dedup, pieces, token_counts, token_output, toxicity
+from . import fingerprints, line_dedup, lm_scoring, matroska, mixing, near_dedup, pieces, token_counts, token_output, toxicity
 
 QUERIES = {
     "op7_token_counts": token_counts.op7_token_counts,
@@ -12,6 +12,7 @@ QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op8_sentencepiece": pieces.op8_sentencepiece,
+    "op1_mixing": mixing.op1_mixing,
     "op4_media_columns": matroska.op4_media_columns,
     "op2_token_output": token_output.op2_token_output,
 }
