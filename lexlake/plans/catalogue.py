@@ -1,7 +1,10 @@
-"""Named queries over the engine's operators, and the same in SQL."""
+"""All named queries over the engine's operators, and the same in SQL."""
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import browse, changes, records, reports, texts  # noqa: F401  they register their queries
+from .registry import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "browse_filtered_page"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
