@@ -37,7 +37,7 @@ class Settings:
     trees: int = 6
     branches: int = 2
     node: int = 256
-    levels: int = 3
+    levels: int = 2
     loose: float = 0.6
 
 
