@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,11 +36,9 @@ def diffs(versions: DataFrame, key: str, ordinal: str, text: str, context: int =
     pairs = versions.select(key, F.col(ordinal).alias("from"), F.lead(ordinal).over(nxt).alias("to"), F.coalesce(text, F.lit("")).alias("a"), F.lead(F.coalesce(text, F.lit(""))).over(nxt).alias("b")).where("to is not null")
 
     @F.pandas_udf("array<struct<type:string,text:string>>")
-    def unified(a, b):
+    def unified(a: pd.Series, b: pd.Series) -> pd.Series:
         import difflib
 
-        import pandas as pd
-
         def kind(line: str) -> str:
             # content that itself begins with --- or +++ counts as meta, too
             return "meta" if line.startswith(("---", "+++", "@@")) else "add" if line.startswith("+") else "remove" if line.startswith("-") else "context"

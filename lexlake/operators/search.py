@@ -26,7 +26,7 @@ def tokens(text) -> Column:
 
 def stemmed(word: Column) -> Column:
     """A light English stemmer: plural and common verb endings, left alone where fewer than three letters would be left."""
-    w = F.when((F.length(word) > 4) & word.endswith("ies"), F.concat(F.substring(word, F.lit(1), F.length(word) - 3), F.lit("y"))).when((F.length(word) > 4) & word.endswith("sses"), F.substring(word, F.lit(1), F.length(word) - 2))
+    w = F.when((F.length(word) > 4) & word.endswith("ies"), F.concat(F.substring(word, F.lit(1), F.length(word) - 3), F.lit("y"))).when((F.length(word) > 4) & word.rlike("(ss|x|z|ch|sh)es$"), F.substring(word, F.lit(1), F.length(word) - 2))
     w = w.when((F.length(word) > 3) & word.endswith("s") & ~word.endswith("ss"), F.substring(word, F.lit(1), F.length(word) - 1)).otherwise(word)
     return F.when((F.length(w) > 5) & w.endswith("ing"), F.substring(w, F.lit(1), F.length(w) - 3)).when((F.length(w) > 4) & w.endswith("ed"), F.substring(w, F.lit(1), F.length(w) - 2)).otherwise(w)
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lexlake.functions.strings import plain_text, sniffed, xml_text
 
@@ -11,8 +13,8 @@ BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset fo
 HIDDEN = frozenset("script style head title".split())
 
 
-@F.pandas_udf("string")
-def html_text(pages):
+@F.pandas_udf(StringType())
+def html_text(pages: pd.Series) -> pd.Series:
     """Text of pages: blocks end lines, scripts and the like are left out, entities are decoded."""
     from html.parser import HTMLParser
 
