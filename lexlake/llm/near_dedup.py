@@ -70,19 +70,34 @@ def shingles(raw: bytes, words: int):
     return np.unique(out)
 
 
+#: Keys of one pass, and for each signature size its permutations and two buffers: fresh temporaries would cost more than the arithmetic.
+PASS = 1024
+_scratch: dict[int, tuple] = {}
+
+
 def signature(keys, size: int):
-    """Minwise values of a set under `size` fixed permutations."""
+    """Minwise values of a set under `size` fixed permutations of 32-bit keys."""
     import numpy as np
 
-    rng = np.random.default_rng(20_001)
-    odd, shift = rng.integers(0, 1 << 63, size, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, size, np.uint64)
-    least = np.full(size, np.iinfo(np.uint64).max, np.uint64)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(keys), 4096):  # bounded memory for long texts
-            x = keys[None, at : at + 4096] * odd[:, None] + shift[:, None]
-            x ^= x >> np.uint64(32)
-            np.minimum(least, (x * np.uint64(0xD6E8FEB86659FD93)).min(1), least)
-    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    if size not in _scratch:
+        rng = np.random.default_rng(20_001)
+        odd, shift = rng.integers(0, 1 << 31, (size, 1), np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, (size, 1), np.uint32)
+        _scratch[size] = odd, shift, np.empty((size, PASS), np.uint32), np.empty((size, PASS), np.uint32)
+    odd, shift, x, y = _scratch[size]
+    high = (keys >> np.uint64(32)).astype(np.uint32)
+    least = np.full(size, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(high), PASS):
+        part = high[None, at : at + PASS]
+        a, b = x[:, : part.shape[1]], y[:, : part.shape[1]]
+        np.add(part, shift, out=a)
+        for _ in range(2):
+            np.right_shift(a, 15, out=b)
+            np.bitwise_xor(a, b, out=a)
+            np.multiply(a, odd, out=a)
+        np.right_shift(a, 16, out=b)
+        np.bitwise_xor(a, b, out=a)
+        np.minimum(least, a.min(1), least)
+    return least.view(np.int32)
 
 
 def class_key(keys) -> int | None:
