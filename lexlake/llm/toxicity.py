@@ -100,6 +100,10 @@ def training_rows(docs: DataFrame, marks: DataFrame, settings: Settings, keep=No
     return rows.mapInArrow(run, "toxic int, features array<int>, swap array<int>")
 
 
+#: Features of one pass of the fit.
+PART = 1 << 20
+
+
 def fit(rows, settings: Settings) -> Model:
     """Accelerated proximal gradient over the bounded sample. rows: a pyarrow table of training_rows."""
     size = 1 << settings.bits
@@ -110,30 +114,38 @@ def fit(rows, settings: Settings) -> Model:
 
     def flat(name):
         lists = rows[name].combine_chunks()
-        return np.asarray(lists.flatten()), np.repeat(np.arange(len(y)), np.asarray(lists.value_lengths()))
+        return np.asarray(lists.flatten()), np.repeat(np.arange(len(y), dtype=np.int32), np.asarray(lists.value_lengths()))
+
+    def parts(n):  # bounded temporaries
+        return (slice(at, at + PART) for at in range(0, n, PART))
 
     (f, doc), (s, of) = flat("features"), flat("swap")
+    del rows
     # buckets of few documents say nothing that carries over
-    pairs = np.unique(doc.astype(np.int64) * size + f)
-    held = np.bincount(pairs % size, minlength=size) >= settings.least_documents
+    in_documents, cuts = np.zeros(size, np.int64), np.searchsorted(doc, np.arange(0, len(y) + 500, 500))
+    for at, end in zip(cuts, cuts[1:]):
+        in_documents += np.bincount(np.unique(doc[at:end].astype(np.int64) * size + f[at:end]) % size, minlength=size)
+    held = in_documents >= settings.least_documents
     f, doc = f[held[f]], doc[held[f]]
     sign, s = np.sign(s), np.abs(s) - 1
     swaps = max(len(np.unique(of)), 1)
     w, v, momentum = np.zeros(size), np.zeros(size), 1.0
     bias = bias_v = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
-    scale = 1 / np.sqrt(1 + np.bincount(f, minlength=size) / len(y) * 4)  # common words get smaller steps
+    scale = 1 / np.sqrt(1 + sum((np.bincount(f[k], minlength=size) for k in parts(len(f))), np.zeros(size)) / len(y) * 4)  # common words get smaller steps
     step = 8.0
     loss_before = np.inf
     for _ in range(settings.steps):
-        z = np.bincount(doc, (scale * v)[f], len(y)) + bias_v
+        x = scale * v
+        z = sum((np.bincount(doc[k], x[f[k]], len(y)) for k in parts(len(f))), np.zeros(len(y))) + bias_v
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        change = np.bincount(of, sign * (scale * v)[s], len(y)) if len(s) else np.zeros(len(y))
+        change = np.bincount(of, sign * x[s], len(y)) if len(s) else np.zeros(len(y))
         loss = float(np.mean(np.logaddexp(0, z) - y * z) + settings.penalty * np.square(change).sum() / swaps / 2 + settings.l1 * np.abs(v).sum())
         if loss > loss_before * 1.02:  # too long a step
             step, momentum, v, bias_v, loss_before = step / 2, 1.0, w.copy(), bias, np.inf
             continue
         loss_before = loss
-        g = scale * np.bincount(f, (p - y)[doc], size) / len(y) + settings.l2 * v
+        miss = p - y
+        g = scale * sum((np.bincount(f[k], miss[doc[k]], size) for k in parts(len(f))), np.zeros(size)) / len(y) + settings.l2 * v
         if len(s):
             g += settings.penalty * scale * np.bincount(s, sign * change[of], size) / swaps
         new = v - step * g
