@@ -14,13 +14,15 @@ class WordEncoder:
 
     The pre-tokeniser never joins characters across an isolated space or newline, so such a text is the
     concatenation of its space-led words, each encoded once. Texts with any other white space go to the library whole.
+    literal: special tokens in a text are encoded as the characters that they are, so none of their ids occurs.
     """
 
-    def __init__(self, path: str, dtype: str = "<u4"):
+    def __init__(self, path: str, dtype: str = "<u4", literal: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = literal
         self.dtype = dtype
         self.cache: dict[str, bytes] = {}
 
@@ -49,7 +51,8 @@ class WordEncoder:
             self.cache.clear()
         split = []
         for x in texts:
-            isolated = len(x.split()) == x.count(" ") + x.count("\n") + 1 and "\0" not in x and "<|" not in x
+            # equal only without runs, edges and any other white space
+            isolated = x.replace("\n", " ").split(" ") == x.split() and "\0" not in x and "<|" not in x
             split.append(x.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if isolated else None)
         new = set().union(*(x for x in split if x)).difference(self.cache)
         if "\n" in new:
@@ -60,11 +63,11 @@ class WordEncoder:
         return [self.whole(x) if words is None else b"".join(map(get, words)) for x, words in zip(texts, split, strict=True)]
 
 
-_encoders: dict[tuple[str, str], WordEncoder] = {}
+_encoders: dict[tuple[str, str, bool], WordEncoder] = {}
 
 
-def encoder(path: str, dtype: str = "<u4") -> WordEncoder:
+def encoder(path: str, dtype: str = "<u4", literal: bool = False) -> WordEncoder:
     """This worker's encoder; workers are reused, and so is its cache."""
-    if (path, dtype) not in _encoders:
-        _encoders[path, dtype] = WordEncoder(path, dtype)
-    return _encoders[path, dtype]
+    if (path, dtype, literal) not in _encoders:
+        _encoders[path, dtype, literal] = WordEncoder(path, dtype, literal)
+    return _encoders[path, dtype, literal]

@@ -42,7 +42,7 @@ def write_flat_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: in
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc, end = encoder(tokenizer_path, dtype), np.array([end_id], dtype).tobytes()
+        enc, end = encoder(tokenizer_path, dtype, literal=True), np.array([end_id], dtype).tobytes()
         store, folder = open_folder(path)
         store.create_dir(folder, recursive=True)
         task, part, attempt = TaskContext.get().partitionId(), 0, uuid.uuid4().hex[:12]
