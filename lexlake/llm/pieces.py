@@ -142,19 +142,17 @@ class Pieces:
         """A normalised text's units: each begins at a cut."""
         if not self.cuts:
             return [text] if text else []
-        if SPACE * 2 in text:
+        if SPACE * 2 in text or "\0" in text:
             import re
 
             return re.findall(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+", text) if "\n" not in self.known else re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", text)
-        text = text.replace(SPACE, "\0" + SPACE) if "\0" not in text else text
-        if "\0" in text and SPACE not in text:
-            return [text]
+        text = text.replace(SPACE, "\0" + SPACE)
         if "\n" not in self.known:
             text = text.replace("\n", "\0\n\0")
         return [u for u in text.split("\0") if u]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.split(self.normalised(x)) if "\0" not in x else [self.normalised(x)] for x in texts]
+        split = [self.split(self.normalised(x)) for x in texts]
         flat = iter(self.unit_ids([u for s in split for u in s]))
         return [b"".join(next(flat) for _ in s) for s in split]
 
