@@ -375,3 +375,32 @@ def test_pipeline(spark, tmp_path):
     ids = {r["doc_id"] for r in out}
     toxic = {r["doc_id"] for r in spark.read.parquet(f"{d}/labels.parquet").where("toxic = 1").collect()}
     assert out and all(r["round_trip"] for r in out) and len(ids & toxic) <= 0.2 * len(toxic)
+
+
+def edited_lines(r, n_words, kind, share):
+    """A line of random words and a copy, edited in about that share of its words or characters."""
+    line = [f"{''.join(chr(97 + r.randrange(26)) for _ in range(r.randrange(2, 10)))}" for _ in range(n_words)]
+    a = " ".join(line)
+    if kind == "words":
+        for k in r.sample(range(n_words), max(1, round(n_words * share))):
+            line[k] = "".join(chr(97 + r.randrange(26)) for _ in range(len(line[k])))
+        return a, " ".join(line)
+    b = list(a)
+    for k in r.sample(range(len(b)), max(1, round(len(b) * share))):
+        b[k] = r.choice(["", b[k] + chr(97 + r.randrange(26)), chr(97 + r.randrange(26))])
+    return a, " ".join("".join(b).split())
+
+
+@pytest.mark.parametrize("kind, lo, hi, least", [("words", 0.0, 0.1, 0.98), ("words", 0.1, 0.25, 0.95), ("characters", 0.0, 0.05, 0.98), ("characters", 0.05, 0.1, 0.88)])
+def test_line_dedup_recall(rows, kind, lo, hi, least):
+    """Lines of 10 to 50 words that have the edit similarity are found, without any other bound."""
+    import random
+
+    r, texts = random.Random(11), []
+    while len(texts) < 400:
+        a, b = edited_lines(r, r.randrange(10, 51), kind, r.uniform(lo, hi))
+        if a != b and edit_distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9):
+            texts += [(len(texts), a), (len(texts) + 1, b)]
+    gone = {x["doc_id"] for x in line_dedup.dropped_lines(rows("doc_id bigint, text string", *texts)).collect()}
+    print(kind, lo, hi, len(gone), len(texts) // 2)
+    assert all(k % 2 for k in gone) and len(gone) >= least * len(texts) / 2
