@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share: spark.checkpoint.dir, and a new temporary folder only where that is unset."""
+    """Folder that the driver and all executors share: spark.checkpoint.dir. In local mode, where both are one machine, a new temporary folder if that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lexlake-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -24,7 +27,10 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str, **options) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
+    """Writes df as Parquet to the shared folder and reads it back: lineage ends there, and a lost executor costs nothing.
+
+    The written table is as lazy results need it, so it stays until whoever owns the folder clears it.
+    """
     path = new_path(df.sparkSession, name)
     df.write.options(compression="zstd", **options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

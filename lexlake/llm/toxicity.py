@@ -2,7 +2,7 @@
 
 Null texts count as empty and get the score of the bias; equal texts get equal scores; repeated labels of a document
 count as toxic if one of them is; rows without a label, and documents without one, teach nothing. Without any labelled
-row every score is 0. Extra columns of the input pass through `score`.
+row every score is 0. Extra columns of the input pass through `score`, which adds two under names that the caller can choose.
 """
 
 from __future__ import annotations
@@ -162,38 +162,43 @@ def train(docs: DataFrame, marks: DataFrame, settings: Settings = Settings(), ke
     return fit(training_rows(docs, marks, settings, keep).toArrow(), settings)
 
 
-_weights: dict[bytes, dict[str, float]] = {}
+_weights: dict[str, dict[str, float]] = {}
+#: Words whose weight a worker holds, and rows that it takes at once; they bound its memory, not results.
+CACHE_WORDS, ROWS = 100_000, 256
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 from 0.5)."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with score (0 to 1) and predicted (1 from 0.5), under the given names. Columns of the input with such a name are replaced; the others pass through."""
     nonzero = np.flatnonzero(model.weights).astype(np.int32)
     packed, bias, bits = (nonzero, model.weights[nonzero]), model.bias, model.bits
-    name = f"{hash((bias, len(nonzero), packed[1].tobytes()))}".encode()
+    tag = f"{hash((bias, len(nonzero), packed[1].tobytes()))}"
 
     def run(batches):
         import pyarrow as pa
 
         weight = dict(zip(packed[0].tolist(), packed[1].tolist()))
-        known = _weights.setdefault(name, {})
+        if tag not in _weights:
+            _weights.clear()
+        known = _weights.setdefault(tag, {})
         for batch in batches:
-            z = []
-            for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
-                total = bias
-                if len(known) > 500_000:
-                    known.clear()
-                for token in sorted(set((text or "").lower().split())):
-                    if (x := known.get(token)) is None:
-                        x = known[token] = sum(weight.get(b, 0.0) for b in word_features(token, bits))
-                    total += x
-                z.append(total)
-            p = 1 / (1 + np.exp(-np.clip(np.array(z, float), -700, 700)))
-            p = np.where(np.isneginf(np.array(z, float)), 0.0, p)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
-
-    kept = docs.drop("score", "predicted")
+            for at in range(0, batch.num_rows, ROWS):
+                part, z = batch.slice(at, ROWS), []
+                for text in part.column(part.schema.get_field_index(text_col)).to_pylist():
+                    total = bias
+                    if len(known) > CACHE_WORDS:
+                        known.clear()
+                    for token in sorted(set((text or "").lower().split())):
+                        if (x := known.get(token)) is None:
+                            x = known[token] = sum(weight.get(b, 0.0) for b in word_features(token, bits))
+                        total += x
+                    z.append(total)
+                p = 1 / (1 + np.exp(-np.clip(np.array(z, float), -700, 700)))
+                p = np.where(np.isneginf(np.array(z, float)), 0.0, p)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*part.schema.names, *names])
+
+    kept = docs.drop(*names)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(run, f"{fields}, score double, predicted int")
+    return kept.mapInArrow(run, f"{fields}, `{names[0]}` double, `{names[1]}` int")
 
 
 def teaches() -> Column:
