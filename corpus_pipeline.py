@@ -12,7 +12,8 @@ from lexlake.llm.common import documents, labels, materialise
 def toxic_documents_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
     model = toxicity.train(docs, labels(spark, sf_dir), keep=toxicity.teaches())
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    scored = toxicity.score(docs, model, names=("toxicity score", "toxicity verdict"))
+    return scored.where("`toxicity verdict` = 0").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def repeated_lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
