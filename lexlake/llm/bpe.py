@@ -4,70 +4,144 @@ from __future__ import annotations
 
 import os
 
-#: Entries that a worker's cache holds before it starts anew; bounds memory, not results.
+#: Words that a worker's cache holds before it starts anew, and bytes of text that are encoded at once; they bound memory, not results.
 CACHE_WORDS = 400_000
+SLICE_BYTES = 6 << 20
 NEWLINE_ID = 198
+#: Texts with any of these go to the library whole: edges and runs of white space, white space other than blanks and newlines, NUL, special tokens.
+WHOLE = r"^[ \n]|[ \n]$|[ \n][ \n]|[\x00\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]|<\|"
 
 
 class WordEncoder:
-    """Encodes whole texts; ids come as little-endian bytes of `dtype`.
+    """Encodes columns of whole texts.
 
-    The pre-tokeniser never joins characters across an isolated space or newline, so such a text is the
-    concatenation of its space-led words, each encoded once. Texts with any other white space go to the library whole.
+    The pre-tokeniser never joins characters across an isolated blank or newline, so such a text is the concatenation of
+    its blank-led words, each encoded once; Arrow cuts and numbers them, and their ids are gathered from one table.
     literal: special tokens in a text are encoded as the characters that they are, so none of their ids occurs.
     """
 
-    def __init__(self, path: str, dtype: str = "<u4", literal: bool = False):
+    def __init__(self, path: str, literal: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = literal
-        self.dtype = dtype
-        self.cache: dict[str, bytes] = {}
+        self.clear()
 
-    def whole(self, text: str) -> bytes:
+    def clear(self) -> None:
+        """An empty cache: words[w] is the row of starts and counts that says where the word's ids are in the table."""
         import numpy as np
 
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        self.words: dict[str, int] = {}
+        self.table, self.used = np.empty(1 << 20, "<u4"), 0
+        self.starts, self.counts = np.empty(CACHE_WORDS * 2, np.int64), np.empty(CACHE_WORDS * 2, np.int64)
+
+    def whole(self, text: str):
+        import numpy as np
+
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def keep(self, words: list[str], counts, ids) -> None:
+        """Adds words, whose ids stand one behind another, to the cache."""
+        import numpy as np
+
+        while self.used + len(ids) > len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+        while len(self.words) + len(words) > len(self.starts):
+            self.starts, self.counts = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.counts))
+        rows = slice(len(self.words), len(self.words) + len(words))
+        self.starts[rows], self.counts[rows] = self.used + np.cumsum(counts) - counts, counts
+        self.table[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.words.update(zip(words, range(rows.start, rows.stop)))
 
     def learn(self, words: list[str]) -> None:
-        """Puts the words' ids into the cache. They hold no newline unless they are one, so one call with newlines between them serves all."""
+        """Words hold no newline unless they are one, so one call with newlines between them serves all."""
         import numpy as np
 
-        if not words:
+        plain = [w for w in words if w != "\n"]
+        if len(plain) < len(words):
+            self.keep(["\n"], np.array([1]), self.whole("\n"))
+        if not plain:
             return
-        ids = np.array(self.tokenizer.encode("\n".join(words), add_special_tokens=False).ids, dtype=self.dtype)
-        parts = np.split(ids, np.flatnonzero(ids == NEWLINE_ID))
-        if len(parts) == len(words):
-            self.cache[words[0]] = parts[0].tobytes()
-            for word, part in zip(words[1:], parts[1:], strict=True):
-                self.cache[word] = part[1:].tobytes()
+        ids = self.whole("\n".join(plain))
+        ends = np.append(np.flatnonzero(ids == NEWLINE_ID), len(ids))
+        if len(ends) == len(plain):
+            self.keep(plain, np.diff(ends, prepend=-1) - 1, ids[ids != NEWLINE_ID])
         else:
-            self.cache.update((w, self.whole(w)) for w in words)
+            parts = [self.whole(w) for w in plain]
+            self.keep(plain, np.array([len(x) for x in parts]), np.concatenate(parts))
+
+    def by_words(self, texts):
+        """(ids, number of ids of each text) of texts that can be cut into words."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        cut = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0")
+        lists = pc.split_pattern(cut, "\0")
+        numbered = lists.flatten().dictionary_encode()
+        own = numbered.dictionary.to_pylist()
+        if len(self.words) > CACHE_WORDS:
+            self.clear()
+        new = [w for w in own if w not in self.words]
+        self.learn(new)
+        rows = np.fromiter(map(self.words.__getitem__, own), np.int64, len(own))[np.asarray(numbered.indices)]
+        counts = self.counts[rows]
+        ends = np.cumsum(counts)
+        at = np.repeat(self.starts[rows] - (ends - counts), counts)
+        at += np.arange(len(at))
+        of_text = np.diff(np.append(0, ends)[np.asarray(lists.offsets) - lists.offsets[0].as_py()])
+        return self.table[at], of_text
+
+    def encode_slice(self, texts):
+        """(ids, number of ids of each text) of an Arrow array of texts without nulls."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        whole = np.asarray(pc.match_substring_regex(texts, WHOLE)) | (np.asarray(pc.binary_length(texts)) == 0)
+        ids, counts = self.by_words(texts.filter(pa.array(~whole))) if not whole.all() else (np.empty(0, "<u4"), np.empty(0, np.int64))
+        if not whole.any():
+            return ids, counts
+        parts = [self.whole(x) for x in texts.filter(pa.array(whole)).to_pylist()]
+        all_counts = np.empty(len(texts), np.int64)
+        all_counts[~whole], all_counts[whole] = counts, [len(x) for x in parts]
+        out, of_whole = np.empty(all_counts.sum(), "<u4"), np.repeat(whole, all_counts)
+        out[~of_whole], out[of_whole] = ids, np.concatenate(parts)
+        return out, all_counts
+
+    def slices(self, texts):
+        """(first row, number of rows, ids, number of ids of each text) over an Arrow array of texts without nulls, in slices of bounded size (or one text)."""
+        import numpy as np
+        import pyarrow.compute as pc
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        split = []
-        for x in texts:
-            # equal only without runs, edges and any other white space
-            isolated = x.replace("\n", " ").split(" ") == x.split() and "\0" not in x and "<|" not in x
-            split.append(x.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if isolated else None)
-        new = set().union(*(x for x in split if x)).difference(self.cache)
-        if "\n" in new:
-            new.discard("\n")
-            self.cache["\n"] = self.whole("\n")
-        self.learn(sorted(new))
-        get = self.cache.__getitem__
-        return [self.whole(x) if words is None else b"".join(map(get, words)) for x, words in zip(texts, split, strict=True)]
+        ends = np.cumsum(np.asarray(pc.binary_length(texts)), dtype=np.int64)
+        at = 0
+        while at < len(texts):
+            n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")) - at)
+            yield at, n, *self.encode_slice(texts.slice(at, n))
+            at += n
 
 
-_encoders: dict[tuple[str, str, bool], WordEncoder] = {}
+_encoders: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def encoder(path: str, dtype: str = "<u4", literal: bool = False) -> WordEncoder:
+def encoder(path: str, literal: bool = False) -> WordEncoder:
     """This worker's encoder; workers are reused, and so is its cache."""
-    if (path, dtype, literal) not in _encoders:
-        _encoders[path, dtype, literal] = WordEncoder(path, dtype, literal)
-    return _encoders[path, dtype, literal]
+    if (path, literal) not in _encoders:
+        _encoders[path, literal] = WordEncoder(path, literal)
+    return _encoders[path, literal]
+
+
+def with_end(ids, counts, end: int | None):
+    """ids and counts with the end id behind each text's ids."""
+    import numpy as np
+
+    if end is None:
+        return ids, counts
+    counts = counts + 1
+    out, ends = np.empty(len(ids) + len(counts), ids.dtype), np.cumsum(counts) - 1
+    own = np.ones(len(out), bool)
+    own[ends] = False
+    out[own], out[ends] = ids, end
+    return out, counts

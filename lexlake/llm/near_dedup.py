@@ -2,13 +2,13 @@
 
 A document's set are its distinct word shingles. Equal sets form a class and only classes go on. Independent trees
 branch the classes by the values of selected minwise tokens; a node that is small enough is compared exhaustively on
-signatures, a larger one branches again by tokens that its own path selects. What a tree can't make small although
-its members agree on every token of the path is one candidate group as a whole. Connected candidates are then checked
-on full sets, so that links are exact; in groups of any size a leader stands for all copies close enough to it.
+signatures, a larger one branches again by tokens that its own path selects, until all are small. Before it does, its
+members meet one of them, the leader: those that look like it become candidates with it, and those that look nearly equal
+to it stay behind, as the leader stands for them; so a node full of near copies is done at once. Connected candidates are
+then checked on full sets, so that links are exact; in groups of any size a leader stands for all copies close enough to it.
 
 Null and blank texts have empty sets and no links. Rows with a null doc_id take part, but can't be named: a component's
-id is its smallest doc_id that isn't null, and such rows are kept if their component has none. Repeated rows are links
-of a component like any copies.
+id is its smallest doc_id that isn't null. Repeated rows are links of a component like any copies.
 """
 
 from __future__ import annotations
@@ -26,9 +26,11 @@ from .graph import components
 class Settings:
     """words: of a shingle. percent: least Jaccard similarity of a link.
 
-    trees, branches: with two branches a pair at similarity 0.8 parts in a tree with probability below 0.07, in all six
-    below 1e-6. node: most classes that are compared exhaustively at once. levels: of branching. loose: least share of
-    equal signature values of a candidate, four standard deviations below 0.8 with 64 values.
+    trees, branches: with two branches a pair at similarity 0.8 parts at a branching with probability 0.04, and is left
+    by all branches of a tree of three levels with probability below 0.1; by all six trees, below 1e-6. node: most
+    classes that are compared exhaustively at once. loose: least share of equal signature values of a candidate, six
+    standard deviations below 0.8 with 64 values. close: that of members for which a leader stands; whatever is linked
+    with these has similarity 0.65 or so to the leader, well above loose.
     """
 
     words: int = 5
@@ -37,10 +39,14 @@ class Settings:
     trees: int = 6
     branches: int = 2
     node: int = 256
-    levels: int = 2
-    loose: float = 0.6
+    loose: float = 0.5
+    close: float = 0.9
 
 
+#: What a text with a set has: a character that isn't ASCII white space.
+NOT_BLANK = r"[^ \t-\r]"
+#: Words whose keys a worker holds; bounds its memory, not results.
+CACHE_WORDS = 300_000
 _words: dict[bytes, int] = {}
 
 
@@ -52,7 +58,7 @@ def shingles(raw: bytes, words: int):
     tokens = raw.lower().split()
     if not tokens:
         return np.empty(0, np.uint64)
-    if len(_words) > 1_000_000:
+    if len(_words) > CACHE_WORDS:
         _words.clear()
     keys = []
     for w in tokens:
@@ -106,24 +112,32 @@ def class_key(keys) -> int | None:
     return xxhash.xxh3_64_intdigest(keys.tobytes()) - (1 << 63) if len(keys) else None
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, text_key): the key tells rows apart that have no id or the same one."""
+    return docs.select("doc_id", text_of().alias("text")).withColumn("text_key", F.xxhash64("text"))
+
+
 def shingled(docs: DataFrame, settings: Settings) -> DataFrame:
-    """(doc_id, n_shingles, class, signature) of each row; class is null for an empty set."""
+    """(doc_id, text_key, n_shingles, class, signature) of each row; class is null for an empty set."""
     words, size = settings.words, settings.signature
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
             n, classes, sigs = [], [], []
-            for raw in batch.column(1).cast(pa.binary()).to_pylist():
-                keys = shingles(raw, words)
+            for text in batch.column(1).cast(pa.binary()):
+                keys = shingles(text.as_py(), words)
                 n.append(len(keys))
                 classes.append(class_key(keys))
                 sigs.append(signature(keys, size) if len(keys) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(sigs, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "class", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(sigs, pa.list_(pa.int32()))], ["doc_id", "text_key", "n_shingles", "class", "signature"])
+
+    return keyed(docs).mapInArrow(run, f"doc_id {id_type(docs)}, text_key bigint, n_shingles bigint, class bigint, signature array<int>")
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, class bigint, signature array<int>")
+
+def id_type(docs: DataFrame) -> str:
+    return docs.schema["doc_id"].dataType.simpleString()
 
 
 def branch(nodes: DataFrame, settings: Settings) -> DataFrame:
@@ -203,25 +217,33 @@ def compare_nodes(members: DataFrame, settings: Settings) -> DataFrame:
     return members.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a bigint, b bigint")
 
 
+def agreement(a: str, b: str) -> str:
+    """Number of places in which two signatures agree."""
+    return f"aggregate(zip_with({a}, {b}, (x, y) -> if(x = y, 1, 0)), 0, (n, x) -> n + x)"
+
+
 def candidates(classes: DataFrame, settings: Settings) -> DataFrame:
     """Candidate edges (a, b) of the trees. classes: (class, signature)."""
     roots = classes.select(F.explode(F.array(*(F.lit(t).cast("long") for t in range(settings.trees)))).alias("node"), "class", "signature")
-    nodes = materialise(branch(roots, settings), "nodes")
-    found = []
-    for level in range(settings.levels):
+    nodes, found = branch(roots, settings), []
+    while True:
+        nodes = materialise(nodes.distinct(), "nodes")
         sizes = nodes.groupBy("node").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("class")).alias("x"), F.sum(F.shiftrightunsigned(F.xxhash64("class", F.lit(1)), 24)).alias("y")).where("size > 1")
-        # many nodes have the same members: one of them is enough
-        sizes = materialise(sizes.groupBy("size", "x", "y").agg(F.min("node").alias("node")).select("node", "size"), "node-sizes")
+        # many small nodes have the same members: comparing one of them is enough
+        same = F.when(F.col("size") > settings.node, F.col("node"))
+        sizes = materialise(sizes.groupBy("size", "x", "y", same.alias("own")).agg(F.min("node").alias("node")).select("node", "size"), "node-sizes")
         small = nodes.join(sizes.where(F.col("size") <= settings.node), "node").join(classes, "class").select("node", "class", "signature")
         found.append(materialise(compare_nodes(small, settings), "candidates"))
-        large = nodes.join(sizes.where(F.col("size") > settings.node).select("node"), "node")
-        if level + 1 < settings.levels:
-            if sizes.where(F.col("size") > settings.node).isEmpty():
-                break
-            nodes = materialise(branch(large.join(classes, "class"), settings), "nodes")
-        else:
-            leaders = large.groupBy("node").agg(F.min("class").alias("b"))
-            found.append(large.join(leaders, "node").select(F.col("class").alias("a"), "b"))
+        large = sizes.where(F.col("size") > settings.node).select("node")
+        if large.isEmpty():
+            break
+        members = nodes.join(large, "node").join(classes, "class")
+        leaders = nodes.join(large, "node").groupBy("node").agg(F.min_by("class", F.xxhash64("class", "node")).alias("class"))
+        leaders = leaders.join(classes, "class").select("node", F.col("class").alias("leader"), F.col("signature").alias("leads"))
+        told = members.join(leaders, "node").withColumn("agree", F.expr(agreement("signature", "leads")))
+        told = materialise(told.select("node", "class", "signature", "leader", "agree"), "told")
+        found.append(told.where((F.col("class") != F.col("leader")) & (F.col("agree") >= settings.loose * settings.signature)).select(F.col("class").alias("a"), F.col("leader").alias("b")))
+        nodes = branch(told.where((F.col("class") != F.col("leader")) & (F.col("agree") < settings.close * settings.signature)), settings)
     edges = found[0]
     for more in found[1:]:
         edges = edges.union(more)
@@ -238,21 +260,20 @@ def same(x, y) -> int:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
-    """(group, class, keys) of the wanted classes, computed from the text of one document each. wanted: (doc_id, class, group)."""
+    """(group, class, keys) of the wanted classes, computed from one row each. wanted: (doc_id, text_key, class, group)."""
     words = settings.words
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                keys = [shingles(raw, words) for raw in part.column(2).cast(pa.binary()).to_pylist()]
-                fits = pa.array([class_key(k) == c for k, c in zip(keys, part.column(1).to_pylist())])  # repeated ids may have other texts
-                out = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([k.tobytes() for k in keys], pa.binary())], ["group", "class", "keys"])
-                yield out.filter(fits)
-
-    rows = docs.select("doc_id", text_of().alias("text")).join(wanted, "doc_id").select("group", "class", "text")
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                keys = [shingles(raw, words).tobytes() for raw in part.column(2).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.binary())], ["group", "class", "keys"])
+
+    rows, wanted = keyed(docs), wanted.withColumnsRenamed({"doc_id": "of", "text_key": "key"})
+    rows = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("key"))).select("group", "class", "text")
     return rows.mapInArrow(run, "group bigint, class bigint, keys binary").dropDuplicates(["class"])
 
 
@@ -309,7 +330,7 @@ def verify_blocks(sets: DataFrame, settings: Settings, block: int) -> DataFrame:
     return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint")
 
 
-def links(sets: DataFrame, settings: Settings, rounds: int = 4) -> DataFrame:
+def links(sets: DataFrame, settings: Settings, rounds: int = 12) -> DataFrame:
     """True links (a, b) that connect what the true links within each group connect. sets: (group, class, keys).
 
     In a large group, all are compared with a leader. Let g be the largest similarity below the threshold t. Whoever is
@@ -338,29 +359,38 @@ def links(sets: DataFrame, settings: Settings, rounds: int = 4) -> DataFrame:
     return edges
 
 
-def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row: components of links at the threshold; the smallest doc_id of each is kept."""
+def with_components(docs: DataFrame, settings: Settings) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component, first) of every row: component is null for an empty set, first is the component's first (nameless, doc_id, text_key)."""
     rows = materialise(shingled(docs, settings), "shingled")
-    classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
+    named = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")
+    classes = rows.where("class is not null").groupBy("class").agg(F.min(named).alias("first"), F.min("signature").alias("signature"))
     classes = materialise(classes, "classes")
     grouped = materialise(components(candidates(classes.select("class", "signature"), settings)), "groups")
-    wanted = classes.join(grouped, classes["class"] == grouped["node"]).select("doc_id", "class", F.col("component").alias("group"))
+    wanted = classes.join(grouped, classes["class"] == grouped["node"]).select("first.doc_id", "first.text_key", "class", F.col("component").alias("group"))
     sets = materialise(full_sets(docs, wanted, settings), "sets")
-    joined = components(links(sets, settings))
-    of_class = classes.select("class", "doc_id").join(joined.withColumnRenamed("node", "class"), "class", "left").select("class", "doc_id", F.coalesce("component", "class").alias("component"))
+    joined = components(links(sets, settings)).withColumnRenamed("node", "class")
+    of_class = classes.select("class", "first").join(joined, "class", "left").select("class", "first", F.coalesce("component", "class").alias("component"))
     of_class = materialise(of_class, "class-components")
-    least = of_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    ids = of_class.join(least, "component").select("class", "component_id")
-    out = rows.select("doc_id", "n_shingles", "class").join(ids, "class", "left")
-    component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    least = of_class.groupBy("component").agg(F.min("first").alias("first"))
+    ids = of_class.select("class", "component").join(least, "component")
+    return rows.select("doc_id", "text_key", "n_shingles", "class").join(ids, "class", "left").drop("class")
+
+
+def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row: components of links at the threshold; the smallest doc_id of each is kept."""
+    out = with_components(docs, settings)
+    component = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id")
     return out.select("doc_id", "n_shingles", component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicate(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One document of each component, in all its columns. Rows that repeat its id go, too; rows without an id stay."""
-    kept = near_duplicates(docs, settings).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).union(docs.where("doc_id is null"))
+    """One row of each component, in all its columns: that with the smallest doc_id, null ids last, then by a hash of the text; of rows equal in both, any one. Rows with an empty set all stay."""
+    found = with_components(docs, settings)
+    first = found.where("component is not null").select(F.col("first.doc_id").alias("of"), F.col("first.text_key").alias("key")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(text_of()).alias("hash"), (F.col("text").isNull() | ~F.col("text").rlike(NOT_BLANK)).alias("blank"))
+    same = rows["row.doc_id"].eqNullSafe(first["of"]) & (rows["hash"] == first["key"])
+    kept = rows.where("not blank").join(first, same, "left_semi").withColumn("of", F.col("row.doc_id")).dropDuplicates(["of", "hash"])
+    return kept.select("row.*").union(rows.where("blank").select("row.*"))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import encoder
+from .bpe import encoder, with_end
 from .common import documents, materialise, new_path, text_of
 
 #: Ids that one block of the scan has: 8 MB of 16-bit ids.
@@ -42,7 +42,7 @@ def write_flat_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: in
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc, end = encoder(tokenizer_path, dtype, literal=True), np.array([end_id], dtype).tobytes()
+        enc = encoder(tokenizer_path, literal=True)
         store, folder = open_folder(path)
         store.create_dir(folder, recursive=True)
         task, part, attempt = TaskContext.get().partitionId(), 0, uuid.uuid4().hex[:12]
@@ -54,17 +54,16 @@ def write_flat_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: in
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([name] * len(ids), pa.string()), pa.array(places, pa.int64()), pa.array([size // width] * len(ids), pa.int64())], ["doc_id", "file", "place", "n_ids"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
+            for at, n, tokens, counts in enc.slices(batch.column(1)):
                 if out is None:
                     name = f"{task:08d}-{part:06d}-{attempt}.bin"
                     out, size, place, ids, places = store.open_output_stream(f"{folder}/{name}"), 0, 0, [], []
-                data = b"".join(x + end for x in enc.encode(piece.column(1).to_pylist()))
+                data = with_end(tokens, counts, end_id)[0].astype(dtype).tobytes()
                 out.write(data)
                 size += len(data)
-                ids += piece.column(0).to_pylist()
-                places += range(place, place + piece.num_rows)
-                place += piece.num_rows
+                ids += batch.column(0).slice(at, n).to_pylist()
+                places += range(place, place + n)
+                place += n
                 if size >= FILE_BYTES:
                     yield closed()
                     out, part = None, part + 1

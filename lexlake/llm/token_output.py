@@ -12,12 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import encoder
+from .bpe import encoder, with_end
 from .common import documents, materialise, new_path, text_of
 
-#: Rows that one call of the tokenizer gets.
-BATCH = 256
-
 
 @dataclass(frozen=True)
 class TokenFileFormat:
@@ -49,15 +46,11 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int | None = 0, id_col:
         import pyarrow as pa
 
         enc = encoder(tokenizer_path)
-        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                ids = [x + end for x in enc.encode(part.column(1).to_pylist())]
-                n = np.array([len(x) // 4 for x in ids], "<i4")
-                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype("<i4")), flat)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype("<i8")), lists], ["doc_id", "n_tokens", "ids"])
+            for at, n, ids, counts in enc.slices(batch.column(1)):
+                ids, counts = with_end(ids, counts, end_id)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype("<i4")), pa.array(ids.view("<i4")))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(counts), lists], ["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids array<int>")
 

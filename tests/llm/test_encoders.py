@@ -26,7 +26,17 @@ def test_end_token_within_a_file(rows, tmp_path):
 def test_white_space_as_the_library_has_it():
     import itertools
 
+    import numpy as np
+    import pyarrow as pa
+
     e = bpe.WordEncoder(BPE)
-    texts = ["a\n\n\nb\u00a0c\u00a0d", *("a".join(x) for x in itertools.product(["", " ", "\n", "  ", "\n\n", " \n", "\t", "\u00a0", "\u00a0\u00a0"], repeat=4))]
-    for x, ids in zip(texts, e.encode(texts)):
-        assert ids == e.whole(x), repr(x)
+    texts = ["a\n\n\nb\u00a0c\u00a0d", *("a".join(x) for x in itertools.product(["", " ", "\n", "  ", "\n\n", " \n", "\t", "\u00a0", "\u00a0\u00a0"], repeat=4)), "", "x\0 y", "it's 12 Ünïcode 日本\nnew line <|endoftext|> z", "a\u200bb c", *(f"w{k} of {k * k} don't" for k in range(3000))]
+    for _ in range(2):
+        at = 0
+        for first, n, ids, counts in e.slices(pa.array(texts)):
+            assert first == at and len(counts) == n
+            for x, own in zip(texts[at : at + n], np.split(ids, np.cumsum(counts)[:-1])):
+                assert own.tolist() == e.whole(x).tolist(), repr(x)
+            at += n
+        assert at == len(texts)
+        bpe.SLICE_BYTES = 1000
