@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 
-#: Words that a worker's cache holds before it starts anew, and bytes of text that are encoded at once; they bound memory, not results.
-CACHE_WORDS = 400_000
-SLICE_BYTES = 6 << 20
+#: Words that a worker's cache holds before it starts anew, bytes of text that are encoded at once, and words of one call; they bound memory, not results.
+CACHE_WORDS = 300_000
+SLICE_BYTES = 4 << 20
+CALL_WORDS = 20_000
+#: Places of the table that tells which words have come up before; only those are worth keeping.
+SEEN = 1 << 23
 NEWLINE_ID = 198
 #: Texts with any of these go to the library whole: edges and runs of white space, white space other than blanks and newlines, NUL, special tokens.
 WHOLE = r"^[ \n]|[ \n]$|[ \n][ \n]|[\x00\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]|<\|"
@@ -32,45 +35,62 @@ class WordEncoder:
         """An empty cache: words[w] is the row of starts and counts that says where the word's ids are in the table."""
         import numpy as np
 
-        self.words: dict[str, int] = {}
-        self.table, self.used = np.empty(1 << 20, "<u4"), 0
-        self.starts, self.counts = np.empty(CACHE_WORDS * 2, np.int64), np.empty(CACHE_WORDS * 2, np.int64)
+        self.words: dict[str, int] = {"\n": 0}
+        self.table, self.used = np.empty(1 << 20, "<u4"), 1
+        self.starts, self.counts = np.zeros(CACHE_WORDS, np.int64), np.ones(CACHE_WORDS, np.int32)
+        self.table[0], self.seen = NEWLINE_ID, np.zeros(SEEN, bool)
 
     def whole(self, text: str):
         import numpy as np
 
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def keep(self, words: list[str], counts, ids) -> None:
-        """Adds words, whose ids stand one behind another, to the cache."""
+    def ids_of(self, words: list[str]) -> tuple:
+        """(ids, number of ids of each). Words hold no newline, so one call with newlines between them serves all."""
         import numpy as np
 
-        while self.used + len(ids) > len(self.table):
-            self.table = np.concatenate([self.table, np.empty_like(self.table)])
-        while len(self.words) + len(words) > len(self.starts):
-            self.starts, self.counts = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.counts))
-        rows = slice(len(self.words), len(self.words) + len(words))
-        self.starts[rows], self.counts[rows] = self.used + np.cumsum(counts) - counts, counts
-        self.table[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.words.update(zip(words, range(rows.start, rows.stop)))
-
-    def learn(self, words: list[str]) -> None:
-        """Words hold no newline unless they are one, so one call with newlines between them serves all."""
+        ids = self.whole("\n".join(words))
+        ends = np.append(np.flatnonzero(ids == NEWLINE_ID), len(ids))
+        if len(ends) == len(words):
+            return ids[ids != NEWLINE_ID], np.diff(ends, prepend=-1) - 1
+        parts = [self.whole(w) for w in words]
+        return np.concatenate(parts), np.array([len(x) for x in parts])
+
+    def learn(self, words: list[str], first: int) -> None:
+        """Writes the words' ids behind those that the cache keeps, as rows from `first`."""
         import numpy as np
 
-        plain = [w for w in words if w != "\n"]
-        if len(plain) < len(words):
-            self.keep(["\n"], np.array([1]), self.whole("\n"))
-        if not plain:
-            return
-        ids = self.whole("\n".join(plain))
-        ends = np.append(np.flatnonzero(ids == NEWLINE_ID), len(ids))
-        if len(ends) == len(plain):
-            self.keep(plain, np.diff(ends, prepend=-1) - 1, ids[ids != NEWLINE_ID])
-        else:
-            parts = [self.whole(w) for w in plain]
-            self.keep(plain, np.array([len(x) for x in parts]), np.concatenate(parts))
+        for at in range(0, len(words), CALL_WORDS):
+            ids, counts = self.ids_of(words[at : at + CALL_WORDS])
+            while self.used + len(ids) > len(self.table):
+                self.table = np.concatenate([self.table, np.empty_like(self.table)])
+            while first + len(counts) > len(self.starts):
+                self.starts, self.counts = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.counts))
+            self.starts[first : first + len(counts)], self.counts[first : first + len(counts)] = self.used + np.cumsum(counts) - counts, counts
+            self.table[self.used : self.used + len(ids)] = ids
+            self.used, first = self.used + len(ids), first + len(counts)
+
+    def rows_of(self, words: list[str]):
+        """Row of each distinct word. New ones are encoded; those that have come up before are kept, the others' rows hold until the next call."""
+        from itertools import repeat
+
+        import numpy as np
+
+        if len(self.words) > CACHE_WORDS:
+            self.clear()
+        kept = len(self.words)
+        self.used = int(self.starts[kept - 1] + self.counts[kept - 1])
+        rows = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(rows < 0)
+        marks = np.fromiter((hash(words[k]) for k in new), np.int64, len(new)) & (SEEN - 1)
+        again = self.seen[marks]
+        self.seen[marks] = True
+        new = np.concatenate([new[again], new[~again]])
+        rows[new] = np.arange(kept, kept + len(new))
+        own = [words[k] for k in new]
+        self.learn(own, kept)
+        self.words.update(zip(own[: int(again.sum())], range(kept, kept + int(again.sum()))))
+        return rows
 
     def by_words(self, texts):
         """(ids, number of ids of each text) of texts that can be cut into words."""
@@ -80,17 +100,12 @@ class WordEncoder:
         cut = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0")
         lists = pc.split_pattern(cut, "\0")
         numbered = lists.flatten().dictionary_encode()
-        own = numbered.dictionary.to_pylist()
-        if len(self.words) > CACHE_WORDS:
-            self.clear()
-        new = [w for w in own if w not in self.words]
-        self.learn(new)
-        rows = np.fromiter(map(self.words.__getitem__, own), np.int64, len(own))[np.asarray(numbered.indices)]
+        rows = self.rows_of(numbered.dictionary.to_pylist())[np.asarray(numbered.indices)]
         counts = self.counts[rows]
-        ends = np.cumsum(counts)
-        at = np.repeat(self.starts[rows] - (ends - counts), counts)
-        at += np.arange(len(at))
-        of_text = np.diff(np.append(0, ends)[np.asarray(lists.offsets) - lists.offsets[0].as_py()])
+        ends = np.cumsum(counts, dtype=np.int32)
+        at = np.repeat((self.starts[rows] - (ends - counts)).astype(np.int32), counts)
+        at += np.arange(len(at), dtype=np.int32)
+        of_text = np.diff(np.append(0, ends)[np.asarray(lists.offsets) - lists.offsets[0].as_py()]).astype(np.int64)
         return self.table[at], of_text
 
     def encode_slice(self, texts):
