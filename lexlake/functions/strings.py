@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WORDS_LEAST = 6
 
@@ -181,3 +183,66 @@ def citation(identifier, code, session, title, status, snapshot) -> Column:
     """One line that cites a record; a derived status is called that."""
     derived = F.when(col(status).isNotNull(), F.concat(F.lit("status (derived): "), col(status))).otherwise("status: not determined")
     return F.concat_ws(", ", F.concat_ws(" ", col(code), col(identifier)), F.concat(F.lit("session "), col(session)), F.concat(F.lit('"'), F.substring(col(title), 1, 160), F.lit('"')), derived, F.concat(F.lit("snapshot "), col(snapshot)))
+
+
+# What the letters of an identifier stand for.
+SPELLED = {"HB": "House Bill", "SB": "Senate Bill", "AB": "Assembly Bill", "HR": "House Resolution", "SR": "Senate Resolution", "HJR": "House Joint Resolution", "SJR": "Senate Joint Resolution", "LD": "Legislative Document"}
+
+
+def spelled_out(identifier: Column) -> Column:
+    """The identifier with its letters spelled out, null for letters that aren't known."""
+    table = F.create_map(*(F.lit(x) for item in SPELLED.items() for x in item))
+    parts = F.regexp_extract(F.upper(identifier), r"^\s*([A-Z]+)", 1), F.regexp_extract(identifier, r"(\d+)\s*$", 1)
+    return F.concat(F.try_element_at(table, parts[0]), F.lit(" "), F.nullif(parts[1], F.lit("")))
+
+
+def status_note(status: Column) -> Column:
+    """A full-text outcome as the note that rows carry."""
+    return F.concat(F.lit("fulltext_status="), status)
+
+
+def noted_status(note: Column) -> Column:
+    """The outcome that a note holds, null if it holds none."""
+    return F.nullif(F.regexp_extract(note, r"(?:^|;)\s*fulltext_status=([^;]*)", 1), F.lit(""))
+
+
+def topic_hint(patterns: Column) -> Column:
+    """The first of a topic's patterns without its wild cards."""
+    return F.trim(F.regexp_replace(F.get(patterns, F.lit(0)), "%", " "))
+
+
+def search_url(base: str, kind: str, key: Column) -> Column:
+    """Permalink of a record, or the place of its file."""
+    return F.concat(F.lit(f"{base.rstrip('/')}/{kind}/"), key.cast("string"), F.lit("" if kind == "bills" else ".json"))
+
+
+#: Suffixes of two labels under which domains are registered; all others have one (fixed values).
+TWO_LABELS = ("co.uk", "org.uk", "gov.uk", "ac.uk", "com.au", "gov.au", "org.au", "co.nz", "co.jp", "com.br", "co.in", "co.za")
+
+
+def registrable_domain(host: Column) -> Column:
+    """The domain that somebody registered: a label and its public suffix; null for addresses and single labels."""
+    labels = F.filter(F.split(F.lower(F.trim(host)), "[.]"), lambda x: x != "")
+    n = F.size(labels)
+    two = F.concat_ws(".", F.slice(labels, F.greatest(n - 1, F.lit(1)), 2))
+    own = F.when(two.isin(*TWO_LABELS), F.when(n > 2, F.concat_ws(".", F.slice(labels, F.greatest(n - 2, F.lit(1)), 3)))).otherwise(two)
+    return F.when((n > 1) & ~host.rlike(r"^[\d.]+$|:"), own)
+
+
+@F.pandas_udf(StringType())
+def address_bucket(forwarded: pd.Series) -> pd.Series:
+    """Whom a request counts for: of the forwarded hops, from the right, the first public one; IPv4 as it is, also if embedded, IPv6 by its /64."""
+    import ipaddress
+
+    def read(value):
+        for hop in reversed((value or "").split(",")):
+            try:
+                address = ipaddress.ip_address(hop.strip().strip("[]"))
+            except ValueError:
+                continue
+            address = getattr(address, "ipv4_mapped", None) or address
+            if address.is_global:
+                return str(address) if address.version == 4 else str(ipaddress.ip_network((address, 64), strict=False))
+        return None
+
+    return forwarded.map(read)

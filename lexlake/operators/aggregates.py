@@ -9,22 +9,27 @@ SEVERITY = {"GREEN": 6, "VALIDATING": 5, "FULL_TEXT_SEARCHABLE": 4, "METADATA_SE
 
 
 def mortality(rows: DataFrame, group: str, status: str) -> DataFrame:
-    """Counts by outcome for each group and in all (group null): a null status is unknown. degenerate: one of the two ways not to pass is empty."""
+    """Counts by outcome for each group and in all (is_total), with shares in hundredths of a percent: a null status is unknown.
+
+    degenerate: one of the two ways not to pass is empty.
+    """
     s = F.col(status)
     parts = rows.rollup(group).agg(
         F.count("*").alias("total"), F.count_if(s == "enacted").alias("passed"), F.count_if(s == "died_on_adjournment").alias("died"), F.count_if(s.isin("dead", "vetoed", "withdrawn")).alias("killed"),
-        F.count_if(s.isin("introduced", "in_committee", "passed_one_chamber", "passed_both", "enrolled")).alias("pending"), F.count_if(s.isNull()).alias("unknown"),
+        F.count_if(s.isin("introduced", "in_committee", "passed_one_chamber", "passed_both", "enrolled")).alias("pending"), F.count_if(s.isNull()).alias("unknown"), (F.grouping(group) == 1).alias("is_total"),
     )
     did_not = F.col("died") + F.col("killed")
-    return parts.withColumn("did_not_pass", did_not).withColumn("degenerate", (did_not > 0) & ((F.col("died") == 0) | (F.col("killed") == 0)))
+    parts = parts.withColumns({"did_not_pass": did_not, "degenerate": (did_not > 0) & ((F.col("died") == 0) | (F.col("killed") == 0))})
+    return parts.withColumns({f"{c}_bp": F.expr(f"{c} * 10000 div nullif(total, 0)") for c in ("passed", "did_not_pass")})
 
 
 def usage(rows: DataFrame, tool: str, outcome: str, duration: str, excluded: Column) -> DataFrame:
-    """(tool, calls, errors, excluded, median): the lower median of the successful calls. excluded rows count only as such."""
-    counted = ~excluded
+    """(tool, ok, error, excluded, median): the lower median of the counted successful calls' duration. excluded rows count only as such."""
+    rows = rows.withColumns({"_counted": ~F.coalesce(excluded, F.lit(False)), "_ok": F.col(outcome) == "ok"})
+    median = F.expr(f"cast(percentile_disc(0.5) within group (order by {duration}) filter (where _counted and _ok) as bigint)")
     return rows.groupBy(tool).agg(
-        F.count_if(counted).alias("calls"), F.count_if(counted & (F.col(outcome) == "error")).alias("errors"), F.count_if(excluded).alias("excluded"),
-        F.expr(f"percentile_disc(0.5) within group (order by {duration}) filter (where {outcome} = 'ok')").alias("median"),
+        F.count_if(F.col("_counted") & F.col("_ok")).alias("ok"), F.count_if(F.col("_counted") & (F.col(outcome) == "error")).alias("error"),
+        F.count_if(~F.col("_counted")).alias("excluded"), median.alias("median"),
     )
 
 

@@ -41,3 +41,23 @@ def counts(bills: DataFrame, texts: DataFrame, group: str) -> DataFrame:
     b = bills.groupBy(group).agg(F.count_distinct("id").alias("bills"))
     t = texts.groupBy(group).agg(F.count_distinct(F.when(F.col("has_text"), F.col("bill_id"))).alias("with_text"), F.count_distinct(F.when(F.col("has_text") | ~F.col("terminal"), F.col("bill_id"))).alias("available"))
     return b.join(t, group, "left").select(group, "bills", F.coalesce("with_text", F.lit(0)).alias("with_text"), F.coalesce("available", F.lit(0)).alias("available"))
+
+
+def report(rows: DataFrame) -> DataFrame:
+    """Published rows: shares of the bills with text and with text to be had, in hundredths of a percent, and what is lacking."""
+    share = lambda c: F.expr(f"{c} * 10000 div nullif(bills, 0)")
+    gaps = [F.when(F.col("bills") == 0, "no_bills"), F.when((F.col("bills") > 0) & (F.col("with_text") == 0), "no_text"), F.when(F.col("with_text") < F.col("available"), "text_incomplete")]
+    return rows.withColumns({"text_bp": share("with_text"), "available_bp": share("available"), "gaps": F.array_join(F.filter(F.array(*gaps), lambda g: g.isNotNull()), ",")})
+
+
+def warnings(rows: DataFrame, group: str, status: str, least: str) -> DataFrame:
+    """(group, code, severity, message) for rows whose status is below one of the order; unknown states are below all."""
+    own = F.coalesce(F.array_position(F.array(*map(F.lit, ORDER)), F.col(status)), F.lit(0))
+    below = rows.where(own < ORDER.index(least) + 1)
+    message = F.concat(F.col(group), F.lit(" is "), F.coalesce(status, F.lit("unknown")), F.lit(f", not yet {least}"))
+    return below.select(group, F.lit("coverage_below_threshold").alias("code"), own.alias("severity"), message.alias("message"))
+
+
+def serialised(rows: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """(group, row): each row's columns as JSON, nulls left out."""
+    return rows.select(group, F.to_json(F.struct(*columns)).alias("row"))

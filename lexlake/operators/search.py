@@ -142,3 +142,39 @@ def similar_pairs(rows: DataFrame, key: str, text: str, least_ppm: int) -> DataF
     met = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.key") < F.col("b.key"))).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
     ta, tb = distinct.select(F.col("key").alias("a"), F.col("t").alias("ta")), distinct.select(F.col("key").alias("b"), F.col("t").alias("tb"))
     return met.join(ta, "a").join(tb, "b").select("a", "b", similarity_ppm(F.col("ta"), F.col("tb")).alias("similarity")).where(F.col("similarity") > least_ppm)
+
+
+def number_lookup(rows: DataFrame, identifier: Column, wanted: Column | str, normal) -> DataFrame:
+    """rows whose normalised identifier is that of the wanted one. normal: a function of columns."""
+    return rows.where(normal(identifier) == normal(F.lit(wanted) if isinstance(wanted, str) else wanted))
+
+
+def tiered(tiers: list[tuple[str, DataFrame]]) -> DataFrame:
+    """Rows of the first tier that has any, with its name: number, then words, then likeness. Later tiers run only if those before are empty; the last is taken as it is."""
+    for name, rows in tiers[:-1]:
+        if not rows.isEmpty():
+            return rows.withColumn("tier", F.lit(name))
+    return tiers[-1][1].withColumn("tier", F.lit(tiers[-1][0]))
+
+
+def capped_candidates(rows: DataFrame, key: str, order: list[Column], cap: int, session: str) -> DataFrame:
+    """The first `cap` matches by key, then ranked among themselves, with whether that left any out and whether they are ambiguous: of several sessions, or cut."""
+    first = rows.orderBy(key).limit(cap + 1)
+    kept = first.orderBy(key).limit(cap)
+    facts = first.agg((F.count("*") > cap).alias("truncated"), (F.count_distinct(session) > 1).alias("_several"))
+    out = kept.join(F.broadcast(facts), F.lit(True))  # facts are one row
+    return out.withColumn("ambiguous", F.col("truncated") | F.col("_several")).drop("_several").orderBy(*order, key)
+
+
+def saturation_notice(saturated: Column, sort: Column, cap: int) -> Column:
+    """What a reader is told of a capped result; null if it wasn't capped."""
+    by_date = sort.isin("introduced", "latest_action")
+    text = F.when(by_date, F.lit(f"More than {cap} records match; these are the newest.")).otherwise(F.lit(f"More than {cap} records match; only the first {cap} were ranked."))
+    return F.when(saturated, text)
+
+
+def segments(text: str, marks: tuple[str, str] = ("⟦H⟧", "⟦/H⟧")) -> Column:
+    """A headline as an array of (text, marked), without empty parts."""
+    opened = F.split(F.col(text), marks[0], -1)
+    parts = F.flatten(F.transform(opened, lambda x, i: F.transform(F.split(x, marks[1], -1), lambda y, j: F.struct(y.alias("text"), ((i > 0) & (j == 0) & x.contains(marks[1])).alias("marked")))))
+    return F.filter(parts, lambda p: p["text"] != "")

@@ -9,44 +9,24 @@ from pyspark.sql.types import StringType
 
 from lexlake.functions.strings import plain_text, sniffed, xml_text
 
-BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
-HIDDEN = frozenset("script style head title".split())
+#: Tags that end a line, and those whose content isn't text.
+BLOCKS = "address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul"
+HIDDEN = "script|style|head|title"
 
 
 @F.pandas_udf(StringType())
-def html_text(pages: pd.Series) -> pd.Series:
-    """Text of pages: blocks end lines, scripts and the like are left out, entities are decoded."""
-    from html.parser import HTMLParser
-
-    class Reader(HTMLParser):
-        def __init__(self):
-            super().__init__(convert_charrefs=True)
-            self.parts, self.hidden = [], 0
-
-        def handle_starttag(self, tag, attrs):
-            self.hidden += tag in HIDDEN
-            if tag in BLOCKS:
-                self.parts.append("\n")
-
-        def handle_endtag(self, tag):
-            self.hidden = max(0, self.hidden - (tag in HIDDEN))
-            if tag in BLOCKS:
-                self.parts.append("\n")
-
-        def handle_data(self, data):
-            if not self.hidden:
-                self.parts.append(data)
-
-    def read(page):
-        if page is None:
-            return None
-        reader = Reader()
-        reader.feed(page)
-        reader.close()
-        lines = (" ".join(x.split()) for x in "".join(reader.parts).split("\n"))
-        return "\n".join(x for x in lines if x)
-
-    return pages.map(read)
+def entities_decoded(texts: pd.Series) -> pd.Series:
+    from html import unescape
+
+    return texts.map(unescape, na_action="ignore")
+
+
+def html_text(page: str) -> Column:
+    """Text of a page: blocks end lines, scripts and the like are left out, entities are decoded. Only the last step needs Python."""
+    kept = F.regexp_replace(F.col(page), rf"(?is)<!--.*?-->|<({HIDDEN})\b.*?(</\1\s*>|$)", "")
+    lines = F.regexp_replace(F.regexp_replace(kept, rf"(?i)</?({BLOCKS})\b[^>]*>", "\n"), r"<[/!?a-zA-Z][^>]*>", "")
+    trimmed = F.transform(F.split(entities_decoded(lines), "\n"), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " ")))
+    return F.array_join(F.filter(trimmed, lambda x: x != ""), "\n")
 
 
 def extracted(body: str, kind: Column) -> Column:

@@ -14,11 +14,11 @@ BILLS = "(select o_orderkey id, c_nationkey jurisdiction_id, c_mktsegment chambe
 ACTIONS = "(select l_orderkey bill_id, cast(l_shipdate as date) as day, l_linenumber place, l_partkey part_id, l_suppkey sponsor_id, l_returnflag || l_linestatus kind, cast(l_quantity as bigint) quantity, cast(round(l_extendedprice * 100) as bigint) cents from lineitem)"
 
 
-@query(f"select b.id, n_name code, chamber, status_code, cast(day as varchar) as day, cents from {BILLS} b join nation on n_nationkey = jurisdiction_id where n_name = 'FRANCE' and status_code = 'O' and day >= date '1996-01-01' order by b.day desc nulls last, id limit 50 offset 50")
+@query(f"select b.id, n_name code, chamber, status_code, cast(day as varchar) as day, cents from {BILLS} b join nation on n_nationkey = jurisdiction_id where n_name = 'NATION_7' and status_code = 'O' and day >= date '1995-01-01' order by b.day desc nulls last, id limit 5 offset 5")
 def browse_filtered_page(spark, d):
     rows = joins.with_labels(T.bills(spark, d), T.jurisdictions(spark, d), "jurisdiction_id", "jurisdiction_id", ["code"])
-    rows = filters.structured(rows, code="france".upper(), status_code="O", since="1996-01-01")
-    out = paging.page(rows, paging.order_by("introduced"), 2, 50)
+    rows = filters.structured(rows, code="nation_7".upper(), status_code="O", since="1995-01-01")
+    out = paging.page(rows, paging.order_by("introduced"), 2, 5)
     return out.select("id", "code", "chamber", "status_code", F.col("day").cast("string").alias("day"), "cents")
 
 
@@ -31,7 +31,7 @@ def list_count_conditional_join(spark, d):
 
 @query(f"select id, status_code from {BILLS} where exists (select 1 from lineitem join supplier on l_suppkey = s_suppkey where l_orderkey = id and lower(s_name) like '%0000007%')")
 def semi_sponsor_like(spark, d):
-    return filters.having_child(T.bills(spark, d), T.sponsors(spark, d), F.lower("name").like("%0000007%")).select("id", "status_code")
+    return filters.having_child(T.bills(spark, d, of_customer=False), T.sponsors(spark, d), F.lower("name").like("%0000007%")).select("id", "status_code")
 
 
 @query(f"select id, chamber from {BILLS} where exists (select 1 from lineitem join part on l_partkey = p_partkey where l_orderkey = id and lower(p_type) = 'economy')")
@@ -44,10 +44,10 @@ def semi_subject_like(spark, d):
     return filters.having_child(T.bills(spark, d), T.subjects(spark, d), filters.contains("subject", "and")).select("id", "chamber")
 
 
-@query(f"select id from {BILLS} where exists (select 1 from lineitem join supplier on l_suppkey = s_suppkey join nation on n_nationkey = s_nationkey where l_orderkey = id and n_name ilike '%united%')")
+@query(f"select id from {BILLS} where exists (select 1 from lineitem join supplier on l_suppkey = s_suppkey join nation on n_nationkey = s_nationkey where l_orderkey = id and n_name ilike '%ion_1%')")
 def committee_exists_chain(spark, d):
     people = joins.with_labels(T.sponsors(spark, d), T.jurisdictions(spark, d), "home_id", "jurisdiction_id", ["code"])
-    return filters.having_child(T.bills(spark, d), people, filters.contains("code", "united")).select("id")
+    return filters.having_child(T.bills(spark, d, of_customer=False), people, filters.contains("code", "ion_1")).select("id")
 
 
 @query("select o_orderkey id from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R')")
@@ -75,13 +75,13 @@ def labels_left(spark, d):
     return joins.with_labels(rows, T.table(spark, d, "region"), "region_id", "r_regionkey", ["r_name"]).select("id", "code", F.col("r_name").alias("region"))
 
 
-@query(f"""with t as (select upper(n_name) || '-' || y as token from nation, (values ('1995'), ('1999'), ('2030')) v(y) where n_nationkey < 8),
+@query(f"""with t as (select upper(n_name) || '-' || y as token from nation, (values ('1995'), ('1999'), ('2030')) v(y)),
  b as (select id, upper(n_name) || '-' || year as k, chamber from {BILLS} join nation on n_nationkey = jurisdiction_id where status_code = 'P' and cents > 30000000),
  h as (select k, count(*) hits, min(id) row_id, string_agg(distinct chamber, ',' order by chamber) sessions from b group by k)
  select token, case when hits is null then 'not_found' when hits = 1 then 'found' else 'ambiguous' end outcome, case when hits = 1 then row_id end row_id, case when hits > 1 then sessions end sessions from t left join h on k = token""")
 def batch_lookup_ambiguity(spark, d):
     places = T.jurisdictions(spark, d)
-    asked = places.where("jurisdiction_id < 8").select(F.explode(F.array(*map(F.lit, ("1995", "1999", "2030")))).alias("y"), "code").select(F.concat_ws("-", F.upper("code"), "y").alias("token"))
+    asked = places.select(F.explode(F.array(*map(F.lit, ("1995", "1999", "2030")))).alias("y"), "code").select(F.concat_ws("-", F.upper("code"), "y").alias("token"))
     rows = joins.with_labels(T.bills(spark, d).where("status_code = 'P' and cents > 30000000"), places, "jurisdiction_id", "jurisdiction_id", ["code"])
     rows = rows.withColumn("k", F.concat_ws("-", F.upper("code"), F.col("year").cast("string")))
     return joins.lookup(asked, rows, "token", "k", "chamber", "id")
@@ -144,15 +144,15 @@ def fuzzy_session(spark, d):
     return joins.unique_session(slugs, sessions)
 
 
-@query("with t as (select * from (values (1, 'HB 1'), (2, 'hb 1'), (3, 'SB 2'), (4, 'Hb 1'), (5, 'sb 2')) v(place, token)) select min(place) as place, arg_min(token, place) as token from t group by lower(token)")
+@query("with t as (select p_partkey as place, case when p_partkey % 2 = 0 then upper(p_name) else p_name end as token from part) select min(place) as place, arg_min(token, place) as token from t group by lower(token)")
 def token_dedup(spark, d):
-    rows = spark.createDataFrame([(1, "HB 1"), (2, "hb 1"), (3, "SB 2"), (4, "Hb 1"), (5, "sb 2")], "place int, token string")
+    rows = T.table(spark, d, "part").select(F.col("p_partkey").alias("place"), F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("token"))
     return joins.first_tokens(rows, "place", "token")
 
 
-@query("select s_suppkey id, s_nationkey place from supplier where s_nationkey in (select n_nationkey from nation where n_name ilike 'fr%' or n_name ilike 'germany')")
+@query("select s_suppkey id, s_nationkey place from supplier where s_nationkey in (select n_nationkey from nation where n_name ilike 'nation_1%' or n_name ilike 'nation_7')")
 def find_jurisdiction(spark, d):
-    places = T.jurisdictions(spark, d).where(F.col("code").ilike("fr%") | F.col("code").ilike("germany"))
+    places = T.jurisdictions(spark, d).where(F.col("code").ilike("nation_1%") | F.col("code").ilike("nation_7"))
     people = T.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("place"))
     return filters.having_child(people, places, F.lit(True), "place", "jurisdiction_id")
 

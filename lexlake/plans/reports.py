@@ -46,21 +46,21 @@ def session_fate(spark, d):
 @query(f"""with c as (select id, case status_code when 'F' then 'enacted' when 'P' then 'dead' end as old, status as new from {BILLS} left join {DERIVED_SQL} on bill_id = id)
  select id, old, new, old is not null and new is not null event from c where old is distinct from new""")
 def status_changes(spark, d):
-    bills = T.bills(spark, d)
+    bills = T.bills(spark, d, of_customer=False)
     current = bills.select("id", F.when(F.col("status_code") == "F", "enacted").when(F.col("status_code") == "P", "dead").alias("status"))
     return ST.status_changes(derived(spark, d).withColumnRenamed("bill_id", "id"), current, "id")
 
 
 @query(f"""with s as (select n_name code, {FATE_SQL} as status from {BILLS} join nation on n_nationkey = jurisdiction_id left join {DERIVED_SQL} on bill_id = id),
  g as (select code, count(*) total, count(*) filter (status = 'enacted') passed, count(*) filter (status = 'died_on_adjournment') died, count(*) filter (status in ('dead', 'vetoed', 'withdrawn')) killed,
- count(*) filter (status in ('introduced', 'in_committee', 'passed_one_chamber', 'passed_both', 'enrolled')) pending, count(*) filter (status is null) unknown from s group by rollup (code))
- select *, died + killed did_not_pass, died + killed > 0 and (died = 0 or killed = 0) degenerate from g""")
+ count(*) filter (status in ('introduced', 'in_committee', 'passed_one_chamber', 'passed_both', 'enrolled')) pending, count(*) filter (status is null) unknown, grouping(code) = 1 is_total from s group by rollup (code))
+ select *, died + killed did_not_pass, died + killed > 0 and (died = 0 or killed = 0) degenerate, passed * 10000 // nullif(total, 0) passed_bp, (died + killed) * 10000 // nullif(total, 0) did_not_pass_bp from g""")
 def mortality_by_nation(spark, d):
     rows = joins.with_labels(fated(spark, d), T.jurisdictions(spark, d), "jurisdiction_id", "jurisdiction_id", ["code"])
     return aggregates.mortality(rows, "code", "status")
 
 
-@query("""select event_type tool, count(*) filter (not probe) calls, count(*) filter (not probe and outcome = 'error') errors, count(*) filter (probe) excluded, percentile_disc(0.5) within group (order by ms) filter (outcome = 'ok') median
+@query("""select event_type tool, count(*) filter (not probe and outcome = 'ok') ok, count(*) filter (not probe and outcome = 'error') as error, count(*) filter (probe) excluded, percentile_disc(0.5) within group (order by ms) filter (not probe and outcome = 'ok') median
  from (select event_type, user_id % 50 = 0 probe, case when event_type = 'error' then 'error' else 'ok' end outcome, cast(floor(value * 1000) as bigint) ms from events) group by 1""")
 def usage_by_tool(spark, d):
     rows = T.change_log(spark, d).select(F.col("kind").alias("tool"), F.when(F.col("kind") == "error", "error").otherwise("ok").alias("outcome"), F.floor(F.col("value") * 1000).cast("long").alias("ms"), "entity_id")
@@ -100,13 +100,13 @@ def coverage_next_status(spark, d):
     return rows.select("source", "state", "counted", coverage.by_validation(F.col("counted"), F.col("bills"), rate, F.col("with_text"), F.col("available")).alias("validated"))
 
 
-WORST_SQL = "(select c_nationkey place, case c_mktsegment when 'AUTOMOBILE' then 'GREEN' when 'BUILDING' then 'BOOTSTRAPPED' when 'FURNITURE' then 'VALIDATING' when 'MACHINERY' then 'METADATA_SEARCHABLE' else 'ODD' end state from customer where c_custkey % 7 = 0)"
+WORST_SQL = "(select c_custkey // 3 place, case c_mktsegment when 'AUTOMOBILE' then 'GREEN' when 'BUILDING' then 'BOOTSTRAPPED' when 'FURNITURE' then 'VALIDATING' when 'MACHINERY' then 'METADATA_SEARCHABLE' else 'ODD' end state from customer)"
 
 
 def states(spark, d):
-    c = T.table(spark, d, "customer").where("c_custkey % 7 = 0")
+    c = T.table(spark, d, "customer")
     names = F.create_map(*(F.lit(x) for x in ("AUTOMOBILE", "GREEN", "BUILDING", "BOOTSTRAPPED", "FURNITURE", "VALIDATING", "MACHINERY", "METADATA_SEARCHABLE")))
-    return c.select(F.col("c_nationkey").alias("place"), F.coalesce(F.try_element_at(names, F.col("c_mktsegment")), F.lit("ODD")).alias("state"))
+    return c.select(F.expr("c_custkey div 3").alias("place"), F.coalesce(F.try_element_at(names, F.col("c_mktsegment")), F.lit("ODD")).alias("state"))
 
 
 @query(f"select place, arg_min(state, v * 1000 + ascii(state)) worst, min(v) severity from (select *, case state when 'GREEN' then 6 when 'VALIDATING' then 5 when 'METADATA_SEARCHABLE' then 3 when 'BOOTSTRAPPED' then 2 else 0 end v from {WORST_SQL}) group by place")

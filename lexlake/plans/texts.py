@@ -112,9 +112,9 @@ def trigram_similar(spark, d):
     return search.similar_pairs(rows, "id", "title", 400_000)
 
 
-@query("select doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]{6,}'), lambda x: x not in ('before', 'should')))), ',') words from documents where n_chars < 400")
+@query("select doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]{6,}'), lambda x: x not in ('before', 'should')))), ',') words from documents")
 def keywords(spark, d):
-    rows = T.table(spark, d, "documents").where("n_chars < 400")
+    rows = T.table(spark, d, "documents")
     return rows.select("doc_id", F.array_join(F.array_sort(S.long_words("text", ["before", "should"])), ",").alias("words"))
 
 

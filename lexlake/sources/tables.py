@@ -14,12 +14,15 @@ def jurisdictions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select(F.col("n_nationkey").alias("jurisdiction_id"), F.col("n_name").alias("code"), F.col("n_regionkey").alias("region_id"))
 
 
-def bills(spark: SparkSession, d: str) -> DataFrame:
-    """id, jurisdiction_id, chamber, status_code, day, year, priority, cents. The customer link is a fact of its own here, so this joins."""
-    o, c = table(spark, d, "orders"), table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    day = F.col("o_orderdate").cast("date")
-    return o.join(c, o["o_custkey"] == c["c_custkey"]).select(
-        F.col("o_orderkey").alias("id"), F.col("c_nationkey").alias("jurisdiction_id"), F.col("c_mktsegment").alias("chamber"), F.col("o_orderstatus").alias("status_code"),
+def bills(spark: SparkSession, d: str, of_customer: bool = True) -> DataFrame:
+    """id, jurisdiction_id, chamber, status_code, day, year, priority, cents. The middle two are facts of the customer and cost a join; of_customer=False leaves them and it out."""
+    rows, day, own = table(spark, d, "orders"), F.col("o_orderdate").cast("date"), []
+    if of_customer:
+        c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+        rows = rows.join(c, rows["o_custkey"] == c["c_custkey"])
+        own = [F.col("c_nationkey").alias("jurisdiction_id"), F.col("c_mktsegment").alias("chamber")]
+    return rows.select(
+        F.col("o_orderkey").alias("id"), *own, F.col("o_orderstatus").alias("status_code"),
         day.alias("day"), F.year(day).cast("long").alias("year"), F.col("o_orderpriority").alias("priority"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"),
     )
 
