@@ -31,7 +31,7 @@ class Settings:
     order: int = 3
     strength: float = 4.0
     growth: float = 0.8
-    block_bytes: int = 16 << 20
+    block_bytes: int = 12 << 20
 
     def pseudo_count(self, h):
         return self.strength + h**self.growth

@@ -3,8 +3,8 @@
 A document's set are its distinct word shingles. Equal sets form a class and only classes go on. Independent trees
 branch the classes by the values of selected minwise tokens; a node that is small enough is compared exhaustively on
 signatures, a larger one branches again by tokens that its own path selects, until all are small. Before it does, its
-members meet one of them, the leader: those that look like it become candidates with it, and those that look nearly equal
-to it stay behind, as the leader stands for them; so a node full of near copies is done at once. Connected candidates are
+members meet one of them, the leader: those that look like it become candidates with it, and those that look much like
+it stay behind, as the leader stands for them; so a node full of near copies is done at once. Connected candidates are
 then checked on full sets, so that links are exact; in groups of any size a leader stands for all copies close enough to it.
 
 Null and blank texts have empty sets and no links. Rows with a null doc_id take part, but can't be named: a component's
@@ -28,9 +28,10 @@ class Settings:
 
     trees, branches: with two branches a pair at similarity 0.8 parts at a branching with probability 0.04, and is left
     by all branches of a tree of three levels with probability below 0.1; by all six trees, below 1e-6. node: most
-    classes that are compared exhaustively at once. loose: least share of equal signature values of a candidate, six
+    classes that are compared exhaustively at once. loose: least share of equal signature values of a candidate, seven
     standard deviations below 0.8 with 64 values. close: that of members for which a leader stands; whatever is linked
-    with these has similarity 0.65 or so to the leader, well above loose.
+    with these has similarity 0.58 at least to the leader, by the triangle inequality, two standard deviations above
+    loose in each tree. With it, even nodes full of documents of one similarity shrink faster than branches multiply.
     """
 
     words: int = 5
@@ -39,8 +40,8 @@ class Settings:
     trees: int = 6
     branches: int = 2
     node: int = 256
-    loose: float = 0.5
-    close: float = 0.9
+    loose: float = 0.45
+    close: float = 0.78
 
 
 #: What a text with a set has: a character that isn't ASCII white space.
@@ -330,7 +331,7 @@ def verify_blocks(sets: DataFrame, settings: Settings, block: int) -> DataFrame:
     return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint")
 
 
-def links(sets: DataFrame, settings: Settings, rounds: int = 12) -> DataFrame:
+def links(sets: DataFrame, settings: Settings, rounds: int = 4) -> DataFrame:
     """True links (a, b) that connect what the true links within each group connect. sets: (group, class, keys).
 
     In a large group, all are compared with a leader. Let g be the largest similarity below the threshold t. Whoever is

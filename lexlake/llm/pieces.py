@@ -1,14 +1,16 @@
 """SentencePiece encoding and decoding as best paths over the pieces' lattice, with a max-plus parallel scan for giant texts.
 
 The score of a segmentation is the sum of its pieces' log-probabilities. A BPE vocabulary holds merge ranks instead;
-they become log-probabilities by Zipf's law. A giant text is cut in chunks. A chunk's transfer matrix holds the best
-score from each state at its begin to each at its end; a state is the number of characters by which the piece that
-crosses the boundary reaches over it. Matrices combine associatively under (max, +), in blocks of bounded size; down
-the same tree each chunk learns its two boundary states and is then traced back alone.
-
-Ids decode to the text they came from, and their score does not depend on how a text was cut. Ties go to the longer last
-piece, but where a chunk ends either may be taken. Null and empty texts have no ids. Rows with null or repeated ids are
-encoded each. Extra columns pass through.
+they become log-probabilities by Zipf's law, so ids are those of a unigram model over the same pieces and not those of
+the merges. A giant text is cut in chunks. A chunk's transfer matrix holds the best score from each state at its begin to
+each at its end; a state is the number of characters by which the piece that crosses the boundary reaches over it.
+Matrices combine associatively under (max, +), in blocks of bounded size. Down the same tree each chunk learns the best
+score from the text's begin to each of its first states; that tells for each state at its end the one at its begin,
+and these maps combine in the same way. So each chunk learns its two boundary states and is traced back alone.
+
+Of paths with equal scores the one with the longer last piece is taken, on that of the rest, and so on: ids are the same
+however a text is cut, and those of the library. Ids decode to the text they came from. Null and empty texts have no
+ids. Rows with null or repeated ids are encoded each. Extra columns pass through; columns named ids, chunks or decoded are replaced by those that the functions add.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ UNKNOWN_PENALTY = 10.0
 
 @dataclass(frozen=True)
 class Settings:
-    """giant: characters above which a text is cut in chunks of `chunk`. fan: matrices that one task combines."""
+    """giant: characters above which a text is cut in chunks of `chunk`; a shorter one is a chunk of its own. fan: matrices that one task combines."""
 
     giant: int = 1 << 16
     chunk: int = 1 << 14
@@ -218,6 +220,26 @@ class Pieces:
                 self.score_array[k] = lead[b]
         return float(self.score_array[ids].sum())
 
+    def entries(self, text: str, n: int, prefix):
+        """For each state at a chunk's end the one at its begin, -1 if none leads there. prefix: best score from the text's begin to each state at the chunk's."""
+        import numpy as np
+
+        w, span = self.longest, self.cut_span(text, n)
+        stop = span[0] if span else n
+        best, back = np.full((stop + w + 1, 1), -np.inf), {}
+        best[:w, 0] = prefix
+        self.relax(text, 0, stop, best, back)
+
+        def entry(at):
+            while at in back:
+                at = back[at][0]
+            return at
+
+        if span:  # all paths meet at the cut
+            reached = self.transfer(text, n).max(0) > -np.inf
+            return np.where(reached, entry(stop), -1).astype("<i4")
+        return np.array([entry(n + e) if best[n + e, 0] > -np.inf else -1 for e in range(w)], "<i4")
+
     def trace(self, text: str, n: int, begin: int, end: int) -> list[int]:
         """Ids of the pieces that begin in the chunk, on the best path between the two states."""
         import numpy as np
@@ -258,18 +280,22 @@ def combined(a, b):
     return (a[:, :, None] + b[None, :, :]).max(1)
 
 
-def boundary_states(matrices: list, begin: int, end: int) -> list[int]:
-    """The states at all boundaries of consecutive matrices on the best path between two states."""
+def prefixes(matrices: list, prefix) -> list:
+    """Best scores to the states at the begin of each of consecutive matrices."""
+    out = [prefix]
+    for m in matrices[:-1]:
+        out.append((out[-1][:, None] + m).max(0))
+    return out
+
+
+def chained(maps: list):
+    """One map from the states at the end of consecutive parts to those at their begin."""
     import numpy as np
 
-    to_end = [None] * (len(matrices) + 1)  # best score from each state at a boundary to the end
-    to_end[-1] = np.where(np.arange(len(matrices[-1])) == end, 0.0, -np.inf)
-    for k in range(len(matrices) - 1, -1, -1):
-        to_end[k] = (matrices[k] + to_end[k + 1][None, :]).max(1)
-    states = [begin]
-    for k, m in enumerate(matrices):
-        states.append(int(np.argmax(m[states[-1]] + to_end[k + 1])))
-    return states
+    out = maps[-1]
+    for m in reversed(maps[:-1]):
+        out = np.where(out >= 0, m[out], -1)
+    return out
 
 
 # --- Spark
@@ -324,24 +350,68 @@ def giant_ids(texts: DataFrame, path: str, settings: Settings) -> DataFrame:
             total = combined(total, m)
         return pa.table({"uid": table["uid"][:1], "k": pa.array([table["k"][0].as_py() // fan], pa.int32()), "m": pa.array([total.tobytes()], pa.binary())})
 
-    def spread(key, table, above):
+    def chain(table):
         import numpy as np
         import pyarrow as pa
 
         table = table.sort_by("k")
-        begin, end = above["begin"][0].as_py(), above["end"][0].as_py()
-        states = boundary_states([np.frombuffer(x).reshape(w, w) for x in table["m"].to_pylist()], begin, end)
-        return pa.table({"uid": table["uid"], "k": table["k"], "begin": pa.array(states[:-1], pa.int32()), "end": pa.array(states[1:], pa.int32())})
+        total = chained([np.frombuffer(x, "<i4") for x in table["m"].to_pylist()]).astype("<i4")
+        return pa.table({"uid": table["uid"][:1], "k": pa.array([table["k"][0].as_py() // fan], pa.int32()), "m": pa.array([total.tobytes()], pa.binary())})
+
+    def spread_prefix(key, table, above):
+        import numpy as np
+        import pyarrow as pa
+
+        table = table.sort_by("k")
+        found = prefixes([np.frombuffer(x).reshape(w, w) for x in table["m"].to_pylist()], np.frombuffer(above["prefix"][0].as_py()))
+        return pa.table({"uid": table["uid"], "k": table["k"], "prefix": pa.array([x.tobytes() for x in found], pa.binary())})
+
+    def spread_states(key, table, above):
+        import numpy as np
+        import pyarrow as pa
+
+        table, ends = table.sort_by("k"), [above["end"][0].as_py()]
+        for m in reversed(table["m"].to_pylist()):
+            ends.append(int(np.frombuffer(m, "<i4")[ends[-1]]))
+        ends.reverse()
+        return pa.table({"uid": table["uid"], "k": table["k"], "begin": pa.array(ends[:-1], pa.int32()), "end": pa.array(ends[1:], pa.int32())})
+
+    def entered(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        m = pieces(path)
+        for batch in batches:
+            out = [m.entries(t, n, np.frombuffer(x)).tobytes() for t, n, x in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], ["uid", "k", "m"])
 
-    levels = [materialise(chunks.select("uid", F.col("chunk").alias("k"), "text", "n").mapInArrow(matrices, "uid bigint, k int, m binary"), "matrices")]
     most = chunks.agg(F.max("many")).first()[0] or 1
-    while most > 1:
-        levels.append(materialise(levels[-1].groupBy("uid", F.expr(f"k div {fan}").alias("block")).applyInArrow(combine, "uid bigint, k int, m binary"), "matrices"))
-        most = -(-most // fan)
-    states = levels[-1].select("uid", "k", F.lit(0).alias("begin"), F.lit(0).alias("end"))
-    for below in reversed(levels[:-1]):
-        parts = below.withColumn("block", F.expr(f"cast(k div {fan} as int)")).groupBy("uid", "block")
-        states = parts.cogroup(states.withColumnRenamed("k", "block").groupBy("uid", "block")).applyInArrow(spread, "uid bigint, k int, begin int, end int")
+
+    def tree(leaves, together, name):
+        """The leaves, and above them blocks of ever more of them, up to one for each text."""
+        levels, left = [materialise(leaves, name)], most
+        while left > 1:
+            levels.append(materialise(levels[-1].groupBy("uid", F.expr(f"k div {fan}").alias("block")).applyInArrow(together, "uid bigint, k int, m binary"), name))
+            left = -(-left // fan)
+        return levels
+
+    def down(levels, top, spread, schema):
+        rows = top
+        for below in reversed(levels[:-1]):
+            parts = below.withColumn("block", F.expr(f"cast(k div {fan} as int)")).groupBy("uid", "block")
+            rows = parts.cogroup(rows.withColumnRenamed("k", "block").groupBy("uid", "block")).applyInArrow(spread, schema)
+        return rows
+
+    import numpy as np
+
+    start = np.full(w, -np.inf)
+    start[0] = 0.0
+    levels = tree(chunks.select("uid", F.col("chunk").alias("k"), "text", "n").mapInArrow(matrices, "uid bigint, k int, m binary"), combine, "matrices")
+    first = levels[-1].select("uid", "k", F.lit(bytearray(start.tobytes())).alias("prefix"))
+    prefix = down(levels, first, spread_prefix, "uid bigint, k int, prefix binary").withColumnRenamed("k", "chunk")
+    rows = chunks.join(prefix, ["uid", "chunk"]).select("uid", F.col("chunk").alias("k"), "text", "n", "prefix")
+    levels = tree(rows.mapInArrow(entered, "uid bigint, k int, m binary"), chain, "entries")
+    states = down(levels, levels[-1].select("uid", "k", F.lit(0).alias("begin"), F.lit(0).alias("end")), spread_states, "uid bigint, k int, begin int, end int")
 
     def traced(batches):
         import pyarrow as pa
@@ -362,9 +432,10 @@ def encode(docs: DataFrame, path: str, settings: Settings = Settings()) -> DataF
     docs = docs.drop("ids", "chunks")
     long = F.length(text_of()) > settings.giant
     short = encode_short(docs.where(~long), path).withColumn("chunks", F.lit(1))
-    giants = materialise(docs.where(long).withColumn("uid", F.monotonically_increasing_id()), "giants")
-    found = giant_ids(giants.select("uid", "text"), path, settings)
-    return short.unionByName(giants.join(found, "uid").drop("uid").select(*docs.columns, "ids", "chunks"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    giants = materialise(docs.where(long).select(F.monotonically_increasing_id().alias("uid"), whole), "giants")
+    found = giant_ids(giants.select("uid", "row.text"), path, settings)
+    return short.unionByName(giants.join(found, "uid").select("row.*", "ids", "chunks"))
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
