@@ -157,10 +157,11 @@ def mix(docs: DataFrame, labelled: DataFrame, settings: Settings = Settings()) -
 
 def repeated(docs: DataFrame, model, found: Fit, settings: Settings) -> DataFrame:
     """docs, each as often as its rate says: the whole part, and one more if a hash of the row falls below the fraction. No join and no shuffle: rates follow from the texts."""
-    rates = with_rates(posteriors(docs, model, settings), found)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "doc_id", "text")  # no column can clash
+    rates = with_rates(posteriors(rows, model, settings), found)
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
-    return rates.select(*docs.columns, F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))).alias("_copy")).drop("_copy")
+    return rates.select("_row", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>")))).select("_row.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
