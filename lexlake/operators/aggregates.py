@@ -93,3 +93,9 @@ def first_child(children: DataFrame, key: str, value: str, order: list[str], nam
 
 def quotas(rows: DataFrame, key: str, since: Column) -> DataFrame:
     return rows.groupBy(key).agg(F.count_if(F.col("created_at") >= since).alias("recent"), F.count_if("active").alias("active"), F.count_if(~F.col("verified")).alias("unverified"))
+
+
+def queue_depth(jobs: DataFrame, now: str) -> DataFrame:
+    """(kind, state, n, claimable): how many jobs of each kind are in each state, and how many may run."""
+    may = (F.col("state") == "queued") & (F.col("run_after") <= F.lit(now).cast("timestamp_ntz"))
+    return jobs.groupBy("kind", "state").agg(F.count("*").alias("n"), F.count_if(may).alias("claimable"))

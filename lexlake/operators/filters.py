@@ -94,3 +94,10 @@ def scope(kind: str, target: str, topics: dict, known: set[str]) -> Column | Non
             return None
         return topics[slug] & (F.col("code") == code.upper()) if code else topics[slug]
     return None
+
+
+def id_set(column: str, ids: list[int], most: int) -> Column:
+    """An explicit set of ids. More than the bound are an error, so that a plan's size is known."""
+    if len(ids) > most:
+        raise ValueError(f"at most {most} ids")
+    return F.col(column).isin(ids)

@@ -10,7 +10,7 @@ from lexlake.functions.digests import snapshot_id
 
 
 def timeline(sources: dict[str, DataFrame]) -> DataFrame:
-    """(bill_id, day, source, ordinal, what): dated rows of all sources, in date order by source and ordinal."""
+    """(bill_id, day, source_no, source, ordinal, what): dated rows of all sources, in no order: readers of one record sort by (day, source_no, ordinal)."""
     out = None
     for n, (name, rows) in enumerate(sources.items()):
         part = rows.where("day is not null").select("bill_id", "day", F.lit(n).alias("source_no"), F.lit(name).alias("source"), F.col("ordinal").cast("long").alias("ordinal"), F.col("what").cast("string").alias("what"))
@@ -46,3 +46,23 @@ def diffs(versions: DataFrame, key: str, ordinal: str, text: str, context: int =
         return pd.Series([[{"type": kind(x), "text": x} for x in difflib.unified_diff(p.split("\n"), q.split("\n"), lineterm="", n=context)] for p, q in zip(a, b)])
 
     return pairs.select(key, "from", "to", unified("a", "b").alias("lines"))
+
+
+#: Characters of both texts of a comparison together.
+DIFF_MOST = 1_500_000
+
+
+def opcodes(versions: DataFrame, key: str, ordinal: str, text: str) -> DataFrame:
+    """(key, from, to, too_large, ops array<struct<op,i1,i2,j1,j2>>): line edits from each record's first version with a text to its last. Pairs beyond the bound have no ops and say so."""
+    has = versions.where(F.coalesce(F.trim(text), F.lit("")) != "").select(key, F.struct(F.col(ordinal).alias("n"), F.col(text).alias("t")).alias("v"))
+    pairs = has.groupBy(key).agg(F.min_by("v", "v.n").alias("a"), F.max_by("v", "v.n").alias("b")).where("a.n != b.n")
+    pairs = pairs.select(key, F.col("a.n").alias("from"), F.col("b.n").alias("to"), F.col("a.t").alias("old"), F.col("b.t").alias("new"))
+    pairs = pairs.withColumn("too_large", F.length("old") + F.length("new") > DIFF_MOST)
+
+    @F.pandas_udf("array<struct<op:string,i1:int,i2:int,j1:int,j2:int>>")
+    def ops(a: pd.Series, b: pd.Series) -> pd.Series:
+        import difflib
+
+        return pd.Series([[dict(zip(("op", "i1", "i2", "j1", "j2"), o)) for o in difflib.SequenceMatcher(None, p.split("\n"), q.split("\n"), autojunk=False).get_opcodes()] for p, q in zip(a, b)])
+
+    return pairs.select(key, "from", "to", "too_large", F.when(~F.col("too_large"), ops("old", "new")).alias("ops"))
