@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from lexlake.functions.dates import LAG_SECONDS, lagged
 
+from .paging import numbered, range_of
+
 KINDS = ("CREATED", "METADATA", "ACTIONS", "SPONSORS", "STATUS", "TEXT", "VOTE")  # fixed values
 DIGEST_EVENTS, BATCH = 30, 100
 
@@ -45,9 +47,7 @@ def for_scopes(log: DataFrame, scopes: DataFrame, limit: DataFrame) -> DataFrame
 
 def batches(events: DataFrame, subscription: str = "subscription", size: int = BATCH) -> DataFrame:
     """(subscription, batch, first_seq, last_seq, n, more): how each subscription's events are delivered in order."""
-    w = Window.partitionBy(subscription).orderBy("seq")
-    numbered = events.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
-    out = numbered.groupBy(subscription, "batch").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("n"))
+    out = numbered(events, [subscription], "seq", "_n").withColumn("batch", F.expr(f"_n div {size}")).groupBy(subscription, "batch").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("n"))
     return out.withColumn("more", F.col("batch") < F.max("batch").over(Window.partitionBy(subscription)))
 
 
@@ -69,14 +69,12 @@ def digest(events: DataFrame, key: str, most: int = DIGEST_EVENTS) -> DataFrame:
     return totals.join(lines, key).select(key, subject.alias("subject"), "body", F.greatest(F.col("n") - most, F.lit(0)).alias("more"), "last_seq")
 
 
-def skew(log: DataFrame, parts: int = 64) -> DataFrame:
+def skew(log: DataFrame, rows: int | None = None) -> DataFrame:
     """(seq, behind_us): by how much a row's time lies before the greatest time of any smaller or equal seq.
 
     A running maximum within ranges of seq, carried over by the ranges' own maxima: no task holds the whole log.
     """
-    bounds = log.agg(F.percentile_approx("seq", [k / parts for k in range(1, parts)])).first()[0] or []
-    part = sum(((F.col("seq") > b).cast("int") for b in sorted(set(bounds))), F.lit(0))
-    rows = log.select("seq", F.expr("unix_micros(cast(changed_at as timestamp))").alias("us"), part.alias("part"))
+    rows = log.select("seq", F.expr("unix_micros(cast(changed_at as timestamp))").alias("us"), range_of(log, "seq", rows).alias("part"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     carried = rows.groupBy("part").agg(F.max("us").alias("m")).select("part", F.max("m").over(before).alias("carried"))  # a row for each range
     running = F.max("us").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))

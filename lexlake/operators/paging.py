@@ -52,19 +52,43 @@ def capped(df: DataFrame, order: list[Column], cap: int) -> DataFrame:
     return numbered.withColumn("saturated", F.max("_n").over(Window.partitionBy()) > cap).where(F.col("_n") <= cap).drop("_n")
 
 
-def chunks(df: DataFrame, key: str, size: int, buckets: int = 64) -> DataFrame:
-    """(key, chunk): the ordered key in chunks of `size`. Numbers within ranges of the key, offset by the ranges' counts, so no task sorts all rows."""
-    bounds = df.agg(F.percentile_approx(key, [k / buckets for k in range(1, buckets)])).first()[0] or []
-    part = sum(((F.col(key) > b).cast("int") for b in sorted(set(bounds))), F.lit(0))
-    rows = df.select(key, part.alias("_part"))
-    counts = rows.groupBy("_part").count()
-    offsets = counts.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))  # a row for each range
-    number = F.row_number().over(Window.partitionBy("_part").orderBy(key)) + F.col("_before") - 1
-    return rows.join(offsets, "_part").select(key, F.floor(number / size).cast("long").alias("chunk"))
+#: Rows that a range of a whole table's order is meant to have.
+RANGE_ROWS = 1 << 20
+
+
+def range_of(df: DataFrame, key: str, rows: int | None = None) -> Column:
+    """Number of the range of `key` that a row is in; as many ranges as the table's size asks for. Two small jobs find their bounds."""
+    many = 1 + df.count() // (rows or RANGE_ROWS)
+    bounds = sorted(set(df.agg(F.percentile_approx(key, [k / many for k in range(1, many)])).first()[0] or [])) if many > 1 else []
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(key))) if bounds else F.lit(0)
+
+
+def numbered(df: DataFrame, groups: list[str], key: str, name: str, rows: int | None = None) -> DataFrame:
+    """df with a running number from 0 by `key` within each group. Ranges of the key are numbered alone and offset by the counts of those before, so no task sorts a whole group."""
+    parted = df.withColumn("_part", range_of(df, key, rows))
+    counts = parted.groupBy(*groups, "_part").count()
+    before = F.sum("count").over(Window.partitionBy(*groups).orderBy("_part")) - F.col("count")  # a row for each group and range
+    offsets = counts.select(*(F.col(g).alias(f"_g{k}") for k, g in enumerate(groups)), F.col("_part").alias("_p"), before.alias("_before"))
+    same = F.col("_part") == F.col("_p")
+    for k, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{k}"))
+    own = F.row_number().over(Window.partitionBy(*groups, "_part").orderBy(key)) - 1
+    out = parted.withColumn("_own", own).join(offsets, same)
+    return out.withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).select(*df.columns, name)
+
+
+def chunks(df: DataFrame, key: str, size: int, rows: int | None = None) -> DataFrame:
+    """(key, chunk): the ordered key in chunks of `size`, numbered by ranges."""
+    return numbered(df.select(key), [], key, "_n", rows).select(key, F.expr(f"_n div {size}").alias("chunk"))
+
+
+# A cursor is a JSON object of these members in this order, without blanks, in URL-safe base64 without padding.
+MEMBERS = {"v": CURSOR_VERSION, "seq": None}
 
 
 def encode_cursor(seq: int) -> str:
-    return base64.urlsafe_b64encode(json.dumps({"v": CURSOR_VERSION, "seq": seq}, separators=(",", ":")).encode()).decode().rstrip("=")
+    text = json.dumps(MEMBERS | {"seq": seq}, separators=(",", ":"))
+    return base64.urlsafe_b64encode(text.encode()).decode().rstrip("=")
 
 
 def decode_cursor(text: str) -> int:

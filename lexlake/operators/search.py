@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,6 +96,29 @@ def postings(rows: DataFrame, key: str, text: str, analyser=tokens) -> DataFrame
     return rows.select(key, F.explode(analyser(text)).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
 
 
+def write_postings(rows: DataFrame, key: str, fields: dict[str, int], path: str, buckets: int = 256, analyser=tokens) -> None:
+    """Stores (bucket, term, key, weight): each field's occurrences times its weight, in folders by the term's hash and sorted by term, so that a query's scan is pruned to its own terms."""
+    parts = [postings(rows, key, text, analyser).select("term", key, (F.col("tf") * weight).alias("weight")) for text, weight in fields.items()]
+    out = reduce(DataFrame.unionByName, parts).groupBy("term", key).agg(F.sum("weight").alias("weight"))
+    out = out.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    out.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(4))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
+
+
+def search_postings(spark, path: str, words: list[str], key: str = "id", buckets: int = 256) -> DataFrame:
+    """(key, rank): records that have all the words, ranked by their weights, from stored postings alone."""
+    asked = spark.createDataFrame([(w,) for w in sorted(set(words))], "term string").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    folders = [r["bucket"] for r in asked.select("bucket").distinct().collect()]  # of the query's words
+    rows = spark.read.parquet(path).where(F.col("bucket").isin(folders) & F.col("term").isin(sorted(set(words))))
+    return rows.groupBy(key).agg(F.count("*").alias("_n"), F.sum("weight").alias("rank")).where(F.col("_n") == len(set(words))).drop("_n")
+
+
+def branches(parts: list[tuple[DataFrame, int]], key: str, cap: int) -> DataFrame:
+    """(key, rank, total): several branches' hits, each capped by key before it is ranked, the best rank of each key, and how many keys there are. parts: (rows (key, rank), weight)."""
+    capped_parts = [rows.orderBy(key).limit(cap).select(key, (F.col("rank") * weight).alias("rank")) for rows, weight in parts]
+    best = union_best(capped_parts, key)
+    return best.join(F.broadcast(best.agg(F.count("*").alias("total"))), F.lit(True))  # one row
+
+
 def union_best(parts: list[DataFrame], key: str, score: str = "rank") -> DataFrame:
     """The best score of each key over several branches."""
     out = parts[0]

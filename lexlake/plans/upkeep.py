@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexlake.functions import dates
 from lexlake.functions import strings as S
-from lexlake.operators import aggregates, filters, joins, paging, records, sessions
+from lexlake.operators import aggregates, feed, filters, joins, paging, records, search, sessions
 from lexlake.operators import status as ST
 from lexlake.sources import sinks
 from lexlake.sources import tables as T
@@ -185,3 +185,22 @@ def version_opcodes(spark, d):
     docs = T.table(spark, d, "documents")
     rows = docs.select(F.concat_ws("/", "source", "lang").alias("record"), F.col("doc_id").alias("version"), "text")
     return records.opcodes(rows, "record", "version", "text")
+
+
+@query("with t as (select p_partkey id, len(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda x: x = 'blue')) a, len(list_filter(regexp_split_to_array(lower(p_type), '[^a-z0-9]+'), lambda x: x = 'economy')) b from part), h as (select id, a * 4 as rank from t where a > 0 union all select id, b from t where b > 0), m as (select id, max(rank) as rank from h group by 1) select id, cast(rank as bigint) as rank, (select count(*) from m) total from m")
+def fts_branches(spark, d):
+    """Titles weigh four times what descriptions do; the best of a record's branches counts."""
+    p = T.table(spark, d, "part").withColumnRenamed("p_partkey", "id")
+    hits = lambda text, w: p.select("id", F.size(F.filter(search.tokens(text), lambda x: x == w)).cast("long").alias("rank")).where("rank > 0")
+    return search.branches([(hits("p_name", "blue"), 4), (hits("p_type", "economy"), 1)], "id", 100_000)
+
+
+@query("select user_id entity_id, cast(least(count(*), 30) as bigint) items, '<ul><li>' || min(event_id) || ' ' || arg_min(event_type, event_id) opening from events group by 1")
+def digest_mails(spark, d):
+    out = sinks.digest_html(feed.digest(T.change_log(spark, d), "entity_id"))
+    return out.select("entity_id", F.size(F.split("html", "<li>")).cast("long").alias("n"), F.split("html", "</li>")[0].alias("opening")).select("entity_id", (F.col("n") - 1).alias("items"), "opening")
+
+
+@query("select '<sitemapindex>' || string_agg('<sitemap><loc>https://x.test/' || c || '.xml</loc></sitemap>', '' order by c) || '</sitemapindex>' as xml from (select distinct (row_number() over (order by p_partkey) - 1) // 50 c from part)")
+def sitemap_index(spark, d):
+    return sinks.sitemap_index(paging.chunks(T.table(spark, d, "part").select(F.col("p_partkey").alias("id")), "id", 50), "https://x.test/")

@@ -10,13 +10,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 
+def opened(uri: str):
+    """A file of whatever store its URI names, to be read by its parts."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file:///") else uri)
+    return store.open_input_file(path)
+
+
 def zip_csv(spark: SparkSession, path: str, suffixes: tuple[str, ...], columns: list[str], split: int = 10_000) -> DataFrame:
     """Rows of each archive's first member with one of the suffixes, by its header: unknown columns are left out, missing ones null.
 
-    Archives without such a member have no rows. Each archive is one task's, its rows leave in batches of `split`.
+    Archives without such a member have no rows. Archives are read from their paths, so they may be of any size; each is one
+    task's, and its rows leave in batches of `split`.
     """
     schema = StructType([StructField("archive", StringType()), *(StructField(c, StringType()) for c in columns)])
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(path).select("path").repartition("path")
 
     def run(frames: Iterator):
         import csv
@@ -26,8 +35,8 @@ def zip_csv(spark: SparkSession, path: str, suffixes: tuple[str, ...], columns:
         import pandas as pd
 
         for frame in frames:
-            for name, content in zip(frame["path"], frame["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            for name in frame["path"]:
+                with opened(name) as file, zipfile.ZipFile(file) as archive:
                     member = next((m for s in suffixes for m in archive.namelist() if m.endswith(s)), None)
                     if member is None:
                         continue
@@ -43,6 +52,19 @@ def zip_csv(spark: SparkSession, path: str, suffixes: tuple[str, ...], columns:
     return files.mapInPandas(run, schema)
 
 
+def first_session(rows: DataFrame, column: str) -> str | None:
+    """The session that an archive's first row names; None for an empty one."""
+    first = rows.select(column).limit(1).collect()
+    return first[0][0] if first else None
+
+
+def with_bodies(rows: DataFrame, members: DataFrame, file_column: str) -> DataFrame:
+    """rows with the content of the archive's member that they name, null where there is none."""
+    files = members.select(F.col("archive").alias("_archive"), F.col("name").alias("_name"), "content")
+    base = F.regexp_extract(F.col(file_column), r"([^/]*)$", 1)
+    return rows.join(files, (rows["archive"] == files["_archive"]) & (base == files["_name"]), "left").drop("_archive", "_name")
+
+
 def zip_members(spark: SparkSession, path: str) -> DataFrame:
     """(archive, name, content) of each archive's members, by base name: to be joined with rows that name them."""
 

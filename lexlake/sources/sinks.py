@@ -43,6 +43,21 @@ def sitemap(chunks: DataFrame, base: str) -> DataFrame:
     return chunks.groupBy("chunk").agg(F.concat(F.lit("<urlset>"), urls, F.lit("</urlset>")).alias("xml"))
 
 
+def sitemap_index(chunks: DataFrame, base: str) -> DataFrame:
+    """(xml) of (id, chunk): the list of the chunks' sitemaps, which are few."""
+    numbers = F.array_sort(F.collect_set("chunk"))
+    urls = F.array_join(F.transform(numbers, lambda n: F.concat(F.lit(f"<sitemap><loc>{base}"), n.cast("string"), F.lit(".xml</loc></sitemap>"))), "")
+    return chunks.agg(F.concat(F.lit("<sitemapindex>"), urls, F.lit("</sitemapindex>")).alias("xml"))
+
+
+def digest_html(digests: DataFrame) -> DataFrame:
+    """Digests with their lines as an HTML list, and how many others there are."""
+    safe = F.replace(F.replace(F.col("body"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    items = F.array_join(F.transform(F.split(safe, "\n"), lambda x: F.concat(F.lit("<li>"), x, F.lit("</li>"))), "")
+    rest = F.when(F.col("more") > 0, F.concat(F.lit("<p>and "), F.col("more").cast("string"), F.lit(" more</p>"))).otherwise("")
+    return digests.withColumn("html", F.concat(F.lit("<ul>"), items, F.lit("</ul>"), rest))
+
+
 def delivery_bodies(batches: DataFrame, secret: bytes) -> DataFrame:
     """(subscription, first_seq, body, signature) of batches (subscription, events array): halved until the body fits; a single event too large has none."""
     body = lambda e: F.to_json(F.struct(e.alias("events")))
