@@ -83,6 +83,12 @@ def status_detail(old, new) -> Column:
     return F.concat_ws(" -> ", F.coalesce(col(old), F.lit("unknown")), F.coalesce(col(new), F.lit("unknown")))
 
 
+def action_detail(added, revised) -> Column:
+    """"n action(s) added, m revised", without what didn't happen; null if nothing did."""
+    parts = F.when(col(added) > 0, F.concat(col(added).cast("string"), F.lit(" action(s) added"))), F.when(col(revised) > 0, F.concat(col(revised).cast("string"), F.lit(" revised")))
+    return F.nullif(F.concat_ws(", ", *parts), F.lit(""))
+
+
 def plain_text(x) -> Column:
     """No NUL, LF line ends, no blanks at line ends, at most one blank line in a row, no line ends around."""
     out = F.regexp_replace(F.translate(col(x), "\0", ""), "\r\n?", "\n")

@@ -57,8 +57,12 @@ def tally(rows: DataFrame, key: str, option: Column, votes: Column) -> DataFrame
     return rows.groupBy(key).agg(*(F.sum(F.when(c, votes).otherwise(0)).cast("long").alias(n) for n, c in (("yes", option == "yes"), ("no", option == "no"), ("other", ~option.isin("yes", "no")))))
 
 
-def worst_status(rows: DataFrame, group: str, status: str) -> DataFrame:
-    """The least trustworthy status of each group; unknown ones count as the worst."""
+def worst_status(rows: DataFrame, group: str, status: str, groups: DataFrame | None = None) -> DataFrame:
+    """The least trustworthy status of each group; unknown ones count as the worst. groups: all that there are; those without rows are NOT_STARTED."""
+    if groups is not None:
+        found = worst_status(rows, group, status)
+        out = groups.select(group).distinct().join(found, group, "left")
+        return out.select(group, F.coalesce("worst", F.lit("NOT_STARTED")).alias("worst"), F.coalesce("severity", F.lit(0)).alias("severity"))
     table = F.create_map(*(F.lit(x) for item in SEVERITY.items() for x in item))
     severity = F.coalesce(F.try_element_at(table, F.col(status)), F.lit(0))
     return rows.groupBy(group).agg(F.min_by(status, F.struct(severity, F.col(status))).alias("worst"), F.min(severity).alias("severity"))

@@ -81,6 +81,11 @@ def skew(log: DataFrame, rows: int | None = None) -> DataFrame:
     return rows.withColumn("running", running).join(carried, "part").select("seq", (F.greatest("running", "carried") - F.col("us")).alias("behind_us"))
 
 
+def start_cursor(stored: Column, mark: Column) -> Column:
+    """Where a reader begins: a cursor of 0 has never read and goes to the watermark without telling anything."""
+    return F.when(F.coalesce(stored, F.lit(0)) == 0, mark).otherwise(stored)
+
+
 def advanced(old: Column, new: Column) -> Column:
     """A cursor never goes back."""
     return F.greatest(old, new)

@@ -29,10 +29,23 @@ def due(rows: DataFrame, now: str) -> DataFrame:
     return rows.where(F.col("active") & F.col("verified") & (F.col("next_attempt_at").isNull() | (F.col("next_attempt_at") <= at)))
 
 
-def claim(jobs: DataFrame, now: str, kinds: list[str] | None = None, most: int = 1) -> DataFrame:
-    """The oldest jobs that may run; taking them is the single writer's next snapshot."""
+def enqueued(jobs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (kind, payload) without what is queued or running already, each once."""
+    open_ = jobs.where(F.col("state").isin("queued", "running")).select("kind", "payload")
+    return wanted.select("kind", "payload").distinct().join(open_, ["kind", "payload"], "left_anti")
+
+
+def last_enqueued(jobs: DataFrame, kind: str, states: tuple[str, ...] = ("queued", "running", "done")) -> DataFrame:
+    """(payload, last): when the newest job of a kind was made for each payload, in any of three states."""
+    rows = jobs.where((F.col("kind") == kind) & F.col("state").isin(*states))
+    return rows.groupBy("payload").agg(F.max("created_at").alias("last"))
+
+
+def claim(jobs: DataFrame, now: str, kinds: list[str] | None = None, most: int = 1, but: list[str] | None = None) -> DataFrame:
+    """The oldest jobs that may run, of some kinds only or of all but some; taking them is the single writer's next snapshot."""
     rows = jobs.where((F.col("state") == "queued") & (F.col("run_after") <= F.lit(now).cast("timestamp_ntz")))
     rows = rows.where(F.col("kind").isin(kinds)) if kinds else rows
+    rows = rows.where(~F.col("kind").isin(but)) if but else rows
     return rows.orderBy("run_after", "id").limit(most)
 
 

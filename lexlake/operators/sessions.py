@@ -42,3 +42,9 @@ def recently_active(actions: DataFrame, key: list[str], day: str, what: Column,
 def largest(bills: DataFrame, key: list[str], most: int) -> DataFrame:
     """The sessions, or places, with the most records."""
     return bills.groupBy(*key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *key).limit(most)
+
+
+def resolved_or_new(wanted: DataFrame, known: DataFrame, key: list[str], new_id: Column) -> DataFrame:
+    """wanted with found and session_id: that of the known session, else a new one's."""
+    out = wanted.join(known.select(*key, F.col("session_id").alias("_id")), key, "left")
+    return out.select(*key, F.col("_id").isNotNull().alias("found"), F.coalesce("_id", new_id).alias("session_id"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexlake.functions import dates
 from lexlake.functions import strings as S
-from lexlake.operators import aggregates, feed, filters, joins, paging, records, search, sessions
+from lexlake.operators import aggregates, feed, filters, joins, paging, records, schedule, search, sessions, text
 from lexlake.operators import status as ST
 from lexlake.sources import sinks
 from lexlake.sources import tables as T
@@ -204,3 +204,83 @@ def digest_mails(spark, d):
 @query("select '<sitemapindex>' || string_agg('<sitemap><loc>https://x.test/' || c || '.xml</loc></sitemap>', '' order by c) || '</sitemapindex>' as xml from (select distinct (row_number() over (order by p_partkey) - 1) // 50 c from part)")
 def sitemap_index(spark, d):
     return sinks.sitemap_index(paging.chunks(T.table(spark, d, "part").select(F.col("p_partkey").alias("id")), "id", 50), "https://x.test/")
+
+
+@query("select n_nationkey place, coalesce(arg_min(s, v), 'NOT_STARTED') worst, coalesce(min(v), 0) severity from nation left join (select c_nationkey, case c_mktsegment when 'BUILDING' then 'GREEN' else 'VALIDATING' end s, case c_mktsegment when 'BUILDING' then 6 else 5 end v from customer where c_acctbal > 9000) on c_nationkey = n_nationkey group by 1")
+def worst_or_not_started(spark, d):
+    rows = T.table(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("place"), F.when(F.col("c_mktsegment") == "BUILDING", "GREEN").otherwise("VALIDATING").alias("state"))
+    return aggregates.worst_status(rows, "place", "state", T.jurisdictions(spark, d).select(F.col("jurisdiction_id").alias("place")))
+
+
+@query("select user_id entity_id, case when max(event_id) % 4 = 0 then (select max(event_id) from events) else max(event_id) end as start from events group by 1")
+def cursor_start(spark, d):
+    log = T.change_log(spark, d)
+    rows = log.groupBy("entity_id").agg(F.max("seq").alias("m")).join(F.broadcast(log.agg(F.max("seq").alias("w"))), F.lit(True))  # one row
+    return rows.select("entity_id", feed.start_cursor(F.when(F.col("m") % 4 == 0, 0).otherwise(F.col("m")), F.col("w")).alias("start"))
+
+
+@query("select l_orderkey bill_id, case when a + r > 0 then array_to_string(list_filter([case when a > 0 then a || ' action(s) added' end, case when r > 0 then r || ' revised' end], lambda x: x is not null), ', ') end detail from (select l_orderkey, count(*) filter (l_returnflag = 'A') a, count(*) filter (l_returnflag = 'R') r from lineitem group by 1)")
+def action_details(spark, d):
+    counts = T.actions(spark, d).groupBy("bill_id").agg(F.count_if(F.col("kind").startswith("A")).alias("a"), F.count_if(F.col("kind").startswith("R")).alias("r"))
+    return counts.select("bill_id", S.action_detail("a", "r").alias("detail"))
+
+
+LEDGER_SQL = "(select o_orderkey id, case o_orderstatus when 'O' then 'queued' when 'F' then 'done' else 'dead' end state, case when o_orderkey % 2 = 0 then 'sync' else 'text' end kind, o_custkey payload, cast(o_orderdate as date) created_at from orders)"
+
+
+def ledger(spark, d):
+    s = F.col("o_orderstatus")
+    state = F.when(s == "O", "queued").when(s == "F", "done").otherwise("dead")
+    kind = F.when(F.col("o_orderkey") % 2 == 0, "sync").otherwise("text")
+    return T.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), state.alias("state"), kind.alias("kind"), F.col("o_custkey").alias("payload"), F.col("o_orderdate").cast("date").alias("created_at"))
+
+
+@query(f"with l as (select payload, max(created_at) last from {LEDGER_SQL} where kind = 'sync' and state <> 'dead' group by 1) select c_custkey id, cast(last as varchar) as last, last is null or datediff('day', last, date '1998-06-17') >= 365 due from customer left join l on payload = c_custkey")
+def plan_sync(spark, d):
+    """What to sync next, by when it was last put into the queue."""
+    last = schedule.last_enqueued(ledger(spark, d), "sync")
+    rows = T.table(spark, d, "customer").select(F.col("c_custkey").alias("id")).join(last, F.col("id") == F.col("payload"), "left")
+    return rows.select("id", F.col("last").cast("string").alias("last"), dates.due(F.col("last").cast("timestamp"), F.lit(365 * 1440), F.lit("1998-06-17").cast("timestamp")).alias("due"))
+
+
+@query(f"select c_custkey payload from customer where c_custkey not in (select payload from {LEDGER_SQL} where kind = 'text' and state = 'queued')")
+def enqueued_texts(spark, d):
+    wanted = T.table(spark, d, "customer").select(F.lit("text").alias("kind"), F.col("c_custkey").alias("payload"))
+    return schedule.enqueued(ledger(spark, d), wanted.union(wanted)).select("payload")
+
+
+@query(f"select id from {JOBS_SQL} where state = 'queued' and run_after <= timestamp '1997-01-01' and kind not in ('5-LOW') order by run_after, id limit 25")
+def claimed_jobs(spark, d):
+    return schedule.claim(jobs(spark, d), "1997-01-01", most=25, but=["5-LOW"]).select("id")
+
+
+@query("select doc_id id, text is not null and text <> '' has_text, cast(length(text) as bigint) n from documents")
+def narrow_projection(spark, d):
+    return T.table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("text").isNotNull() & (F.col("text") != "")).alias("has_text"), F.length("text").cast("long").alias("n"))
+
+
+@query("""with a as (select l_orderkey k, count(*) n, count(distinct l_suppkey) s, count(*) filter (l_returnflag = 'R') v, string_agg(l_linenumber, ',' order by l_linenumber, l_suppkey, l_partkey) places from lineitem group by 1)
+ select o_orderkey id, coalesce(n, 0) actions, coalesce(s, 0) sponsors, coalesce(v, 0) votes, coalesce(places, '') places from orders left join a on k = o_orderkey""")
+def bill_full(spark, d):
+    """A record and its lists in one row."""
+    a = T.actions(spark, d)
+    kids = {"actions": (a, "bill_id", ["place", "sponsor_id", "part_id"], ["kind"]), "sponsors": (a.select("bill_id", "sponsor_id").distinct(), "bill_id", ["sponsor_id"], []), "votes": (a.where("kind like 'R%'"), "bill_id", ["place", "sponsor_id"], [])}
+    rows = joins.with_children(T.table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), "id", kids)
+    size = lambda c: F.size(c).cast("long").alias(c)
+    return rows.select("id", size("actions"), size("sponsors"), size("votes"), F.array_join(F.transform("actions", lambda x: x["place"].cast("string")), ",").alias("places"))
+
+
+@query(f"""with s as (select distinct jurisdiction_id place, year from {BILLS}), w as (select n_nationkey place, y from nation, (values (1995), (1996), (2050)) v(y))
+ select w.place, y, s.year is not null found, coalesce(s.year, w.place * 10000 + y) session_id from w left join s on s.place = w.place and s.year = y""")
+def sessions_resolved(spark, d):
+    """By the exact year, else a new session."""
+    known = T.bills(spark, d).select(F.col("jurisdiction_id").alias("place"), F.col("year").alias("y")).distinct().withColumn("session_id", F.col("y"))
+    wanted = T.jurisdictions(spark, d).select(F.col("jurisdiction_id").alias("place"), F.explode(F.array(*map(F.lit, (1995, 1996, 2050)))).alias("y"))
+    return sessions.resolved_or_new(wanted, known, ["place", "y"], F.col("place") * 10_000 + F.col("y"))
+
+
+@query("select page_id, 'html' kind, page_id % 3 <> 0 first_text from pages")
+def fetched_texts(spark, d):
+    """What a fetched body is, and whether its text is the record's first."""
+    p = T.table(spark, d, "pages").select("page_id", "url", "html", F.when(F.col("page_id") % 3 == 0, "old").otherwise("").alias("before"))
+    return text.fetched(p, "url", "html", "before").select("page_id", "kind", "first_text")
