@@ -63,8 +63,8 @@ def range_of(df: DataFrame, key: str, rows: int | None = None) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(key))) if bounds else F.lit(0)
 
 
-def numbered(df: DataFrame, groups: list[str], key: str, name: str, rows: int | None = None) -> DataFrame:
-    """df with a running number from 0 by `key` within each group. Ranges of the key are numbered alone and offset by the counts of those before, so no task sorts a whole group."""
+def numbered(df: DataFrame, groups: list[str], key: str, name: str, rows: int | None = None, order: list[str] | None = None) -> DataFrame:
+    """df with a running number from 0 by `key` (or by `order`, which begins with what the key ranks) within each group. Ranges of the key are numbered alone and offset by the counts of those before, so no task sorts a whole group."""
     parted = df.withColumn("_part", range_of(df, key, rows))
     counts = parted.groupBy(*groups, "_part").count()
     before = F.sum("count").over(Window.partitionBy(*groups).orderBy("_part")) - F.col("count")  # a row for each group and range
@@ -72,7 +72,7 @@ def numbered(df: DataFrame, groups: list[str], key: str, name: str, rows: int |
     same = F.col("_part") == F.col("_p")
     for k, g in enumerate(groups):
         same = same & F.col(g).eqNullSafe(F.col(f"_g{k}"))
-    own = F.row_number().over(Window.partitionBy(*groups, "_part").orderBy(key)) - 1
+    own = F.row_number().over(Window.partitionBy(*groups, "_part").orderBy(*(order or [key]))) - 1
     out = parted.withColumn("_own", own).join(offsets, same)
     return out.withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).select(*df.columns, name)
 

@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .paging import numbered
+
 
 def fair_order(pending: DataFrame, group: str, item: str, covered: str, order: list[str]) -> DataFrame:
     """pending with `turn`: within a group, first those of items not covered, of each item one at a time. Sorted by (turn, group) that is round robin."""
-    n = F.row_number().over(Window.partitionBy(group, item).orderBy(*order))
-    rows = pending.withColumn("in_item", n)
-    return rows.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(covered, "in_item", *order)))
+    rows = numbered(pending, [group, item], order[0], "_n", order=order).withColumn("in_item", F.col("_n") + 1).drop("_n")
+    rows = rows.withColumn("_key", F.col(covered).cast("long") * (1 << 40) + F.col("in_item"))
+    rows = numbered(rows, [group], "_key", "_n", order=[covered, "in_item", *order])
+    return rows.withColumn("turn", F.col("_n") + 1).drop("_n", "_key")
 
 
 def priority_plan(rows: DataFrame, key: str, priority: Column, last: str, batch: int) -> DataFrame:
