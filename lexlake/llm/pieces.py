@@ -29,6 +29,8 @@ NORMAL, UNKNOWN, BYTE = 1, 2, 6
 UNIGRAM, BPE = 1, 2
 #: What the library takes off the least score for a character that no piece has (fixed value).
 UNKNOWN_PENALTY = 10.0
+#: Words whose ids a worker holds; bounds its memory, not results.
+CACHE_UNITS = 200_000
 
 
 @dataclass(frozen=True)
@@ -124,6 +126,7 @@ class Pieces:
         self.library = sentencepiece.SentencePieceProcessor(model_proto=message(rebuilt))
         self.raw = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind != NORMAL else p.replace(SPACE, " ").encode() for p, kind in zip(self.pieces, self.kinds)]
         self.units: dict[str, bytes] = {}
+        self.seen = bytearray(1 << 22)
 
     def normalised(self, text: str) -> str:
         return (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
@@ -132,13 +135,19 @@ class Pieces:
         """Ids (little-endian 32-bit) of texts between cuts, from the cache or the library."""
         import numpy as np
 
-        if len(self.units) > 500_000:
+        if len(self.units) > CACHE_UNITS:
             self.units.clear()
         new = sorted(set(units).difference(self.units))
         if new:
             for u, ids in zip(new, self.library.encode(new, num_threads=1)):
                 self.units[u] = np.array(ids, "<i4").tobytes()
-        return list(map(self.units.__getitem__, units))
+        out = list(map(self.units.__getitem__, units))
+        for u in new:  # those that come up for the first time aren't worth keeping
+            mark = hash(u) & (len(self.seen) - 1)
+            if not self.seen[mark]:
+                self.seen[mark] = 1
+                del self.units[u]
+        return out
 
     def split(self, text: str) -> list[str]:
         """A normalised text's units: each begins at a cut."""

@@ -104,53 +104,76 @@ def training_rows(docs: DataFrame, marks: DataFrame, settings: Settings, keep=No
 PART = 1 << 20
 
 
+class Lists:
+    """Lists of buckets, one behind another: list k is values[starts[k] : starts[k + 1]]."""
+
+    def __init__(self, columns, keep=None):
+        """columns: Arrow arrays of lists. keep: which buckets stay."""
+        parts, lengths = [], []
+        for c in columns:
+            values, n = np.asarray(c.flatten()), np.asarray(c.value_lengths())
+            if keep is not None:
+                held = keep[values]
+                ends = np.append(0, np.cumsum(held))
+                at = np.append(0, np.cumsum(n))
+                values, n = values[held], np.diff(ends[at])
+            parts.append(values)
+            lengths.append(n)
+        self.values = np.concatenate(parts) if parts else np.empty(0, np.int32)
+        self.starts = np.append(0, np.cumsum(np.concatenate(lengths))) if lengths else np.zeros(1, np.int64)
+
+    def passes(self):
+        """(first list, end, values, place of each value's list from the first) of runs of lists with about PART values."""
+        at, n = 0, len(self.starts) - 1
+        while at < n:
+            end = min(n, max(at + 1, int(np.searchsorted(self.starts, self.starts[at] + PART, "right")) - 1))
+            yield at, end, self.values[self.starts[at] : self.starts[end]], np.repeat(np.arange(end - at), np.diff(self.starts[at : end + 1]))
+            at = end
+
+
 def fit(rows, settings: Settings) -> Model:
     """Accelerated proximal gradient over the bounded sample. rows: a pyarrow table of training_rows."""
-    size = 1 << settings.bits
-    rows = rows.combine_chunks()
-    y = np.asarray(rows["toxic"]).astype(float)
+    size, y = 1 << settings.bits, np.asarray(rows["toxic"]).astype(float)
     if not len(y):
         return Model(np.zeros(size, np.float32), -np.inf, settings.bits)
-
-    def flat(name):
-        lists = rows[name].combine_chunks()
-        return np.asarray(lists.flatten()), np.repeat(np.arange(len(y), dtype=np.int32), np.asarray(lists.value_lengths()))
-
-    def parts(n):  # bounded temporaries
-        return (slice(at, at + PART) for at in range(0, n, PART))
-
-    (f, doc), (s, of) = flat("features"), flat("swap")
-    del rows
+    swap = Lists(rows["swap"].chunks)
     # buckets of few documents say nothing that carries over
-    in_documents, cuts = np.zeros(size, np.int64), np.searchsorted(doc, np.arange(0, len(y) + 500, 500))
-    for at, end in zip(cuts, cuts[1:]):
-        in_documents += np.bincount(np.unique(doc[at:end].astype(np.int64) * size + f[at:end]) % size, minlength=size)
-    held = in_documents >= settings.least_documents
-    f, doc = f[held[f]], doc[held[f]]
-    sign, s = np.sign(s), np.abs(s) - 1
+    in_documents = np.zeros(size, np.int64)
+    for c in rows["features"].chunks:
+        for _, _, values, of in Lists([c]).passes():
+            in_documents += np.bincount(np.unique(of * size + values) % size, minlength=size)
+    features = Lists(rows["features"].chunks, in_documents >= settings.least_documents)
+    del rows
+    sign, s = np.sign(swap.values), np.abs(swap.values) - 1
+    of = np.repeat(np.arange(len(y)), np.diff(swap.starts))
     swaps = max(len(np.unique(of)), 1)
     w, v, momentum = np.zeros(size), np.zeros(size), 1.0
     bias = bias_v = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
-    scale = 1 / np.sqrt(1 + sum((np.bincount(f[k], minlength=size) for k in parts(len(f))), np.zeros(size)) / len(y) * 4)  # common words get smaller steps
+    common = sum((np.bincount(x, minlength=size) for _, _, x, _ in features.passes()), np.zeros(size))
+    scale = 1 / np.sqrt(1 + common / len(y) * 4)  # common words get smaller steps
     step = 8.0
     loss_before = np.inf
     for _ in range(settings.steps):
         x = scale * v
-        z = sum((np.bincount(doc[k], x[f[k]], len(y)) for k in parts(len(f))), np.zeros(len(y))) + bias_v
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        g, loss, miss = np.zeros(size), 0.0, 0.0
+        for at, end, values, row in features.passes():
+            z = np.bincount(row, x[values], end - at) + bias_v
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            loss += float(np.sum(np.logaddexp(0, z) - y[at:end] * z)) / len(y)
+            g += np.bincount(values, (p - y[at:end])[row], size)
+            miss += float(np.sum(p - y[at:end])) / len(y)
         change = np.bincount(of, sign * x[s], len(y)) if len(s) else np.zeros(len(y))
-        loss = float(np.mean(np.logaddexp(0, z) - y * z) + settings.penalty * np.square(change).sum() / swaps / 2 + settings.l1 * np.abs(v).sum())
+        loss += float(settings.penalty * np.square(change).sum() / swaps / 2 + settings.l1 * np.abs(v).sum())
         if loss > loss_before * 1.02:  # too long a step
             step, momentum, v, bias_v, loss_before = step / 2, 1.0, w.copy(), bias, np.inf
             continue
         loss_before = loss
-        miss = p - y
-        g = scale * sum((np.bincount(f[k], miss[doc[k]], size) for k in parts(len(f))), np.zeros(size)) / len(y) + settings.l2 * v
+        g = scale * g / len(y) + settings.l2 * v
         if len(s):
             g += settings.penalty * scale * np.bincount(s, sign * change[of], size) / swaps
         new = v - step * g
         new = np.sign(new) * np.maximum(np.abs(new) - step * settings.l1, 0)
-        new_bias = bias_v - min(step, 1.0) * float(np.mean(p - y))
+        new_bias = bias_v - min(step, 1.0) * miss
         after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         v, bias_v = new + (momentum - 1) / after * (new - w), new_bias + (momentum - 1) / after * (new_bias - bias)
         w, bias, momentum = new, new_bias, after
