@@ -28,13 +28,12 @@ class Settings:
     """words: of a shingle. percent: least Jaccard similarity of a link.
 
     trees, branches: a tree begins with two branches, of which a pair at similarity 0.8 shares one with probability 0.96.
-    Further down a node has 1.25 branches on average, the inverse of that similarity, so that nodes of less similar
-    documents die out, although they share a passage. Such a branching keeps a pair with probability 0.84; four of them
-    in each of eight trees lose it with 0.005, none with 1e-11. node: most
-    classes that are compared exhaustively at once. loose: least share of equal signature values of a candidate, seven
+    In the next three levels a node has 1.25 branches on average, the inverse of that similarity, and one below, so that
+    nodes of less similar documents die out, although they share a passage. A branching keeps a pair with probability
+    0.84 (0.8 below); being branched four times in each of eight trees loses it with 0.006, none with 1e-11. node: most
+    classes that are compared exhaustively at once. loose: least share of equal signature values of a candidate, five
     standard deviations below 0.8 with 64 values. close: that of members for which a leader stands; whatever is linked
-    with these has similarity 0.58 at least to the leader, by the triangle inequality, two standard deviations above
-    loose in each tree.
+    with these has similarity 0.62 at least to the leader, by the triangle inequality, and usually more: well above loose.
     """
 
     words: int = 5
@@ -43,8 +42,8 @@ class Settings:
     trees: int = 8
     branches: int = 2
     node: int = 256
-    loose: float = 0.45
-    close: float = 0.78
+    loose: float = 0.52
+    close: float = 0.82
 
 
 #: What a text with a set has: a character that isn't ASCII white space.
@@ -243,7 +242,7 @@ def candidates(classes: DataFrame, settings: Settings) -> DataFrame:
         told = nodes.join(leaders, "node").join(classes, "class").where("class != leader").withColumn("agree", F.expr(agreement("signature", "leads")))
         told = materialise(told.select("node", "class", "signature", "leader", "agree"), "told")
         found.append(told.where(F.col("agree") >= settings.loose * settings.signature).select(F.col("class").alias("a"), F.col("leader").alias("b")))
-        more = F.when(F.pmod(F.xxhash64("node", F.lit("more")), F.lit(4)) == 0, 2).otherwise(1)
+        more = F.when(F.pmod(F.xxhash64("node", F.lit("more")), F.lit(4)) == 0, 2).otherwise(1) if len(levels) <= 3 else F.lit(1)
         nodes = branch(told.where(F.col("agree") < settings.close * settings.signature), settings, more)
     # many nodes have the same members: comparing one of them is enough
     chosen = reduce(DataFrame.union, (sizes for _, sizes in levels)).groupBy("size", "x", "y").agg(F.min("node").alias("node")).select("node")
@@ -331,7 +330,7 @@ def verify_blocks(sets: DataFrame, settings: Settings, block: int) -> DataFrame:
     return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint")
 
 
-def links(sets: DataFrame, settings: Settings, rounds: int = 4) -> DataFrame:
+def links(sets: DataFrame, settings: Settings, rounds: int = 2) -> DataFrame:
     """True links (a, b) that connect what the true links within each group connect. sets: (group, class, keys).
 
     In a large group, all are compared with a leader. Let g be the largest similarity below the threshold t. Whoever is
