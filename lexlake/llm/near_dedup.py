@@ -30,7 +30,7 @@ class Settings:
     trees, branches: a tree begins with two branches, of which a pair at similarity 0.8 shares one with probability 0.96.
     In the next three levels a node has 1.25 branches on average, the inverse of that similarity, and one below, so that
     nodes of less similar documents die out, although they share a passage. A branching keeps a pair with probability
-    0.84 (0.8 below); being branched four times in each of eight trees loses it with 0.006, none with 1e-11. node: most
+    0.84 (0.8 below); being branched four times in each of eight trees loses it with 0.008, none with 1e-11. node: most
     classes that are compared exhaustively at once. loose: least share of equal signature values of a candidate, five
     standard deviations below 0.8 with 64 values. close: that of members for which a leader stands; whatever is linked
     with these has similarity 0.62 at least to the leader, by the triangle inequality, and usually more: well above loose.
