@@ -31,9 +31,9 @@ class Settings:
     In the next three levels a node has 1.25 branches on average, the inverse of that similarity, and one below, so that
     nodes of less similar documents die out, although they share a passage. A branching keeps a pair with probability
     0.84 (0.8 below); being branched four times in each of eight trees loses it with 0.008, none with 1e-11. node: most
-    classes that are compared exhaustively at once. loose: least share of equal signature values of a candidate, five
+    classes that are compared exhaustively at once. loose: least share of equal signature values of a candidate, four
     standard deviations below 0.8 with 64 values. close: that of members for which a leader stands; whatever is linked
-    with these has similarity 0.62 at least to the leader, by the triangle inequality, and usually more: well above loose.
+    with these has similarity 0.65 at least to the leader, by the triangle inequality, and usually more, and meets another in each tree.
     """
 
     words: int = 5
@@ -42,8 +42,8 @@ class Settings:
     trees: int = 8
     branches: int = 2
     node: int = 256
-    loose: float = 0.52
-    close: float = 0.82
+    loose: float = 0.6
+    close: float = 0.85
 
 
 #: What a text with a set has: a character that isn't ASCII white space.
@@ -330,7 +330,7 @@ def verify_blocks(sets: DataFrame, settings: Settings, block: int) -> DataFrame:
     return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint")
 
 
-def links(sets: DataFrame, settings: Settings, rounds: int = 2) -> DataFrame:
+def links(sets: DataFrame, settings: Settings, rounds: int = 4) -> DataFrame:
     """True links (a, b) that connect what the true links within each group connect. sets: (group, class, keys).
 
     In a large group, all are compared with a leader. Let g be the largest similarity below the threshold t. Whoever is
