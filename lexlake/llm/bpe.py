@@ -23,6 +23,8 @@ class WordEncoder:
     literal: special tokens in a text are encoded as the characters that they are, so none of their ids occurs.
     """
 
+    newline, uncut = NEWLINE_ID, WHOLE
+
     def __init__(self, path: str, literal: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -38,7 +40,7 @@ class WordEncoder:
         self.words: dict[str, int] = {"\n": 0}
         self.table, self.used = np.empty(1 << 20, "<u4"), 1
         self.starts, self.counts = np.zeros(CACHE_WORDS, np.int64), np.ones(CACHE_WORDS, np.int32)
-        self.table[0], self.seen = NEWLINE_ID, np.zeros(SEEN, bool)
+        self.table[0], self.seen = self.newline, np.zeros(SEEN, bool)
 
     def whole(self, text: str):
         import numpy as np
@@ -114,7 +116,7 @@ class WordEncoder:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        whole = np.asarray(pc.match_substring_regex(texts, WHOLE)) | (np.asarray(pc.binary_length(texts)) == 0)
+        whole = np.asarray(pc.match_substring_regex(texts, self.uncut)) | (np.asarray(pc.binary_length(texts)) == 0)
         ids, counts = self.by_words(texts.filter(pa.array(~whole))) if not whole.all() else (np.empty(0, "<u4"), np.empty(0, np.int64))
         if not whole.any():
             return ids, counts

@@ -41,6 +41,11 @@ def text_of(column="text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def type_of(df: DataFrame, column: str) -> str:
+    """A column's type as a schema string has it."""
+    return df.schema[column].dataType.simpleString()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, line_dedup, lm_scoring, matroska, mixing, near_dedup, pieces, token_counts, token_output, toxicity
+from . import fingerprints, line_dedup, lm_scoring, matroska, mixing, near_dedup, packing, pieces, ranking, token_alignment, token_counts, token_output, toxicity
 
 QUERIES = {
     "op7_token_counts": token_counts.op7_token_counts,
@@ -15,6 +15,9 @@ QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op4_media_columns": matroska.op4_media_columns,
     "op2_token_output": token_output.op2_token_output,
+    "op11_token_alignment": token_alignment.op11_token_alignment,
+    "op12_packing": packing.op12_packing,
+    "op13_ranking": ranking.op13_ranking,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op13_ranking": ranking.ORACLE_SQL}
