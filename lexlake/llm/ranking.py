@@ -35,7 +35,7 @@ class Settings:
     """most: documents ranked for an item. shard_bytes: of text in a shard. batch_terms: about as many (item, term) pairs are searched at once. first_range: documents of a shard's first range."""
 
     most: int = 10
-    shard_bytes: int = 32 << 20
+    shard_bytes: int = 12 << 20
     batch_terms: int = 200_000
     first_range: int = 64
     last_range: int = 4096
@@ -240,7 +240,7 @@ def searched(stored: DataFrame, weighted: list, item_type: str, id_type: str, do
 
     item_pa = to_arrow_type(_parse_datatype_string(item_type))
     asked = stored.sparkSession.createDataFrame([(t,) for t in names], "term string")
-    rows = stored.join(asked, "term", "left_semi").unionByName(stored.where("term is null"))
+    rows = stored.join(F.broadcast(asked), "term", "left_semi").unionByName(stored.where("term is null"))  # asked holds no more than batch_terms
     return rows.select("shard", "term", "most", "least", "docs", "occurrences", "ids", "lengths").groupBy("shard").applyInArrow(lambda table: run(table.drop_columns("shard")), f"item bigint, item_id {item_type}, doc_id {id_type}, score bigint")
 
 

@@ -100,8 +100,13 @@ def brute_alignment(texts):
                 at += len(f(k))
                 mine.append(at)
             ends.append(mine)
-        cuts = sorted(set(ends[0]) & set(ends[1]))
-        parts = [([k for k, e in zip(ia, ends[0]) if lo < e <= hi], [k for k, e in zip(ib, ends[1]) if lo < e <= hi]) for lo, hi in zip([0, *cuts], cuts)]
+        cuts = {e: k for k, e in enumerate(sorted(set(ends[0]) & set(ends[1])))}
+        parts = [([], []) for _ in cuts]
+        for side, (ids, own) in enumerate(zip((ia, ib), ends)):
+            at = 0
+            for k, e in zip(ids, own):
+                parts[at][side].append(k)
+                at = cuts[e] + 1 if e in cuts else at
         links = Counter((p, q) for g in parts for p in g[0] for q in g[1])
         out.append((parts, links))
         held.update(links.keys())
