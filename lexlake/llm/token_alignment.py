@@ -33,9 +33,10 @@ CALL = 50
 
 @dataclass(frozen=True)
 class Settings:
-    """block_bytes: of text that is counted at once."""
+    """block_bytes: of text that is counted at once. align_bytes: of text that is aligned at once, which takes some 40 times that of memory."""
 
     block_bytes: int = 16 << 20
+    align_bytes: int = 2 << 20
 
 
 class LedByteEncoder(WordEncoder):
@@ -234,6 +235,27 @@ def aligned(aligner: Aligner, texts) -> tuple:
     return columns, *linked(a_ids, b_ids, a_group, b_group, doc_of_group, aligner.many[1])
 
 
+def cut(texts, most: int):
+    """(first row, number of rows) of slices of at most so many bytes, or one text."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends, at = np.cumsum(np.asarray(pc.binary_length(texts)), dtype=np.int64), 0
+    while at < len(texts):
+        n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")) - at)
+        yield at, n
+        at += n
+
+
+def aligned_by_parts(aligner: Aligner, texts, most: int) -> tuple:
+    """aligned() of ever so many bytes, put together."""
+    import numpy as np
+
+    parts = [(at, *aligned(aligner, texts.slice(at, n))) for at, n in cut(texts, most)]
+    facts = {c: np.concatenate([f[c] for _, f, _, _ in parts]) for c in parts[0][1]}
+    return facts, np.concatenate([keys + (at << 40) for at, _, keys, _ in parts]), np.concatenate([links for *_, links in parts])
+
+
 _aligners: dict[tuple[str, str], Aligner] = {}
 
 
@@ -254,16 +276,13 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, settings: Settings = Setti
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         aligner, block = aligner_of(a_path, b_path), TaskContext.get().partitionId() << 32
         lists = lambda bounds, values: pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
         for batch in batches:
-            ends, at = np.cumsum(np.asarray(pc.binary_length(batch.column(1))), dtype=np.int64), 0
-            while at < batch.num_rows:
-                n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + settings.block_bytes, "right")) - at)
-                facts, keys, links = aligned(aligner, batch.column(1).slice(at, n))
+            for at, n in cut(batch.column(1), settings.block_bytes):
+                facts, keys, links = aligned_by_parts(aligner, batch.column(1).slice(at, n), settings.align_bytes)
                 pairs, places = np.unique(keys & ((1 << 40) - 1), return_inverse=True)
                 bounds = np.searchsorted(keys >> 40, np.arange(n + 1))
                 null = lambda m, kind: pa.nulls(m, kind)
@@ -273,7 +292,7 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, settings: Settings = Setti
                     rows = np.append(np.arange(0, many, LIST_ROW), many)
                     m = len(rows) - 1
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), null(m, batch.column(0).type), *(null(m, pa.int64()) for _ in FACTS), null(m, pa.string()), null(m, pa.list_(pa.int32())), null(m, longs), lists(rows, pairs), lists(rows, np.bincount(places, minlength=many))], STORED)
-                at, block = at + n, block + 1
+                block += 1
 
     facts = ", ".join(f"{c} bigint" for c in FACTS)
     schema = f"block bigint, doc_id {type_of(docs, id_col)}, {facts}, groups_sha256 string, places array<int>, links array<bigint>, pairs array<bigint>, held array<bigint>"

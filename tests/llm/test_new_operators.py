@@ -121,7 +121,7 @@ def test_token_alignment(spark, docs, folder, monkeypatch):
     texts = [(i, x if x is None or len(x) < 5000 else x[:5000]) for i, x in TEXTS]
     want = Counter((i, *r) for (i, _), r in zip(texts, brute_alignment([x for _, x in texts])))
     cut = docs.withColumn("text", F.substring("text", 1, 5000))
-    for settings in (token_alignment.Settings(), token_alignment.Settings(block_bytes=6000)):
+    for settings in (token_alignment.Settings(), token_alignment.Settings(block_bytes=6000, align_bytes=500)):
         got = token_alignment.align(cut, BPE, SPM, settings).drop("n_overlaps")
         assert Counter(map(tuple, got.collect())) == want
     got = token_alignment.op11_token_alignment(spark, folder)
