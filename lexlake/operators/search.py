@@ -1,41 +1,21 @@
-"""Full-text and trigram search over postings."""
+"""Queries, scans of texts, trigram likeness and what a search page needs; stored postings are in postings.py."""
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .paging import capped
 
-# Frequent words that the English analyser leaves out.
-STOP_WORDS = (
-    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "had", "has", "have", "he", "her", "his", "i", "if", "in", "into", "is", "it", "its",
-    "no", "not", "of", "on", "or", "our", "she", "so", "such", "than", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "we", "were",
-    "which", "who", "will", "with", "you", "your",
-)
-
-
 def tokens(text) -> Column:
     """The simple analyser: lower case, runs of ASCII letters and digits."""
     x = F.col(text) if isinstance(text, str) else text
     return F.filter(F.split(F.lower(x), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def stemmed(word: Column) -> Column:
-    """A light English stemmer: plural and common verb endings, left alone where fewer than three letters would be left."""
-    w = F.when((F.length(word) > 4) & word.endswith("ies"), F.concat(F.substring(word, F.lit(1), F.length(word) - 3), F.lit("y"))).when((F.length(word) > 4) & word.rlike("(ss|x|z|ch|sh)es$"), F.substring(word, F.lit(1), F.length(word) - 2))
-    w = w.when((F.length(word) > 3) & word.endswith("s") & ~word.endswith("ss"), F.substring(word, F.lit(1), F.length(word) - 1)).otherwise(word)
-    return F.when((F.length(w) > 5) & w.endswith("ing"), F.substring(w, F.lit(1), F.length(w) - 3)).when((F.length(w) > 4) & w.endswith("ed"), F.substring(w, F.lit(1), F.length(w) - 2)).otherwise(w)
-
-
-def english(text) -> Column:
-    return F.transform(F.filter(tokens(text), lambda t: ~t.isin(*STOP_WORDS)), stemmed)
-
-
 @dataclass
 class Query:
     """Alternatives; each has terms and phrases that must occur and terms that mustn't."""
@@ -96,22 +76,6 @@ def postings(rows: DataFrame, key: str, text: str, analyser=tokens) -> DataFrame
     return rows.select(key, F.explode(analyser(text)).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
 
 
-def write_postings(rows: DataFrame, key: str, fields: dict[str, int], path: str, buckets: int = 256, analyser=tokens) -> None:
-    """Stores (bucket, term, key, weight): each field's occurrences times its weight, in folders by the term's hash and sorted by term, so that a query's scan is pruned to its own terms."""
-    parts = [postings(rows, key, text, analyser).select("term", key, (F.col("tf") * weight).alias("weight")) for text, weight in fields.items()]
-    out = reduce(DataFrame.unionByName, parts).groupBy("term", key).agg(F.sum("weight").alias("weight"))
-    out = out.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    out.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(4))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
-
-
-def search_postings(spark, path: str, words: list[str], key: str = "id", buckets: int = 256) -> DataFrame:
-    """(key, rank): records that have all the words, ranked by their weights, from stored postings alone."""
-    asked = spark.createDataFrame([(w,) for w in sorted(set(words))], "term string").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    folders = [r["bucket"] for r in asked.select("bucket").distinct().collect()]  # of the query's words
-    rows = spark.read.parquet(path).where(F.col("bucket").isin(folders) & F.col("term").isin(sorted(set(words))))
-    return rows.groupBy(key).agg(F.count("*").alias("_n"), F.sum("weight").alias("rank")).where(F.col("_n") == len(set(words))).drop("_n")
-
-
 def branches(parts: list[tuple[DataFrame, int]], key: str, cap: int) -> DataFrame:
     """(key, rank, total): several branches' hits, each capped by key before it is ranked, the best rank of each key, and how many keys there are. parts: (rows (key, rank), weight)."""
     capped_parts = [rows.orderBy(key).limit(cap).select(key, (F.col("rank") * weight).alias("rank")) for rows, weight in parts]
@@ -127,16 +91,6 @@ def union_best(parts: list[DataFrame], key: str, score: str = "rank") -> DataFra
     return out.groupBy(key).agg(F.max(score).alias(score))
 
 
-def headline(text: str, words: list[str], most: int = 25, marks: tuple[str, str] = ("⟦H⟧", "⟦/H⟧")) -> Column:
-    """A fragment of at most so many words from around the first match, with its matches marked; null without a match."""
-    w = F.split(F.trim(F.col(text)), r"\s+")
-    is_hit = lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]", "").isin(*words)
-    first = F.array_position(F.transform(w, is_hit), True)
-    begin = F.greatest(F.lit(1), first.cast("int") - 5)
-    marked = F.transform(F.slice(w, begin, F.lit(most)), lambda x: F.when(is_hit(x), F.concat(F.lit(marks[0]), x, F.lit(marks[1]))).otherwise(x))
-    return F.when(first > 0, F.array_join(marked, " "))
-
-
 def trigrams(text) -> Column:
     """Distinct trigrams of the words, each padded by two blanks before and one behind."""
     per_word = F.transform(tokens(text), lambda t: F.transform(F.sequence(F.lit(1), F.length(t) + 1), lambda i: F.substring(F.concat(F.lit("  "), t, F.lit(" ")), i, F.lit(3))))

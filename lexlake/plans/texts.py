@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+import zlib
+
 from pyspark.sql import functions as F
 
 from lexlake.functions import strings as S
-from lexlake.operators import search
+from lexlake.operators import postings, search
 from lexlake.operators import text as TX
 from lexlake.sources import tables as T
 
@@ -59,28 +62,79 @@ def url_param_join(spark, d):
 TERMS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')"
 
 
+def index_of(spark, d, table, fields, analyser="simple"):
+    """The index of a table, built when it is first asked for; later queries of the session read it."""
+    path = f"{T.shared_dir(spark)}/lexlake/{spark.sparkContext.applicationId}/{analyser}-{zlib.crc32(d.encode())}-{table}"
+    index = postings.open_index(spark, path, postings.Layout(analyser=analyser))
+    return index if index.segments else postings.add(index, T.table(spark, d, table), {"documents": "doc_id", "part": "p_partkey"}[table], fields)
+
+
 @query(f"with h as (select doc_id id, {TERMS} t from documents), m as (select id, len(list_filter(t, lambda x: x in ('the', 'of'))) * 1000 // greatest(len(t), 1) as rank from h where list_contains(t, 'the') and list_contains(t, 'of') and not list_contains(t, 'que')), c as (select *, row_number() over (order by id) n, count(*) over () total from m) select id, rank, total > 200 saturated from c where n <= 200")
 def fts_simple_capped(spark, d):
-    docs = T.table(spark, d, "documents").withColumnRenamed("doc_id", "id")
-    return search.search(docs, "text", "the of -que", 200)
+    index, q = index_of(spark, d, "documents", ["text"]), "the of -que"
+    found = postings.first_matches(index, q, 200)
+    return found.select(F.col("key").alias("id"), postings.share_rank(postings.analysed_query(q, index.layout)).alias("rank"), "saturated")
 
 
 @query(f"with h as (select doc_id id, {TERMS} t from documents), m as (select id, len(list_filter(t, lambda x: x in ('und', 'die'))) * 1000 // greatest(len(t), 1) as rank from h where list_contains(t, 'und') and list_contains(t, 'die') order by id limit 5000) select id, rank from m order by rank desc, id limit 20")
 def fts_page(spark, d):
-    docs = T.table(spark, d, "documents").withColumnRenamed("doc_id", "id")
-    return search.search(docs, "text", "und die", 5000).orderBy(F.desc("rank"), "id").limit(20).select("id", "rank")
+    index, q = index_of(spark, d, "documents", ["text"]), "und die"
+    found = postings.first_matches(index, q, 5000)
+    return found.select(F.col("key").alias("id"), postings.share_rank(postings.analysed_query(q, index.layout)).alias("rank")).orderBy(F.desc("rank"), "id").limit(20)
 
 
 @query()
 def fts_english(spark, d):
-    docs = T.table(spark, d, "documents").withColumnRenamed("doc_id", "id")
-    return search.search(docs, "text", "nation or thing", 5000, analyser=search.english)
+    """Stems and stop words of the published English analyser; DuckDB has none without its extension."""
+    found = postings.first_matches(index_of(spark, d, "documents", ["text"], "english"), "nation or things or the", 5000)
+    return found.select(F.col("key").alias("id"), F.size("hits").alias("hits"), "saturated")
 
 
-@query()
+@query(f"select doc_id id from (select doc_id, {TERMS} t from documents) where (contains(' ' || array_to_string(t, ' ') || ' ', ' of the ') or (list_contains(t, 'der') and contains(' ' || array_to_string(t, ' ') || ' ', ' und die '))) ")
+def fts_phrase(spark, d):
+    """Phrases by positions alone."""
+    return postings.matches(index_of(spark, d, "documents", ["text"]), '"of the" or der "und die"').select(F.col("key").alias("id"))
+
+
+@query("""with f as (select p_partkey id, list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda x: x <> '') a, list_filter(regexp_split_to_array(lower(p_type), '[^a-z0-9]+'), lambda x: x <> '') b from part),
+ s as (select count(*) n, sum(len(a) + len(b)) l from f), t as (select id, len(a) + len(b) len, term, 4 * len(list_filter(a, lambda x: x = term)) + len(list_filter(b, lambda x: x = term)) tf from f, (values ('blue'), ('economy'), ('widget')) v(term)),
+ d as (select term, count(*) df from t where tf > 0 group by 1)
+ select id, cast(sum(cast(floor(1000 * ln(cast(2 * n + 2 as double) / cast(2 * df + 1 as double))) as bigint) * ((2200000 * tf) // (1000 * tf + 300 + (900 * len * n) // l))) as bigint) score from t join d using (term), s where tf > 0 group by 1 order by score desc, id limit 500""")
+def fts_bm25(spark, d):
+    """Names weigh four times what types do."""
+    index, q = index_of(spark, d, "part", ["p_name", "p_type"]), "blue or economy or widget"
+    scored = postings.bm25(index, postings.matches(index, q), q, [4, 1])
+    return scored.select(F.col("key").alias("id"), "score").orderBy(F.desc("score"), "id").limit(500)
+
+
+@query(f"""with w as (select doc_id id, {TERMS} t from documents), e as (select id, unnest(t) term, generate_subscripts(t, 1) pos from w), h as (select * from e where term in ('the', 'und', 'que')),
+ l as (select a.id, a.pos, b.term, max(b.pos) last from h a join h b on a.id = b.id and b.pos <= a.pos and b.pos > a.pos - 25 group by 1, 2, 3), g as (select id, pos, count(*) many, min(last) first from l group by 1, 2),
+ b as (select id, pos stop, first, row_number() over (partition by id order by many desc, pos - first, first) n from g), c as (select id, greatest(1, least(first, stop - 14)) start, stop from b where n = 1)
+ select c.id doc_id, array_to_string(list_transform(list_slice(t, start, start + greatest(stop - start + 1, 15) - 1), lambda x: case when x in ('the', 'und', 'que') then '⟦H⟧' || x || '⟦/H⟧' else x end), ' ') snippet from c join w using (id)""")
 def headline(spark, d):
-    docs = T.table(spark, d, "documents")
-    return docs.select("doc_id", search.headline("text", ["the", "und"]).alias("snippet")).where("snippet is not null")
+    """The best fragment of each match: the shortest of the windows with most of the query's words."""
+    index, q = index_of(spark, d, "documents", ["text"]), "the or und or que"
+    shown = postings.fragments(index, postings.matches(index, q), q, T.table(spark, d, "documents"), "doc_id", ["text"])
+    return shown.select(F.col("key").alias("doc_id"), "snippet")
+
+
+@query("""with f as (select p_partkey id, list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda x: x <> '') a, list_filter(regexp_split_to_array(lower(p_type), '[^a-z0-9]+'), lambda x: x <> '') b from part),
+ m as (select id, case when list_has_any(a, ['blue', 'economy']) then 0 else 1 end field, case when list_has_any(a, ['blue', 'economy']) then a else b end t from f where list_has_any(a, ['blue', 'economy']) or list_has_any(b, ['blue', 'economy']))
+ select id, field, array_to_string(list_transform(t, lambda x: case when x in ('blue', 'economy') then '[' || x || ']' else x end), ' ') snippet from m""")
+def headline_title_first(spark, d):
+    """A fragment of the name if it has any of the words, else of the type."""
+    index, q = index_of(spark, d, "part", ["p_name", "p_type"]), "blue or economy"
+    return postings.fragments(index, postings.matches(index, q), q, T.table(spark, d, "part"), "p_partkey", ["p_name", "p_type"], marks=("[", "]")).select(F.col("key").alias("id"), "field", "snippet")
+
+
+@query(f"with n as (select doc_id id, case when doc_id % 7 = 0 then 'The replaced, of it' else text end text from documents where doc_id % 11 <> 0), h as (select id, {TERMS} t from n) select id, len(list_filter(t, lambda x: x in ('the', 'of'))) * 1000 // greatest(len(t), 1) as rank from h where list_contains(t, 'the') and list_contains(t, 'of')")
+def fts_appended(spark, d):
+    """A stored index to which a later load adds, replaces and deletes records; the newest segment's word counts."""
+    path, docs, q = f"{T.shared_dir(spark)}/lexlake/appended-{uuid.uuid4().hex}", T.table(spark, d, "documents"), "the of"
+    stored = postings.build(spark, docs.where("doc_id % 5 <> 0"), "doc_id", ["text"], path)
+    newer = docs.where("(doc_id % 5 = 0 or doc_id % 7 = 0) and doc_id % 11 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, "The replaced, of it").otherwise(F.col("text")))
+    index = postings.add(stored, newer, "doc_id", ["text"], deleted=docs.where("doc_id % 11 = 0"))
+    return postings.matches(index, q).select(F.col("key").alias("id"), postings.share_rank(postings.analysed_query(q, index.layout)).alias("rank"))
 
 
 @query(f"select id, max(rank) as rank from (select doc_id id, len(list_filter({TERMS}, lambda x: x = 'the')) as rank from documents where list_contains({TERMS}, 'the') union all select p_partkey, len(p_name) from part where p_name ilike '%blue%') group by id")

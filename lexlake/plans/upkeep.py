@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexlake.functions import dates
 from lexlake.functions import strings as S
-from lexlake.operators import aggregates, feed, filters, joins, paging, records, schedule, search, sessions, text
+from lexlake.operators import aggregates, feed, filters, joins, paging, postings, records, schedule, search, sessions, text
 from lexlake.operators import status as ST
 from lexlake.sources import sinks
 from lexlake.sources import tables as T
@@ -14,6 +14,7 @@ from lexlake.sources import tables as T
 from .browse import BILLS
 from .registry import query
 from .reports import DERIVED_SQL, TOPIC_SQL, derived, topic_rows
+from .texts import index_of
 
 CAP = 250
 
@@ -190,9 +191,9 @@ def version_opcodes(spark, d):
 @query("with t as (select p_partkey id, len(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda x: x = 'blue')) a, len(list_filter(regexp_split_to_array(lower(p_type), '[^a-z0-9]+'), lambda x: x = 'economy')) b from part), h as (select id, a * 4 as rank from t where a > 0 union all select id, b from t where b > 0), m as (select id, max(rank) as rank from h group by 1) select id, cast(rank as bigint) as rank, (select count(*) from m) total from m")
 def fts_branches(spark, d):
     """Titles weigh four times what descriptions do; the best of a record's branches counts."""
-    p = T.table(spark, d, "part").withColumnRenamed("p_partkey", "id")
-    hits = lambda text, w: p.select("id", F.size(F.filter(search.tokens(text), lambda x: x == w)).cast("long").alias("rank")).where("rank > 0")
-    return search.branches([(hits("p_name", "blue"), 4), (hits("p_type", "economy"), 1)], "id", 100_000)
+    index = index_of(spark, d, "part", ["p_name", "p_type"])
+    hits = lambda field, w: postings.matches(index, w).select(F.col("key").alias("id"), F.size(F.filter("hits", lambda h: h["field"] == field)).cast("long").alias("rank")).where("rank > 0")
+    return search.branches([(hits(0, "blue"), 4), (hits(1, "economy"), 1)], "id", 100_000)
 
 
 @query("select user_id entity_id, cast(least(count(*), 30) as bigint) items, '<ul><li>' || min(event_id) || ' ' || arg_min(event_type, event_id) opening from events group by 1")

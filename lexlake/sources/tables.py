@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +52,21 @@ def sponsors(spark: SparkSession, d: str) -> DataFrame:
 def change_log(spark: SparkSession, d: str) -> DataFrame:
     """seq, changed_at, entity_id, kind, value, detail."""
     return table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("ts").alias("changed_at"), F.col("user_id").alias("entity_id"), F.col("event_type").alias("kind"), "value", F.col("props").alias("detail"))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path of any store that Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that the driver and all executors share: spark.checkpoint.dir. In local mode, where both are one machine, a new temporary folder if that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="lexlake-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
