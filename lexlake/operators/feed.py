@@ -74,7 +74,8 @@ def skew(log: DataFrame, rows: int | None = None) -> DataFrame:
 
     A running maximum within ranges of seq, carried over by the ranges' own maxima: no task holds the whole log.
     """
-    rows = log.select("seq", F.expr("unix_micros(cast(changed_at as timestamp))").alias("us"), range_of(log, "seq", rows).alias("part"))
+    part = range_of(log, "seq", rows)
+    rows = log.select("seq", F.expr("unix_micros(cast(changed_at as timestamp))").alias("us"), (F.lit(0) if part is None else part).alias("part"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     carried = rows.groupBy("part").agg(F.max("us").alias("m")).select("part", F.max("m").over(before).alias("carried"))  # a row for each range
     running = F.max("us").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))

@@ -52,29 +52,42 @@ def capped(df: DataFrame, order: list[Column], cap: int) -> DataFrame:
     return numbered.withColumn("saturated", F.max("_n").over(Window.partitionBy()) > cap).where(F.col("_n") <= cap).drop("_n")
 
 
-#: Rows that a range of a whole table's order is meant to have.
-RANGE_ROWS = 1 << 20
-
-
-def range_of(df: DataFrame, key: str, rows: int | None = None) -> Column:
-    """Number of the range of `key` that a row is in; as many ranges as the table's size asks for. Two small jobs find their bounds."""
-    many = 1 + df.count() // (rows or RANGE_ROWS)
-    bounds = sorted(set(df.agg(F.percentile_approx(key, [k / many for k in range(1, many)])).first()[0] or [])) if many > 1 else []
-    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(key))) if bounds else F.lit(0)
-
-
-def numbered(df: DataFrame, groups: list[str], key: str, name: str, rows: int | None = None, order: list[str] | None = None) -> DataFrame:
-    """df with a running number from 0 by `key` (or by `order`, which begins with what the key ranks) within each group. Ranges of the key are numbered alone and offset by the counts of those before, so no task sorts a whole group."""
-    parted = df.withColumn("_part", range_of(df, key, rows))
-    counts = parted.groupBy(*groups, "_part").count()
-    before = F.sum("count").over(Window.partitionBy(*groups).orderBy("_part")) - F.col("count")  # a row for each group and range
-    offsets = counts.select(*(F.col(g).alias(f"_g{k}") for k, g in enumerate(groups)), F.col("_part").alias("_p"), before.alias("_before"))
-    same = F.col("_part") == F.col("_p")
-    for k, g in enumerate(groups):
-        same = same & F.col(g).eqNullSafe(F.col(f"_g{k}"))
-    own = F.row_number().over(Window.partitionBy(*groups, "_part").orderBy(*(order or [key]))) - 1
-    out = parted.withColumn("_own", own).join(offsets, same)
-    return out.withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).select(*df.columns, name)
+#: Rows that a range of a whole table's order is meant to have, and the most ranges: bounds are literals of the plan.
+RANGE_ROWS, RANGES = 1 << 20, 1024
+
+
+def bounds_of(df: DataFrame, key: str, rows: int | None = None) -> list:
+    """Bounds between as many ranges of `key` as the table's size asks for, from one job."""
+    n, at = df.agg(F.count("*"), F.percentile_approx(key, [k / RANGES for k in range(1, RANGES)], 10 * RANGES)).first()
+    many = min(RANGES, 1 + n // (rows or RANGE_ROWS))
+    return sorted({at[k * RANGES // many - 1] for k in range(1, many)}) if at else []
+
+
+def range_of(df: DataFrame, key: str, rows: int | None = None) -> Column | None:
+    """Number of the range of `key` that a row is in; none if all are in one."""
+    bounds = bounds_of(df, key, rows)
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(key))) if bounds else None
+
+
+def offset_by(parted: DataFrame, cell: list[str], before: DataFrame, name: str) -> DataFrame:
+    """parted with a cell's number `name` of `before`, one row a cell; null cells meet null ones."""
+    named = before.select(*(F.col(c).alias(f"_c{k}") for k, c in enumerate(cell)), name)
+    same = F.lit(True)
+    for k, c in enumerate(cell):
+        same = same & F.col(c).eqNullSafe(F.col(f"_c{k}"))
+    return parted.join(named, same).drop(*(f"_c{k}" for k in range(len(cell))))
+
+
+def numbered(df: DataFrame, groups: list[str], key: str, name: str, rows: int | None = None, order: list[str] | None = None, part: Column | None = None) -> DataFrame:
+    """df with a running number from 0 by `key` (or by `order`, which begins with what the key ranks) within each group. Ranges of the key are numbered alone and offset by the counts of those before, so no task sorts a whole group. part: the ranges, if they are known."""
+    part = range_of(df, key, rows) if part is None else part
+    parted, own = df.withColumn("_part", F.lit(0) if part is None else part), Window.partitionBy(*groups, "_part").orderBy(*(order or [key]))
+    out = parted.withColumn("_own", F.row_number().over(own) - 1)
+    if part is None:  # nothing lies before the only range
+        return out.withColumn(name, F.col("_own").cast("long")).select(*df.columns, name)
+    cell = [*groups, "_part"]
+    before = parted.groupBy(*cell).count().withColumn("_before", F.sum("count").over(Window.partitionBy(*groups).orderBy("_part")) - F.col("count"))  # a row for each group and range
+    return offset_by(out, cell, before, "_before").withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).select(*df.columns, name)
 
 
 def chunks(df: DataFrame, key: str, size: int, rows: int | None = None) -> DataFrame:

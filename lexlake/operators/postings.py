@@ -1,10 +1,11 @@
 """Search over stored postings with positions: blocks, segments, conjunctions, phrases, ranks and fragments.
 
-A block is some thousand records in the order in which they were read. Each term of a block has one row: its least and
-greatest key, its number of records, and its hits (key, length of the record, field, position). Rows lie in folders by
-the term's hash, sorted by term, so that a query reads its own terms' pages only. What a conjunction can't match it
-doesn't read: the rows' heads tell in which blocks all its terms occur. Phrases are decided by positions, without texts.
-Each record also has a hit under the empty term, so that the postings alone hold what there is, and how long it is.
+The postings are hits (term, block, key, length of the record, field, position) in folders by the term's hash, sorted by
+term, block and key, so that a query reads its own terms' pages only. A block is some thousand records in the order in
+which they were read; beside the hits each term of a block has one head: its least and greatest key and its number of
+records. The heads tell in which blocks all terms of a conjunction occur, and how far a capped search must read. Phrases
+are decided by positions, without texts. Each record also has a hit under the empty term, so that the postings alone hold
+what there is, and how long it is.
 
 Records that are added later make segments of their own; a record of a newer segment takes the place of an older one of
 the same key, and one without a length there is a deletion. `merge` makes one segment of all. Which segments count is
@@ -56,26 +57,25 @@ def hits(rows: DataFrame, key: str, fields: list[str], layout: Layout) -> DataFr
     return analysed.select("block", "key", length.alias("length"), F.inline(F.concat(record, *map(placed, range(len(fields))))))
 
 
-def lexemes(words: DataFrame, layout: Layout) -> DataFrame:
-    """(word, term) of distinct words; those without a term are left out. Python sees each word once."""
+def lexemes(words: DataFrame) -> DataFrame:
+    """(word, lexeme) of distinct words; those without one are left out. Python sees each word once."""
+
     @F.pandas_udf(StringType())
     def of(word: pd.Series) -> pd.Series:
         return word.map(lambda w: w if w == EVERY else english.lexeme(w))
 
-    return words.select("word", of("word").alias("term")).where("term is not null")
+    return words.select("word", of("word").alias("lexeme")).where("lexeme is not null")
 
 
-def blocked(found: DataFrame, layout: Layout) -> DataFrame:
-    """Rows of the index from hits: one for each term and block."""
-    hit = F.struct("key", "length", "field", "position")
-    rows = found.groupBy("term", "block").agg(F.collect_list(hit).alias("hits"))
-    if layout.analyser == "english":
-        words = lexemes(rows.select(F.col("term").alias("word")).distinct(), layout)
-        named = rows.withColumnRenamed("term", "word").join(words, "word")
-        rows = named.groupBy("term", "block").agg(F.flatten(F.collect_list("hits")).alias("hits"))
-    keys = F.transform("hits", lambda h: h["key"])
-    facts = rows.select("term", "block", F.array_min(keys).alias("first"), F.array_max(keys).alias("last"), F.size(F.array_distinct(keys)).cast("bigint").alias("n"), F.array_sort("hits").alias("hits"))
-    return facts.withColumn("bucket", bucket("term", layout))
+def analysed(found: DataFrame, layout: Layout, scratch: str) -> DataFrame:
+    """Hits under the analyser's terms. For one that needs Python, words are written to a scratch folder first, as their dictionary is a second pass over them."""
+    if layout.analyser != "english":
+        return found
+    spark = found.sparkSession
+    found.write.mode("overwrite").parquet(scratch)
+    raw = spark.read.parquet(scratch)
+    words = lexemes(raw.select(F.col("term").alias("word")).distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word"))
+    return raw.join(words, F.col("term") == F.col("word")).withColumn("term", F.col("lexeme")).drop("word", "lexeme")
 
 
 @dataclass(frozen=True)
@@ -88,25 +88,32 @@ class Index:
     version: int
     segments: tuple[int, ...]
 
-    def rows(self, terms: list[str] | None = None) -> DataFrame:
-        """The rows of some terms, or all: a scan of these terms' folders and pages."""
-        stored = self.spark.read.parquet(f"{self.path}/data").where(F.col("segment").isin(list(self.segments)))
+    def stored(self, part: str, terms: list[str] | None) -> DataFrame:
+        rows = self.spark.read.parquet(f"{self.path}/{part}").where(F.col("segment").isin(list(self.segments)))
         if terms is None:
-            return stored
+            return rows
         asked = self.spark.range(1).select(F.explode(F.array(*map(F.lit, terms))).alias("t")).select(bucket("t", self.layout).alias("b")).distinct()
-        return stored.where(F.col("bucket").isin([r["b"] for r in asked.collect()]) & F.col("term").isin(terms))  # of the query's words
+        return rows.where(F.col("bucket").isin([r["b"] for r in asked.collect()]) & F.col("term").isin(terms))  # of the query's words
+
+    def rows(self, terms: list[str] | None = None) -> DataFrame:
+        """The hits of some terms, or all: a scan of these terms' folders and pages."""
+        return self.stored("data", terms)
+
+    def heads(self, terms: list[str] | None = None) -> DataFrame:
+        """(segment, term, block, first, last, n) of some terms, or all."""
+        return self.stored("heads", terms)
 
     def live(self, found: DataFrame) -> DataFrame:
         """Hits (segment, key, ...) without those that a newer segment's record has replaced, and without deletions."""
         if len(self.segments) > 1:
-            newer = self.rows([EVERY]).where(F.col("segment") > self.segments[0]).select(F.col("segment").alias("_by"), F.explode("hits.key").alias("_key"))
+            newer = self.rows([EVERY]).where(F.col("segment") > self.segments[0]).select(F.col("segment").alias("_by"), F.col("key").alias("_key"))
             latest = newer.groupBy("_key").agg(F.max("_by").alias("_by"))
             found = found.join(latest, (F.col("key") == F.col("_key")) & (F.col("segment") < F.col("_by")), "left_anti")
         return found.where("length is not null")
 
     def records(self) -> DataFrame:
         """(key, length) of every record."""
-        return self.live(self.rows([EVERY]).select("segment", F.inline("hits"))).select("key", "length")
+        return self.live(self.rows([EVERY])).select("key", "length")
 
 
 def open_index(spark: SparkSession, path: str, layout: Layout = Layout()) -> Index:
@@ -124,11 +131,14 @@ def committed(index: Index, segments: tuple[int, ...]) -> Index:
     return Index(index.spark, index.path, index.layout, index.version + 1, segments)
 
 
-def written(index: Index, rows: DataFrame) -> int:
-    """Stores rows of the index as a new segment, which nothing reads yet; its number."""
+def written(index: Index, found: DataFrame) -> int:
+    """Stores hits and their heads as a new segment, which nothing reads yet; its number."""
     segment = index.version + 1
-    out = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "first")
-    out.write.mode("overwrite").option("parquet.block.size", str(8 << 20)).partitionBy("bucket").parquet(f"{index.path}/data/segment={segment}")
+    put = lambda rows, part, *order: rows.withColumn("bucket", bucket("term", index.layout)).hint("rebalance", "bucket").sortWithinPartitions("bucket", *order).write.mode("overwrite").option("parquet.block.size", str(16 << 20)).partitionBy("bucket").parquet(f"{index.path}/{part}/segment={segment}")
+    put(found.select("term", "block", "key", "length", "field", "position"), "data", "term", "block", "key", "field", "position")
+    own = index.spark.read.parquet(f"{index.path}/data/segment={segment}")
+    each = own.groupBy("term", "block", "key").count().groupBy("term", "block")
+    put(each.agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count("*").alias("n")), "heads", "term", "block")
     return segment
 
 
@@ -138,7 +148,7 @@ def add(index: Index, rows: DataFrame, key: str, fields: list[str], deleted: Dat
     if deleted is not None:
         gone = deleted.select(F.expr(f"-1 - monotonically_increasing_id() div {index.layout.block}").alias("block"), F.col(key).alias("key"), F.lit(None).cast("int").alias("length"), F.lit(EVERY).alias("term"), F.lit(0).alias("field"), F.lit(0).alias("position"))
         found = found.unionByName(gone)
-    return committed(index, (*index.segments, written(index, blocked(found, index.layout))))
+    return committed(index, (*index.segments, written(index, analysed(found, index.layout, f"{index.path}/words/segment={index.version + 1}"))))
 
 
 def merge(index: Index) -> Index:
@@ -147,10 +157,8 @@ def merge(index: Index) -> Index:
         return index
     place = F.expr(f"monotonically_increasing_id() div {index.layout.block}")
     placed = index.records().select("key").distinct().repartitionByRange("key").sortWithinPartitions("key").select(F.col("key").alias("_own"), place.alias("block"))
-    found = index.live(index.rows().select("segment", "term", F.inline("hits")))
-    rows = found.join(placed, F.col("key") == F.col("_own")).drop("_own", "segment")
-    plain = Layout(index.layout.buckets, index.layout.block)  # its terms have been analysed
-    return committed(index, (written(index, blocked(rows, plain)),))
+    found = index.live(index.rows()).drop("block", "segment", "bucket")
+    return committed(index, (written(index, found.join(placed, F.col("key") == F.col("_own")).drop("_own")),))
 
 
 # --- queries
@@ -216,10 +224,9 @@ def satisfied(query: Query, found: Column) -> Column:
     return any_of(each)
 
 
-def heads(index: Index, query: Query) -> DataFrame:
-    """(segment, block, first) of blocks in which an alternative's terms all occur; reads no hits."""
-    rows = index.rows(asked_terms(query)).select("segment", "block", "term", "first")
-    each = rows.groupBy("segment", "block").agg(F.collect_set("term").alias("terms"), F.min("first").alias("first"))
+def candidates(index: Index, query: Query) -> DataFrame:
+    """(segment, block, first) of blocks in which an alternative's terms all occur, from the heads alone."""
+    each = index.heads(asked_terms(query)).groupBy("segment", "block").agg(F.collect_set("term").alias("terms"), F.min("first").alias("first"))
     return each.where(any_of(has_all(F.col("terms"), needed(a)) for a in query.alternatives)).drop("terms")
 
 
@@ -228,11 +235,10 @@ def matches(index: Index, text: str, below=None) -> DataFrame:
     query = analysed_query(text, index.layout)
     if not query.alternatives or not index.segments:
         return index.spark.createDataFrame([], "key bigint, length int, hits array<struct<term:string,field:int,position:int>>")
-    rows, blocks = index.rows(all_terms(query)), heads(index, query)
+    rows, blocks = index.rows(all_terms(query)), candidates(index, query)
     if below is not None:
-        rows, blocks = rows.where(F.col("first") < F.lit(below)), blocks.where(F.col("first") < F.lit(below))
-    own = rows.join(blocks.select("segment", "block"), ["segment", "block"], "left_semi").select("segment", "term", F.inline("hits"))
-    own = own if below is None else own.where(F.col("key") < F.lit(below))
+        rows, blocks = rows.where(F.col("key") < F.lit(below)), blocks.where(F.col("first") < F.lit(below))
+    own = rows.join(blocks.select("segment", "block"), ["segment", "block"], "left_semi").select("segment", "term", "key", "length", "field", "position")
     records = index.live(own).groupBy("key").agg(F.first("length").alias("length"), F.array_sort(F.collect_list(F.struct("field", "position", "term"))).alias("_hits"))
     shaped = records.select("key", "length", F.transform("_hits", lambda h: F.struct(h["term"].alias("term"), h["field"].alias("field"), h["position"].alias("position"))).alias("hits"))
     return shaped.where(satisfied(query, F.col("hits")))
@@ -247,7 +253,7 @@ def first_matches(index: Index, text: str, cap: int, first_blocks: int = FIRST_B
     query, most, below = analysed_query(text, index.layout), first_blocks, None
     if query.alternatives and index.segments:
         while True:
-            ahead = heads(index, query).orderBy("first").offset(most).limit(1).collect()
+            ahead = candidates(index, query).orderBy("first").offset(most).limit(1).collect()
             below = ahead[0]["first"] if ahead else None
             if below is None or matches(index, text, below).limit(cap + 1).count() > cap:
                 break
@@ -264,11 +270,10 @@ def share_rank(query: Query) -> Column:
 
 
 def term_counts(index: Index, terms: list[str]) -> DataFrame:
-    """(term, df): live records that hold each term. With one segment, from the rows' heads."""
-    rows = index.rows(terms)
+    """(term, df): live records that hold each term. With one segment, from the heads."""
     if len(index.segments) == 1:
-        return rows.groupBy("term").agg(F.sum("n").alias("df"))
-    return index.live(rows.select("segment", "term", F.inline("hits"))).groupBy("term").agg(F.count_distinct("key").alias("df"))
+        return index.heads(terms).groupBy("term").agg(F.sum("n").alias("df"))
+    return index.live(index.rows(terms)).groupBy("term").agg(F.count_distinct("key").alias("df"))
 
 
 def bm25(index: Index, found: DataFrame, text: str, weights: list[int]) -> DataFrame:

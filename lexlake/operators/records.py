@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexlake.functions import linediff
 from lexlake.functions.digests import snapshot_id
 
 
@@ -28,8 +29,18 @@ def evidence(rows: DataFrame, key: str, fields: list[str], children: dict[str, t
     return rows.withColumn("canonical", F.concat_ws(";", *parts)).select(key, "canonical", snapshot_id(F.col("canonical")).alias("snapshot"))
 
 
+#: Characters of both texts of a comparison together; beyond that there is no difference but a mark that says so.
+DIFF_MOST = 1_500_000
+
+
+def within_bound(pairs: DataFrame, old: str, new: str) -> DataFrame:
+    """pairs with too_large; texts of those are null from here on, so that Python never gets them."""
+    small = F.length(old) + F.length(new) <= DIFF_MOST
+    return pairs.withColumn("too_large", ~small).withColumn(old, F.when(~F.col("too_large"), F.col(old))).withColumn(new, F.when(~F.col("too_large"), F.col(new)))
+
+
 def diffs(versions: DataFrame, key: str, ordinal: str, text: str, context: int = 3) -> DataFrame:
-    """(key, from, to, lines array<struct<type,text>>): unified diff of each version to the next, by pairs, so a record with many versions spreads over tasks."""
+    """(key, from, to, too_large, lines array<struct<type,text>>): unified diff of each version to the next, by pairs, so a record with many versions spreads over tasks."""
     from pyspark.sql.window import Window
 
     nxt = Window.partitionBy(key).orderBy(ordinal)
@@ -37,19 +48,9 @@ def diffs(versions: DataFrame, key: str, ordinal: str, text: str, context: int =
 
     @F.pandas_udf("array<struct<type:string,text:string>>")
     def unified(a: pd.Series, b: pd.Series) -> pd.Series:
-        import difflib
-
-        def kind(line: str) -> str:
-            # content that itself begins with --- or +++ counts as meta, too
-            return "meta" if line.startswith(("---", "+++", "@@")) else "add" if line.startswith("+") else "remove" if line.startswith("-") else "context"
+        return pd.Series([None if p is None else [{"type": kind, "text": x} for kind, x in linediff.unified(p.split("\n"), q.split("\n"), context)] for p, q in zip(a, b)])
 
-        return pd.Series([[{"type": kind(x), "text": x} for x in difflib.unified_diff(p.split("\n"), q.split("\n"), lineterm="", n=context)] for p, q in zip(a, b)])
-
-    return pairs.select(key, "from", "to", unified("a", "b").alias("lines"))
-
-
-#: Characters of both texts of a comparison together.
-DIFF_MOST = 1_500_000
+    return within_bound(pairs, "a", "b").select(key, "from", "to", "too_large", unified("a", "b").alias("lines"))
 
 
 def opcodes(versions: DataFrame, key: str, ordinal: str, text: str) -> DataFrame:
@@ -57,12 +58,9 @@ def opcodes(versions: DataFrame, key: str, ordinal: str, text: str) -> DataFrame
     has = versions.where(F.coalesce(F.trim(text), F.lit("")) != "").select(key, F.struct(F.col(ordinal).alias("n"), F.col(text).alias("t")).alias("v"))
     pairs = has.groupBy(key).agg(F.min_by("v", "v.n").alias("a"), F.max_by("v", "v.n").alias("b")).where("a.n != b.n")
     pairs = pairs.select(key, F.col("a.n").alias("from"), F.col("b.n").alias("to"), F.col("a.t").alias("old"), F.col("b.t").alias("new"))
-    pairs = pairs.withColumn("too_large", F.length("old") + F.length("new") > DIFF_MOST)
 
     @F.pandas_udf("array<struct<op:string,i1:int,i2:int,j1:int,j2:int>>")
     def ops(a: pd.Series, b: pd.Series) -> pd.Series:
-        import difflib
-
-        return pd.Series([[dict(zip(("op", "i1", "i2", "j1", "j2"), o)) for o in difflib.SequenceMatcher(None, p.split("\n"), q.split("\n"), autojunk=False).get_opcodes()] for p, q in zip(a, b)])
+        return pd.Series([None if p is None else [dict(zip(("op", "i1", "i2", "j1", "j2"), o)) for o in linediff.opcodes(p.split("\n"), q.split("\n"))] for p, q in zip(a, b)])
 
-    return pairs.select(key, "from", "to", "too_large", F.when(~F.col("too_large"), ops("old", "new")).alias("ops"))
+    return within_bound(pairs, "old", "new").select(key, "from", "to", "too_large", ops("old", "new").alias("ops"))

@@ -6,15 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .paging import numbered
-
-
-def fair_order(pending: DataFrame, group: str, item: str, covered: str, order: list[str]) -> DataFrame:
-    """pending with `turn`: within a group, first those of items not covered, of each item one at a time. Sorted by (turn, group) that is round robin."""
-    rows = numbered(pending, [group, item], order[0], "_n", order=order).withColumn("in_item", F.col("_n") + 1).drop("_n")
-    rows = rows.withColumn("_key", F.col(covered).cast("long") * (1 << 40) + F.col("in_item"))
-    rows = numbered(rows, [group], "_key", "_n", order=[covered, "in_item", *order])
-    return rows.withColumn("turn", F.col("_n") + 1).drop("_n", "_key")
+from .paging import numbered, offset_by, range_of
+
+
+#: Numbers within an item whose counts are summed together first.
+COUNTED = 4096
+
+
+def fair_order(pending: DataFrame, group: str, item: str, covered: str, order: list[str], rows: int | None = None) -> DataFrame:
+    """pending with `in_item` and `turn`: within a group, first those of items not covered, of each item one at a time. Sorted by (turn, group) that is round robin.
+
+    A turn is counted, not sorted for: so many rows of the group have a lesser number within their item, or the same and lie
+    in a range of `order` before, and so many of its own range come first. Windows hold a range of one number's rows, or counts.
+    """
+    part = range_of(pending, order[0], rows)
+    own = numbered(pending, [group, item], order[0], "_n", order=order, part=part).withColumn("in_item", F.col("_n") + 1).drop("_n")
+    own = own.withColumn("_part", F.lit(0) if part is None else part)
+    cell = [group, covered, "in_item", "_part"]
+    counts = own.groupBy(*cell).count().withColumn("_many", F.expr(f"in_item div {COUNTED}"))
+    large = counts.groupBy(group, covered, "_many").agg(F.sum("count").alias("_sum"))
+    large = large.withColumn("_large", F.sum("_sum").over(Window.partitionBy(group).orderBy(covered, "_many")) - F.col("_sum"))
+    small = counts.withColumn("_small", F.sum("count").over(Window.partitionBy(group, covered, "_many").orderBy("in_item", "_part")) - F.col("count"))
+    before = offset_by(small, [group, covered, "_many"], large, "_large").withColumn("_before", F.col("_small") + F.col("_large"))
+    placed = own.withColumn("_own", F.row_number().over(Window.partitionBy(*cell).orderBy(*order)))
+    return offset_by(placed, cell, before, "_before").withColumn("turn", (F.col("_own") + F.col("_before")).cast("long")).select(*pending.columns, "in_item", "turn")
 
 
 def priority_plan(rows: DataFrame, key: str, priority: Column, last: str, batch: int) -> DataFrame:

@@ -21,10 +21,18 @@ def entities_decoded(texts: pd.Series) -> pd.Series:
     return texts.map(unescape, na_action="ignore")
 
 
+#: What follows a tag's name: quoted values hide the ends of tags. Nothing here is tried twice, however broken the page is.
+ATTRIBUTES = r"""(?=[\s/>])(?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>=]|=(?!\s*+(?:"[^"]*+"|'[^']*+')))*+>"""
+
+
 def html_text(page: str) -> Column:
-    """Text of a page: blocks end lines, scripts and the like are left out, entities are decoded. Only the last step needs Python."""
-    kept = F.regexp_replace(F.col(page), rf"(?is)<!--.*?-->|<({HIDDEN})\b.*?(</\1\s*>|$)", "")
-    lines = F.regexp_replace(F.regexp_replace(kept, rf"(?i)</?({BLOCKS})\b[^>]*>", "\n"), r"<[/!?a-zA-Z][^>]*>", "")
+    """Text of a page: blocks end lines, scripts and the like are left out, entities are decoded. Only the last step needs Python.
+
+    The patterns are the tokenizer's states: comments, raw-text elements up to their end tag, tags whose quoted values may
+    hold anything, and other markup up to the next >. An element that isn't closed lasts to the page's end.
+    """
+    kept = F.regexp_replace(F.col(page), rf"(?is)<!--(?:>|->|.*?(?:--!?>|\z))|<({HIDDEN}){ATTRIBUTES}.*?(?:</\1(?=[\s/>])[^>]*+>|\z)", "")
+    lines = F.regexp_replace(F.regexp_replace(kept, rf"(?i)</?(?:{BLOCKS}){ATTRIBUTES}", "\n"), rf"(?s)</?[a-zA-Z][^\s/>]*+{ATTRIBUTES}|<[/!?][^>]*+>", "")
     trimmed = F.transform(F.split(entities_decoded(lines), "\n"), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " ")))
     return F.array_join(F.filter(trimmed, lambda x: x != ""), "\n")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexlake.operators import feed, paging
+from lexlake.operators import feed, joins, paging, scopes
 from lexlake.sources import tables as T
 
 from .registry import query
@@ -25,10 +25,43 @@ def feed_by_scope(spark, d):
 
 def scoped(spark, d):
     log = T.change_log(spark, d)
-    scopes = log.groupBy(F.col("entity_id").alias("scope_key")).agg((F.count("*") % 4 * 1000).alias("cursor"))
-    scopes = scopes.select((F.col("scope_key") % 1000000).alias("subscription"), "scope_key", "cursor", F.lit("click,view,purchase,signup,search,login,logout").alias("kinds"))
-    kinds = ",".join(sorted(r["kind"] for r in log.select("kind").distinct().where("kind <> 'error'").collect()))  # a handful
-    return feed.for_scopes(log, scopes.withColumn("kinds", F.lit(kinds)), feed.watermark(log, NOW))
+    cursors = log.groupBy(F.col("entity_id").alias("scope_key")).agg((F.count("*") % 4 * 1000).alias("cursor"))
+    cursors = cursors.select((F.col("scope_key") % 1000000).alias("subscription"), "scope_key", "cursor", F.lit("").alias("kinds"))
+    return feed.for_scopes(log, cursors, feed.watermark(log, NOW)).where("kind <> 'error'")
+
+
+#: Topics by tests of customers, which stand for records here.
+TOPIC_TESTS = {"building": "lower(c_mktsegment) like '%build%'", "machines": "(lower(c_mktsegment) like '%machin%' or lower(c_name) like '%9')"}
+
+
+def subscribed(spark, d):
+    """Subscriptions to all kinds of scope: a jurisdiction each, topics with and without one, and lists of records; some of unknown targets."""
+    n = T.table(spark, d, "nation").select("n_nationkey", "n_name")
+    key = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
+    places = n.select(key("j", "n_nationkey").alias("subscription"), F.lit("jurisdiction").alias("kind"), F.lower("n_name").alias("target"), (F.col("n_nationkey") * 300).alias("cursor"), F.lit("").alias("kinds"))
+    topical = n.select(key("t", "n_nationkey").alias("subscription"), F.lit("topic").alias("kind"), F.when(F.col("n_nationkey") == 0, "machines").when(F.col("n_nationkey") == 1, "nothing").otherwise(F.concat(F.lit("building:"), "n_name")).alias("target"), F.lit(1000).alias("cursor"), F.lit("click,view").alias("kinds"))
+    s, k = T.table(spark, d, "supplier"), F.col("s_suppkey")
+    lists = s.select(key("b", "s_suppkey").alias("subscription"), F.lit("bills").alias("kind"), F.concat_ws(",", k.cast("string"), (k * 3).cast("string"), k.cast("string"), (k + 1).cast("string")).alias("target"), F.when(k % 2 == 0, k * 5).alias("cursor"), F.lit(None).cast("string").alias("kinds"))
+    return places.unionByName(topical).unionByName(lists)
+
+
+@query(f"""with v as (select event_id seq, user_id, event_type kind from events where event_id <= (select max(seq) from {VISIBLE})), e as (select v.*, n_name code, c_mktsegment, c_name from v join customer on c_custkey = user_id join nation on n_nationkey = c_nationkey)
+ select 'j' || n_nationkey subscription, seq, user_id entity_id, kind from nation join e on code = n_name and seq > n_nationkey * 300
+ union all select 't' || n_nationkey, seq, user_id, kind from nation join e on seq > 1000 and kind in ('click', 'view') and ((n_nationkey = 0 and {TOPIC_TESTS["machines"]}) or (n_nationkey > 1 and code = n_name and {TOPIC_TESTS["building"]}))
+ union all select 'b' || s_suppkey, seq, user_id, kind from supplier join e on user_id in (s_suppkey, s_suppkey * 3, s_suppkey + 1) and seq > case when s_suppkey % 2 = 0 then s_suppkey * 5 else 0 end""")
+def feed_by_all_scopes(spark, d):
+    """Events of records, jurisdictions and topics behind each subscription's cursor; the log is read once."""
+    log = T.change_log(spark, d)
+    people = joins.with_labels(T.table(spark, d, "customer"), T.jurisdictions(spark, d), "c_nationkey", "jurisdiction_id", ["code"])
+    keyed = scopes.scope_keys(people, "c_custkey", "code", {k: F.expr(x) for k, x in TOPIC_TESTS.items()})
+    return scopes.events_for(log, keyed, "c_custkey", subscribed(spark, d), feed.watermark(log, NOW).first()[0])
+
+
+@query("select 't1' subscription, 'topic' kind, 'nothing' target")
+def unknown_scopes(spark, d):
+    """Subscriptions to be disabled, as what they name isn't there."""
+    found = scopes.unknown_scopes(subscribed(spark, d), T.jurisdictions(spark, d).select("code"), TOPIC_TESTS)
+    return found.select("subscription", "kind", "target")
 
 
 @query(f"select count(*) n, max(seq) last from {VISIBLE}")
