@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexlake.functions import strings as S
+
 from .status import LIVE
 
 
@@ -44,7 +46,34 @@ def largest(bills: DataFrame, key: list[str], most: int) -> DataFrame:
     return bills.groupBy(*key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *key).limit(most)
 
 
-def resolved_or_new(wanted: DataFrame, known: DataFrame, key: list[str], new_id: Column) -> DataFrame:
-    """wanted with found and session_id: that of the known session, else a new one's."""
-    out = wanted.join(known.select(*key, F.col("session_id").alias("_id")), key, "left")
-    return out.select(*key, F.col("_id").isNotNull().alias("found"), F.coalesce("_id", new_id).alias("session_id"))
+def resolved(wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """(place, slug, path, session_id, identifier): the session of each name of a load, found or made.
+
+    wanted: (place, slug); known: (place, session_id, identifier, class, active, start). A name is a session's own (exact);
+    without a name it is the place's latest active session (active), or none; else the one session of the place with the same class and
+    a year or ordinal in common (fuzzy); else a new one (new), which the names after it may match in turn, so that two
+    names of one new session give one. Names of a place are taken in order, against its few sessions; a repeated load finds
+    what it made. Several sessions in question are no match.
+    """
+    of = lambda text, kind: F.struct(F.col("session_id").alias("id"), F.col(text).alias("identifier"), kind.alias("class"), S.years(text).alias("years"), S.ordinals(text).alias("ordinals"))
+    own = known.groupBy("place").agg(F.array_sort(F.collect_list(of("identifier", F.col("class")))).alias("known"), F.max(F.when(F.col("active"), F.struct(F.coalesce("start", F.lit("0001-01-01").cast("date")).alias("start"), F.col("session_id").alias("id")))).alias("latest"))
+    made = F.xxhash64(F.col("place"), F.lower(F.trim("slug"))) if known.schema["session_id"].dataType.simpleString() == "bigint" else F.concat_ws("/", F.col("place").cast("string"), "slug")
+    names = wanted.select("place", "slug").where("slug is not null").distinct().select("place", "slug", made.alias("session_id"))
+    names = names.groupBy("place").agg(F.array_sort(F.collect_list(of("slug", S.session_class("slug")))).alias("_names"))
+    names = names.withColumn("names", F.array_sort("_names", lambda a, b: F.when(a["identifier"] < b["identifier"], -1).when(a["identifier"] > b["identifier"], 1).otherwise(0)))
+    both = names.join(own, "place", "left")
+    kind = both.select("names").schema["names"].dataType.elementType.simpleString()
+    start = F.struct(F.coalesce("known", F.array().cast(f"array<{kind}>")).alias("seen"), F.array().cast(f"array<struct<slug:string,path:string,session:{kind}>>").alias("out"))
+
+    def step(state: Column, x: Column) -> Column:
+        exact = F.filter(state["seen"], lambda c: c["identifier"] == x["identifier"])
+        alike = F.filter(state["seen"], lambda c: (c["class"] == x["class"]) & (F.arrays_overlap(c["years"], x["years"]) | F.arrays_overlap(c["ordinals"], x["ordinals"])))
+        path = F.when(F.size(exact) > 0, "exact").when(F.size(alike) == 1, "fuzzy").otherwise("new")
+        session = F.when(F.size(exact) > 0, F.get(exact, F.lit(0))).when(F.size(alike) == 1, F.get(alike, F.lit(0))).otherwise(x)
+        seen = F.when(path == "new", F.concat(state["seen"], F.array(x))).otherwise(state["seen"])
+        return F.struct(seen.alias("seen"), F.concat(state["out"], F.array(F.struct(x["identifier"].alias("slug"), path.alias("path"), session.alias("session")))).alias("out"))
+
+    named = both.select("place", F.inline(F.aggregate("names", start, step, lambda s: s["out"]))).select("place", "slug", "path", F.col("session.id").alias("session_id"), F.col("session.identifier").alias("identifier"))
+    ids = known.select(F.col("session_id").alias("_id"), "identifier")
+    unnamed = wanted.where("slug is null").select("place").distinct().join(own.select("place", F.col("latest.id").alias("session_id")), "place", "left").join(ids, F.col("_id") == F.col("session_id"), "left")
+    return named.unionByName(unnamed.select("place", F.lit(None).cast("string").alias("slug"), F.when(F.col("session_id").isNotNull(), "active").alias("path"), "session_id", "identifier"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lexlake.functions import dates
@@ -271,13 +273,29 @@ def bill_full(spark, d):
     return rows.select("id", size("actions"), size("sponsors"), size("votes"), F.array_join(F.transform("actions", lambda x: x["place"].cast("string")), ",").alias("places"))
 
 
-@query(f"""with s as (select distinct jurisdiction_id place, year from {BILLS}), w as (select n_nationkey place, y from nation, (values (1995), (1996), (2050)) v(y))
- select w.place, y, s.year is not null found, coalesce(s.year, w.place * 10000 + y) session_id from w left join s on s.place = w.place and s.year = y""")
+@query(f"""with s as (select distinct jurisdiction_id place, cast(year as varchar) y from {BILLS}), n as (select n_nationkey place, slug from nation, (values ('1995'), ('1996rs'), ('2050 regular'), ('2050rs'), ('2050 special session'), (null)) v(slug)),
+ j as (select n.place, slug, (select max(y) from s where s.place = n.place) latest, exists (select 1 from s where s.place = n.place and y = substr(slug, 1, 4)) has from n)
+ select place, slug, case when slug is null then 'active' when slug = '1995' then case when has then 'exact' else 'new' end when slug = '1996rs' then case when has then 'fuzzy' else 'new' end when slug = '2050rs' then 'fuzzy' else 'new' end path,
+ case when slug is null then latest when slug = '1996rs' and has then '1996' when slug = '2050rs' then '2050 regular' else slug end identifier from j where slug is not null or latest is not null""")
 def sessions_resolved(spark, d):
-    """By the exact year, else a new session."""
-    known = T.bills(spark, d).select(F.col("jurisdiction_id").alias("place"), F.col("year").alias("y")).distinct().withColumn("session_id", F.col("y"))
-    wanted = T.jurisdictions(spark, d).select(F.col("jurisdiction_id").alias("place"), F.explode(F.array(*map(F.lit, (1995, 1996, 2050)))).alias("y"))
-    return sessions.resolved_or_new(wanted, known, ["place", "y"], F.col("place") * 10_000 + F.col("y"))
+    """Exact, alike, new, and a second name of a new session, in one plan."""
+    year = F.col("year").cast("string")
+    known = T.bills(spark, d).select(F.col("jurisdiction_id").alias("place"), (F.col("jurisdiction_id") * 10_000 + F.col("year")).cast("bigint").alias("session_id"), year.alias("identifier"), F.lit("regular").alias("class"), F.lit(True).alias("active"), F.make_date("year", F.lit(1), F.lit(1)).alias("start")).distinct()
+    names = F.array(*(F.lit(x) for x in ("1995", "1996rs", "2050 regular", "2050rs", "2050 special session", None)))
+    wanted = T.jurisdictions(spark, d).select(F.col("jurisdiction_id").alias("place"), F.explode(names).alias("slug"))
+    return sessions.resolved(wanted, known).where("slug is not null or path is not null").select("place", "slug", "path", "identifier")
+
+
+@query("select c_nationkey place, count(distinct c_custkey) parents, count(o_orderkey) children from customer left join orders on o_custkey = c_custkey group by 1")
+def published_loads(spark, d):
+    """A load of two tables, the same once more, and one that fails after its first table: readers see the first, once."""
+    path = f"{T.shared_dir(spark)}/lexlake/loads-{uuid.uuid4().hex}"
+    tables = {"orders": T.table(spark, d, "orders"), "customer": T.table(spark, d, "customer")}
+    for _ in range(2):
+        sinks.write_load(tables, path, "first", ["customer"])
+    sinks.stage_table(tables["customer"], path, "customer", "second")
+    c, o = (sinks.read_loads(spark, path, t) for t in ("customer", "orders"))
+    return c.join(o, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy(F.col("c_nationkey").alias("place")).agg(F.count_distinct("c_custkey").alias("parents"), F.count("o_orderkey").alias("children"))
 
 
 @query("select page_id, 'html' kind, page_id % 3 <> 0 first_text from pages")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexlake.functions.dates import iso
 from lexlake.functions.digests import signature
 from lexlake.functions.strings import xml_safe
 
+from .tables import exists
+
 BODY_BYTES, BODY_EVENTS = 512 * 1024, 100
 
 
@@ -18,6 +20,36 @@ def write_tables(tables: dict[str, DataFrame], path: str, parents_first: list[st
             tables[name].write.mode("append").parquet(f"{path}/{name}")
 
 
+def stage_table(rows: DataFrame, path: str, name: str, load: str) -> None:
+    """A table's rows of a load, in a folder of their own that no reader looks at yet; a repeat replaces them."""
+    rows.write.mode("overwrite").parquet(f"{path}/{name}/load={load}")
+
+
+def published(spark: SparkSession, path: str) -> list[str]:
+    """The loads that are complete."""
+    return sorted(r["load"] for r in spark.read.schema("load string").parquet(f"{path}/_loads").distinct().collect()) if exists(spark, f"{path}/_loads") else []
+
+
+def write_load(tables: dict[str, DataFrame], path: str, load: str, parents_first: list[str]) -> bool:
+    """Writes all tables of a load, or nothing that a reader sees: rows are staged, and one file that names the load comes last.
+
+    A load that is published already is not written again (False). One that was broken off is written anew.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    if load in published(spark, path):
+        return False
+    for name in [*(n for n in parents_first if n in tables), *sorted(set(tables) - set(parents_first))]:
+        stage_table(tables[name], path, name, load)
+    spark.createDataFrame([(load,)], "load string").coalesce(1).write.mode("append").parquet(f"{path}/_loads")
+    return True
+
+
+def read_loads(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table's rows of all published loads, with `load`."""
+    rows = spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}")
+    return rows.withColumn("load", F.col("load").cast("string")).where(F.col("load").isin(published(spark, path)))
+
+
 def write_report(rows: DataFrame, path: str, sections: dict[str, list[str]]) -> None:
     """JSON objects with columns grouped in sections."""
     rows.select(*(F.struct(*columns).alias(name) for name, columns in sections.items())).write.mode("overwrite").json(path)

@@ -90,6 +90,52 @@ def delivery_states(attempts: DataFrame, key: str, at: str, kind: str) -> DataFr
     return attempts.select(key, at, kind).groupBy(key).applyInPandasWithState(run, f"{key} {types[key]}, failures int, class string, active boolean", "failures int, class string, since double, active boolean", "update", "NoTimeout")
 
 
+def drained(stream: DataFrame, key: str = "subscription", seq: str = "seq", size: str = "bytes", wanted: str | None = None, most: int = 100, most_bytes: int = 512 * 1024, hold_seconds: int = 0) -> DataFrame:
+    """(key, number, outcome, first_seq, last_seq, n) of a stream of (key, seq, bytes): deliveries in order of seq, each event once.
+
+    A delivery has at most `most` events and `most_bytes`; it is halved until it fits. An event too large by itself is skipped, one
+    whose seq lies at or below the key's cursor came late or again: both are told as outcomes of their own, never dropped in
+    silence. Events that `wanted`, a predicate, leaves out move the cursor and are in no delivery. What doesn't fill a
+    delivery is pending in the key's state until more comes, or until hold_seconds have passed; with 0 it goes out with its batch.
+    A restarted query goes on with the state of its checkpoint, so nothing is delivered twice.
+    """
+    from lexlake.operators.feed import halved
+
+    def run(group: tuple, frames: Iterator, state) -> Iterator:
+        import pandas as pd
+
+        cursor, number, seqs, sizes = state.get if state.exists else (-1, 0, [], [])
+        pending, out = list(zip(seqs, sizes)), []
+        if not state.hasTimedOut:
+            for s, b, good in sorted(pd.concat(frames)[[seq, size, "_wanted"]].itertuples(index=False)):
+                if s <= cursor:
+                    out.append((None, "late", s, s, 1))
+                    continue
+                cursor = s
+                if good:
+                    pending.append((s, b))
+        while pending and (len(pending) >= most or not hold_seconds or state.hasTimedOut):
+            n = halved([b for _, b in pending[:most]], most_bytes)
+            if n:
+                out.append((number, "delivered", pending[0][0], pending[n - 1][0], n))
+                number += 1
+            else:
+                out.append((None, "too large", pending[0][0], pending[0][0], 1))
+            pending = pending[max(n, 1) :]
+        state.update((int(cursor), number, [int(s) for s, _ in pending], [int(b) for _, b in pending]))
+        if hold_seconds and pending:
+            state.setTimeoutDuration(hold_seconds * 1000)
+        if out:
+            rows = pd.DataFrame(out, columns=["number", "outcome", "first_seq", "last_seq", "n"]).astype({"number": "Int64"})
+            rows.insert(0, key, group[0])
+            yield rows
+
+    kind = dict(stream.dtypes)[key]
+    rows = stream.select(key, F.col(seq).cast("bigint").alias(seq), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias(size), (F.coalesce(F.expr(wanted), F.lit(False)) if wanted else F.lit(True)).alias("_wanted"))
+    out = f"{key} {kind}, number bigint, outcome string, first_seq bigint, last_seq bigint, n bigint"
+    return rows.groupBy(key).applyInPandasWithState(run, out, "cursor bigint, number bigint, seqs array<bigint>, sizes array<bigint>", "append", "ProcessingTimeTimeout" if hold_seconds else "NoTimeout")
+
+
 def upsert_stream(stream: DataFrame, snapshot: str, key: str, checkpoint: str) -> StreamingQuery:
     """Keeps the newest row of each key: every batch makes the next numbered snapshot out of the one before."""
     from lexlake.operators.joins import upsert
