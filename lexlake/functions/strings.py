@@ -160,13 +160,6 @@ def canonical_list(x) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(F.split(col(x), ","), lambda t: F.trim(t)), lambda t: t != ""))), ",")
 
 
-def surface_forms(number) -> Column:
-    """Patterns that find a canonical number in running text: dotted, spaced, hyphenated, zero-padded."""
-    prefix, rest = F.split_part(col(number), F.lit(" "), F.lit(1)), F.split_part(col(number), F.lit(" "), F.lit(2))
-    letters = F.array_join(F.filter(F.split(prefix, ""), lambda c: c != ""), r"\.?\s?")
-    return F.concat(F.lit("(?i)(^|[^a-z0-9])"), letters, F.lit(r"\.?[\s-]*0*"), rest, F.lit("([^0-9]|$)"))
-
-
 def error_class(status) -> Column:
     """Class of a delivery attempt by its HTTP status; null is a transport error."""
     s = col(status)

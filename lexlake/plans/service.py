@@ -285,3 +285,23 @@ def job_payloads(spark, d):
 def validation_details(spark, d):
     o = T.table(spark, d, "orders")
     return o.select(F.col("o_orderkey").alias("id"), validation.details(F.lit("search"), F.when(F.col("o_orderstatus") == "O", "pass").otherwise("fail"), hits=F.col("o_orderkey") % 5).alias("details"))
+
+
+#: Texts of pages that name records in several ways, and numbers that only look like theirs.
+PAGE_SQL = """(select p_partkey page, case p_partkey % 8 when 0 then 'See H.B. ' || n || ', as read' when 1 then 'on SB26-0' || n || '.' when 2 then 'The House Joint  Resolution ' || n when 3 then 'shb ' || n || ' graph' || n
+ when 4 then 'S*0' || n when 5 then 'sb 9' || n || ', hb ' || n || '7' when 6 then 'h' || n || 'x HJR00' || n else p_name end text from (select p_partkey, p_name, p_partkey % 400 + 100 n from part))"""
+
+
+@query(f"""with r as (select distinct case o_orderstatus when 'O' then 'hb' when 'F' then 'sb' else 'hjr' end p, o_orderkey % 500 n from orders), t as (select page, ' ' || trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) || ' ' x from {PAGE_SQL})
+ select page, upper(p) || ' ' || n record from t join r on x like '%' || n || '%'
+ where n >= 100 and regexp_matches(x, '[^a-z0-9]((' || p || '|' || p[1] || ') ?0?|' || p || '[0-9][0-9]0*|' || case p when 'hb' then 'house bill' when 'sb' then 'senate bill' else 'house joint resolution' end || ' )' || n || '[^0-9]')""")
+def surface_mentions(spark, d):
+    """Which pages name which records in any surface form; numbers of three digits, so that the SQL's pattern is all of them."""
+    n, k = (F.col("p_partkey") % 400 + 100).cast("string"), F.col("p_partkey") % 8
+    text = F.when(k == 0, F.concat(F.lit("See H.B. "), n, F.lit(", as read"))).when(k == 1, F.concat(F.lit("on SB26-0"), n, F.lit("."))).when(k == 2, F.concat(F.lit("The House Joint  Resolution "), n)).when(k == 3, F.concat(F.lit("shb "), n, F.lit(" graph"), n))
+    text = text.when(k == 4, F.concat(F.lit("S*0"), n)).when(k == 5, F.concat(F.lit("sb 9"), n, F.lit(", hb "), n, F.lit("7"))).when(k == 6, F.concat(F.lit("h"), n, F.lit("x HJR00"), n)).otherwise(F.col("p_name"))
+    pages = T.table(spark, d, "part").select(F.col("p_partkey").alias("page"), text.alias("text"))
+    o = T.table(spark, d, "orders")
+    named = F.concat(F.when(F.col("o_orderstatus") == "O", "HB ").when(F.col("o_orderstatus") == "F", "SB ").otherwise("HJR "), (F.col("o_orderkey") % 500).cast("string"))
+    records = o.where("o_orderkey % 500 >= 100").select(named.alias("record")).distinct()
+    return validation.mentions(pages, "page", "text", records, "record", "record").select("page", F.col("key").alias("record"))
