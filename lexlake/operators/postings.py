@@ -14,6 +14,7 @@ read from the greatest version of a small log: a reader sees all of an addition
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import pandas as pd
@@ -24,6 +25,7 @@ from pyspark.sql.types import StringType
 from lexlake.functions import english
 from lexlake.sources.tables import exists
 
+from .paging import capped
 from .search import Query, parse_query, tokens
 
 #: Under which each record has one hit.
@@ -45,7 +47,7 @@ class Layout:
 
 
 def bucket(term, layout: Layout) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(layout.buckets)).cast("int")
+    return (F.crc32(F.col(term)) % layout.buckets).cast("int")
 
 
 def hits(rows: DataFrame, key: str, fields: list[str], layout: Layout) -> DataFrame:
@@ -78,6 +80,9 @@ def analysed(found: DataFrame, layout: Layout, scratch: str) -> DataFrame:
     return raw.join(words, F.col("term") == F.col("word")).withColumn("term", F.col("lexeme")).drop("word", "lexeme")
 
 
+_opened: dict[tuple, DataFrame] = {}
+
+
 @dataclass(frozen=True)
 class Index:
     """Stored segments, oldest first."""
@@ -89,11 +94,14 @@ class Index:
     segments: tuple[int, ...]
 
     def stored(self, part: str, terms: list[str] | None) -> DataFrame:
-        rows = self.spark.read.parquet(f"{self.path}/{part}").where(F.col("segment").isin(list(self.segments)))
+        where = (self.spark.sparkContext.applicationId, self.path, part, self.version)
+        if where not in _opened:  # segments never change, so what a version lists needs listing once
+            _opened[where] = self.spark.read.parquet(f"{self.path}/{part}").where(F.col("segment").isin(list(self.segments)))
+        rows = _opened[where]
         if terms is None:
             return rows
-        asked = self.spark.range(1).select(F.explode(F.array(*map(F.lit, terms))).alias("t")).select(bucket("t", self.layout).alias("b")).distinct()
-        return rows.where(F.col("bucket").isin([r["b"] for r in asked.collect()]) & F.col("term").isin(terms))  # of the query's words
+        buckets = sorted({zlib.crc32(t.encode()) % self.layout.buckets for t in terms})
+        return rows.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
 
     def rows(self, terms: list[str] | None = None) -> DataFrame:
         """The hits of some terms, or all: a scan of these terms' folders and pages."""
@@ -258,9 +266,7 @@ def first_matches(index: Index, text: str, cap: int, first_blocks: int = FIRST_B
             if below is None or matches(index, text, below).limit(cap + 1).count() > cap:
                 break
             most *= 4
-    probe = matches(index, text, below).orderBy("key").limit(cap + 1)
-    count = probe.agg((F.count("*") > cap).alias("saturated"))
-    return probe.orderBy("key").limit(cap).join(F.broadcast(count), F.lit(True))  # one row
+    return capped(matches(index, text, below), [F.asc("key")], cap)
 
 
 def share_rank(query: Query) -> Column:
