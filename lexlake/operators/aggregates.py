@@ -23,6 +23,13 @@ def mortality(rows: DataFrame, group: str, status: str) -> DataFrame:
     return parts.withColumns({f"{c}_bp": F.expr(f"{c} * 10000 div nullif(total, 0)") for c in ("passed", "did_not_pass")})
 
 
+def with_active(report: DataFrame, group: str, sessions: DataFrame, active: str) -> DataFrame:
+    """A mortality report with has_active: whether the group has a session under way; null for the row of all."""
+    live = sessions.where(F.col(active)).select(F.col(group).alias("_group")).distinct()
+    rows = report.join(live, report[group] == live["_group"], "left")
+    return rows.withColumn("has_active", F.when(~F.col("is_total"), F.col("_group").isNotNull())).drop("_group")
+
+
 def usage(rows: DataFrame, tool: str, outcome: str, duration: str, excluded: Column) -> DataFrame:
     """(tool, ok, error, excluded, median): the lower median of the counted successful calls' duration. excluded rows count only as such."""
     rows = rows.withColumns({"_counted": ~F.coalesce(excluded, F.lit(False)), "_ok": F.col(outcome) == "ok"})

@@ -6,8 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Most children of each kind in an evidence packet.
-CAPS = {"versions": 100, "votes": 100, "actions": 500}
+from lexlake.operators import paging
+
+# Most children of each kind in an evidence packet.
+CAPS = {"versions": 100, "votes": 100, "hearings": 100, "actions": 500, "history": 500}
+#: The lists of a full record, and most items of each that come with it; the rest is read by page.
+LISTS = ("versions", "actions", "sponsors", "votes", "documents", "related", "subjects")
+LIST_MOST = 500
 
 
 def record_or_candidates(asked: DataFrame, rows: DataFrame, key: str, row_id: str, most: int = 20) -> DataFrame:
@@ -47,6 +52,20 @@ def evidence_packet(bills: DataFrame, key: str, children: dict[str, tuple[DataFr
     return out
 
 
+def full_record(bills: DataFrame, key: str, lists: dict[str, tuple[DataFrame, list[str], list[str]]], places: DataFrame, place: str, most: int = LIST_MOST) -> DataFrame:
+    """bills with their place's facts as a struct (null if unknown) and the first items of all LISTS, each with its true number and whether items are left out.
+
+    All lists are cut before they are gathered and lie by the record's key, so that the joins shuffle nothing more, and a record with
+    any number of children costs no task more than the cut.
+    """
+    missing = [name for name in LISTS if name not in lists]
+    if missing:
+        raise ValueError(f"a full record has these lists, too: {missing}")
+    facts = places.select(F.col(place).alias("_place"), F.struct(*places.columns).alias("jurisdiction"))
+    rows = bills.join(facts, F.col(place) == F.col("_place"), "left").drop("_place")
+    return evidence_packet(rows, key, {name: lists[name] for name in LISTS}, dict.fromkeys(LISTS, most))
+
+
 def related_read(related: DataFrame, bills: DataFrame, identifier: str, relation: str, normal: Column) -> DataFrame:
     """related with the target's id by its normalised identifier in the same place and session; earlier sessions' relations and unknown identifiers keep null."""
     found = bills.groupBy(F.col("jurisdiction_id").alias("_p"), F.col("session").alias("_s"), normal.alias("_k")).agg(F.min("id").alias("target_id"))
@@ -69,6 +88,13 @@ def listing(rows: DataFrame, order: list[str], offset: int, most: int, **equal)
     return rows.orderBy(*order).offset(offset).limit(most)
 
 
+def listed(rows: DataFrame, order: list[Column], number: int, size: int, **equal) -> DataFrame:
+    """A page of a list with optional filters, each row with `total`, the number of rows that the filters leave."""
+    for column, value in equal.items():
+        rows = rows.where(F.col(column) == value) if value is not None else rows
+    return paging.page(rows, order, number, size).crossJoin(rows.agg(F.count("*").alias("total")))  # one row
+
+
 def first_by_priority(parts: list[DataFrame], key: str) -> DataFrame:
     """A prioritised union: of each key the row of the first part that has it; of several there the smallest."""
     rows = None

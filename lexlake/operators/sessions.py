@@ -26,6 +26,13 @@ def contradicted(sessions: DataFrame, today: str) -> DataFrame:
     return sessions.where(F.col("active") & (F.col("end") < F.lit(today).cast("date")))
 
 
+def contradictions(bills: DataFrame, status: str, active: str, place: str, only: list[str] | None = None) -> DataFrame:
+    """(place, n), most first: records said to have died with a session that is still under way. only: the places asked for, all if None."""
+    rows = bills.where((F.col(status) == "died_on_adjournment") & F.col(active))
+    rows = rows if only is None else rows.where(F.col(place).isin(*only))
+    return rows.groupBy(place).agg(F.count("*").alias("n")).orderBy(F.desc("n"), place)
+
+
 def to_sweep(bills: DataFrame, status: str, end: str, active: str, today: str, most: int = 20_000) -> DataFrame:
     """The first records, by id, of ended and inactive sessions whose status is open."""
     open_ = F.col(status).isNull() | F.col(status).isin(*LIVE)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import browse, changes, ingest, records, reports, service, texts, upkeep  # noqa: F401  they register their queries
+from . import browse, changes, ingest, readers, records, reports, service, texts, upkeep  # noqa: F401  they register their queries
 from .registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "browse_filtered_page"

@@ -59,19 +59,25 @@ def token_buckets(stream: DataFrame, key: str, at: str, per_second: float, burst
     return stream.select(key, at).groupBy(key).applyInPandasWithState(run, f"{key} {kind[key]}, {at} {kind[at]}, allowed boolean", "level double, last double", "append", "NoTimeout")
 
 
-# What ends a subscription.
-DISABLE_AFTER_SECONDS, HARD_FAILURES = 72 * 3600, 3
+# What ends a subscription. So many skips take the same time at one every two minutes.
+DISABLE_AFTER_SECONDS, HARD_FAILURES, SKIPS = 72 * 3600, 3, 2160
 
 
 def failure_step(state: tuple, kind: str, now: float) -> tuple:
-    """The next (failures, class, since, active) of a subscription after an attempt of a class (ok, soft, hard, gone, transport)."""
+    """The next (failures, class, since, active) of a subscription after an attempt of a class (ok, soft, hard, gone, transport, skipped or any other).
+
+    failures counts a run of one class; since is when the first of an unbroken run of failures of any class began. A skipped event
+    says nothing of the receiver: it counts as a run of its own and stops the clock.
+    """
     failures, before, since, active = state
     if kind == "ok":
         return 0, "ok", None, active
-    same = kind == before
-    failures, since = (failures + 1, since) if same else (1, now)
-    gone = kind == "gone" or (kind == "hard" and failures >= HARD_FAILURES) or now - since >= DISABLE_AFTER_SECONDS
-    return failures, kind, since, active and not gone
+    failures = failures + 1 if kind == before else 1
+    if kind == "skipped":
+        return failures, kind, None, active and failures < SKIPS
+    since = now if since is None else since
+    ended = kind == "gone" or (kind == "hard" and failures >= HARD_FAILURES) or now - since >= DISABLE_AFTER_SECONDS
+    return failures, kind, since, active and not ended
 
 
 def delivery_states(attempts: DataFrame, key: str, at: str, kind: str) -> DataFrame:

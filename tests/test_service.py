@@ -106,3 +106,30 @@ def test_text_functions(rows):
 def test_filters_without_a_query(rows):
     df = rows("k string, a array<string>", ("x", ["p"]), ("y", ["q"]), (None, None))
     assert df.where(filters.null_or_listed("k", "x")).count() == 2
+
+
+def test_full_record_cuts_hot_records_and_keeps_counts(spark, rows):
+    bills = rows("id bigint, jurisdiction_id int", (1, 7), (2, None), (3, 9))
+    many = spark.range(5000).selectExpr("1L id", "id % 1000 n")
+    lists = {name: (many.limit(0), ["n"], ["n"]) for name in detail.LISTS} | {"actions": (many, ["n"], ["n"])}
+    places = rows("jurisdiction_id int, code string", (7, "NC"))
+    got = {r["id"]: r for r in detail.full_record(bills, "id", lists, places, "jurisdiction_id", 4).collect()}
+    assert [x["n"] for x in got[1]["actions"]] == [0, 0, 0, 0] and got[1]["actions_count"] == 5000 and got[1]["actions_truncated"]
+    assert got[1]["jurisdiction"]["code"] == "NC" and got[2]["jurisdiction"] is None and got[3]["jurisdiction"] is None
+    assert got[2]["actions_count"] == 0 and not got[2]["votes_truncated"]
+    with pytest.raises(ValueError):
+        detail.full_record(bills, "id", {"actions": lists["actions"]}, places, "jurisdiction_id")
+
+
+def test_listed_pages_and_totals(rows):
+    df = rows("id int, kind string", *((k, "ab"[k % 2]) for k in range(7)), (9, None))
+    got = detail.listed(df, [F.asc("id")], 2, 2, kind="a").collect()
+    assert [(r["id"], r["total"]) for r in got] == [(4, 4), (6, 4)]
+    assert detail.listed(df, [F.asc("id")], 9, 2).count() == 0
+    assert detail.listed(df, [F.asc("id")], 1, 2, kind=None).first()["total"] == 8
+
+
+def test_contradictions_only_of_places_asked_for(rows):
+    df = rows("place string, s string, active boolean", ("a", "died_on_adjournment", True), ("b", "died_on_adjournment", True), ("b", "died_on_adjournment", True), ("c", "dead", True), ("a", None, True), ("a", "died_on_adjournment", None))
+    assert [tuple(r) for r in sessions.contradictions(df, "s", "active", "place").collect()] == [("b", 2), ("a", 1)]
+    assert [tuple(r) for r in sessions.contradictions(df, "s", "active", "place", ["a"]).collect()] == [("a", 1)]

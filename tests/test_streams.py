@@ -31,3 +31,23 @@ def test_delivery_states(spark, tmp_path):
     for r in got:
         last.setdefault(r["k"], []).append((r["failures"], r["class"], r["active"]))
     assert (0, "ok", True) in last["a"] and (2, "soft", True) in last["a"] and last["b"] == [(1, "gone", False)] and (3, "hard", False) in last["c"]
+
+
+def test_runs_of_failures():
+    def after(*steps):
+        state = (0, "ok", None, True)
+        for kind, hour in steps:
+            state = changes.failure_step(state, kind, hour * 3600.0)
+        return state
+
+    # a run counts one class, the clock goes on through all of them
+    assert after(("soft", 0), ("hard", 1), ("soft", 2)) == (1, "soft", 0.0, True)
+    assert after(("soft", 0), ("hard", 71), ("soft", 72))[3] is False
+    assert after(("hard", 0), ("soft", 1), ("hard", 2), ("hard", 3))[3] is True
+    # a skip stops the clock, and so does a success
+    assert after(("soft", 0), ("skipped", 1), ("soft", 80)) == (1, "soft", 80 * 3600.0, True)
+    assert after(("soft", 0), ("ok", 1), ("soft", 80))[3] is True
+    # an endless run of skips ends a subscription, an interrupted one doesn't
+    skips = [("skipped", k / 30) for k in range(changes.SKIPS)]
+    assert after(*skips[:-1])[3] is True and after(*skips)[3] is False
+    assert after(*skips[:-1], ("soft", 72), skips[-1])[3] is True
