@@ -5,10 +5,14 @@ cell has a digest, and each digest goes to one stratum: half of them to the firs
 stratum is a sketch of its own, three tables of counters in each of which the digest has one place. Two versions'
 sketches subtract place by place; what they share cancels, and peeling places with a single digest recovers those that
 differ. Strata are tried from the sparsest on, each about twice as full as the one before. If all can be peeled the
-difference is exact; otherwise what was recovered stands for the share of digests that those strata hold.
+difference is exact.
 
-The fingerprint is the sketch itself as a string, and likeness needs nothing but two of these. `difference` is for who has the
-digests: it tries larger and larger sketches until one can be peeled, and gives exactly the digests that differ.
+The fingerprint is the sketch itself as a string. Where a stratum sticks, those that were peeled tell about how many digests
+differ, and larger sketches are made for that number: digests are dealt to buckets, each a sketch. A bucket that sticks is
+dealt again to new places with twice the room for each digest, until every bucket has been peeled; so the likeness of the
+query is exact but for equal digests of different cells. A text's own digests are what a retry needs besides the fingerprint. With
+nothing but two fingerprints `likeness` takes the estimate. The work on one text grows with its cells to the power of 1.5
+at most, in the task that holds the text.
 
 Null texts count as empty. Two texts without cells are alike (1). Equal texts have equal fingerprints, and so have texts of
 the same set of cells. A row with a null doc_id comes last in descending order; rows with equal doc_id follow by text. The
@@ -26,8 +30,8 @@ from .common import documents, text_of
 #: Most characters of a cell. Places in each of the three tables of a stratum. Strata; the last holds what is left.
 CELL, PLACES, STRATA = 64, 8, 14
 BETWEEN = r".,;:!?\\n"
-#: Differing digests that a bucket of `difference` is meant for, and the sides of its attempts: 1, 4, 16 ... buckets.
-LOAD, SIDES = 6, (1, 2, 4, 8, 16, 32, 64, 128)
+#: Differing digests that a bucket of the first retry is meant for (half as many each time), and the most retries; what a last one leaves is compared digest by digest.
+LOAD, RETRIES = 4, 8
 ZERO = "named_struct('c', 0, 'k', 0L, 'x', 0L)"
 
 
@@ -41,13 +45,13 @@ def check(digest: str) -> str:
     return f"(xxhash64({digest}) & 65535L)"
 
 
-def addresses(digest: str) -> str:
+def addresses(digest: str, salt: str = "") -> str:
     """A digest's places, counted over the three tables, as fields p0, p1, p2."""
-    return ", ".join(f"'p{t}', cast((shiftrightunsigned(xxhash64({digest}), {40 + 3 * t}) & {PLACES - 1}L) + {t * PLACES} as int)" for t in range(3))
+    return ", ".join(f"'p{t}', cast((shiftrightunsigned(xxhash64({digest}{salt}), {40 + 3 * t}) & {PLACES - 1}L) + {t * PLACES} as int)" for t in range(3))
 
 
-def addressed(digest_array: str) -> str:
-    return f"transform({digest_array}, d -> named_struct('k', d, 'x', {check('d')}, {addresses('d')}))"
+def addressed(digest_array: str, salt: str = "") -> str:
+    return f"transform({digest_array}, d -> named_struct('k', d, 'x', {check('d')}, {addresses('d', salt)}))"
 
 
 def counters(addressed_: str) -> str:
@@ -56,7 +60,7 @@ def counters(addressed_: str) -> str:
     return f"concat({', '.join(map(table, range(3)))})"
 
 
-def sketch(text: str) -> str:
+def sketch(digest_array: str) -> str:
     """n: number of distinct digests. strata: counters of each stratum, none where it is empty."""
     # the stratum is the number of zero bits that a digest ends with; each step parts what is left
     own, rest = f"filter(t.left, d -> s = {STRATA - 1} or (d.k & shiftleft(1L, s)) != 0)", "filter(t.left, d -> (d.k & shiftleft(1L, s)) = 0)"
@@ -64,7 +68,7 @@ def sketch(text: str) -> str:
     parted = f"transform(array({own}), own -> named_struct('left', {rest}, 'out', concat(t.out, array(if(size(own) = 0, {none}, {counters('own')})))))[0]"
     step = f"if(size(t.left) = 0, named_struct('left', t.left, 'out', concat(t.out, array({none}))), {parted})"
     start = f"named_struct('left', {addressed('ds')}, 'out', filter(array(array({ZERO})), c -> false))"
-    return f"transform(array({digests(text)}), ds -> named_struct('n', size(ds), 'strata', aggregate(sequence(0, {STRATA - 1}), {start}, (t, s) -> {step}, t -> t.out)))[0]"
+    return f"transform(array({digest_array}), ds -> named_struct('n', size(ds), 'strata', aggregate(sequence(0, {STRATA - 1}), {start}, (t, s) -> {step}, t -> t.out)))[0]"
 
 
 def as_string(sketch_: str) -> str:
@@ -88,9 +92,9 @@ def subtracted(a: str, b: str) -> str:
     return f"zip_with({a}, {b}, (u, v) -> {minus})"
 
 
-def peeled(cells: str, rounds: int = 7) -> str:
+def peeled(cells: str, rounds: int = 7, salt: str = "") -> str:
     """Signed digests that a difference holds (c: 1 only in the first, -1 only in the second), null if peeling gets stuck."""
-    pure = f"transform(array_distinct(filter(s.cells, u -> abs(u.c) = 1 and {check('u.k')} = u.x)), u -> named_struct('c', u.c, 'k', u.k, 'x', u.x, {addresses('u.k')}))"
+    pure = f"transform(array_distinct(filter(s.cells, u -> abs(u.c) = 1 and {check('u.k')} = u.x)), u -> named_struct('c', u.c, 'k', u.k, 'x', u.x, {addresses('u.k', salt)}))"
     # a round without pure places is the last
     fewer = "transform(s.cells, (u, i) -> aggregate(filter(pure, p -> p.p0 = i or p.p1 = i or p.p2 = i), u, (a, p) -> named_struct('c', a.c - p.c, 'k', a.k ^ p.k, 'x', a.x ^ p.x)))"
     found = "concat(s.found, transform(pure, p -> named_struct('c', p.c, 'k', p.k, 'x', p.x)))"
@@ -99,39 +103,68 @@ def peeled(cells: str, rounds: int = 7) -> str:
     return f"aggregate(sequence(1, {rounds}), {start}, (s, r) -> {step}, s -> if(exists(s.cells, u -> u.c != 0 or u.k != 0L or u.x != 0L), null, s.found))"
 
 
-def differing(a: str, b: str) -> str:
-    """About how many digests of two sketches differ; exactly, if all strata can be peeled."""
+def strata_difference(a: str, b: str) -> str:
+    """found: digests recovered from two sketches; at: the stratum that can't be peeled, below which nothing is known, or -1 if found are all that differ."""
     of_stratum = f"transform(array({subtracted(f'{a}.strata[i]', f'{b}.strata[i]')}), cells -> if(exists(cells, u -> u.c != 0 or u.k != 0L), array_size({peeled('cells')}), 0))[0]"
     # the size of what can't be peeled is null
     step = f"if(t.at >= 0, t, transform(array({of_stratum}), m -> if(m is null, named_struct('at', i, 'found', t.found), named_struct('at', -1, 'found', t.found + m)))[0])"
-    return f"aggregate(sequence({STRATA - 1}, 0, -1), named_struct('at', -1, 'found', 0), (t, i) -> {step}, t -> if(t.at < 0, t.found, cast(t.found * shiftleft(1L, t.at + 1) as int)))"
+    return f"aggregate(sequence({STRATA - 1}, 0, -1), named_struct('at', -1, 'found', 0), (t, i) -> {step})"
 
 
-def likeness(a: str, b: str) -> str:
-    """Shared over all digests of two sketches, 0 to 1, from their numbers and the number that differ."""
+def differing(a: str, b: str, known: str) -> str:
+    """How many digests of two sketches differ, between what their sizes allow: exactly if known.at is -1, else about."""
+    about = f"if({known}.at < 0, {known}.found, cast({known}.found * shiftleft(1L, {known}.at + 1) as int))"
+    return f"greatest(abs({a}.n - {b}.n), least({a}.n + {b}.n, {about}))"
+
+
+def alike(a: str, b: str, differ: str) -> str:
+    """Shared over all digests, 0 to 1, from their numbers and the number that differ."""
     both = f"({a}.n + {b}.n)"
-    bounded = f"greatest(abs({a}.n - {b}.n), least({both}, {differing(a, b)}))"
-    return f"if({both} = 0, 1D, transform(array({bounded}), d -> cast({both} - d as double) / ({both} + d))[0])"
+    return f"if({both} = 0, 1D, transform(array({differ}), d -> cast({both} - d as double) / ({both} + d))[0])"
+
+
+def likeness(a: str, b: str) -> str:
+    """Likeness of two sketches by themselves: exact if all strata can be peeled, else an estimate."""
+    return alike(a, b, f"transform(array({strata_difference(a, b)}), known -> {differing(a, b, 'known')})[0]")
+
+
+def likeness_retried(a: str, b: str, digests_a: str, digests_b: str) -> str:
+    """Likeness of two sketches; where a stratum can't be peeled, from larger ones that are made of their digests."""
+    retried = f"if(known.at < 0, known.found, {remaining(digests_a, digests_b, differing(a, b, 'known'))})"
+    return alike(a, b, f"transform(array({strata_difference(a, b)}), known -> {retried})[0]")
+
+
+def dealt(digest_array: str, side: str, salt: str) -> str:
+    """Digests in side * side buckets, dealt by two steps of side each."""
+    first = f"transform(sequence(0, {side} - 1), s -> transform(filter(hs, e -> pmod(e.h, {side}) = s), e -> named_struct('h', shiftrightunsigned(e.h, 20), 'd', e.d)))"
+    second = f"transform(sequence(0, {side} - 1), t -> transform(filter(part, e -> pmod(e.h, {side}) = t), e -> e.d))"
+    hashed = f"transform({digest_array}, d -> named_struct('h', shiftrightunsigned(xxhash64(d, {salt}, 1), 8), 'd', d))"
+    return f"flatten(transform(array({hashed}), hs -> transform({first}, part -> {second}))[0])"
 
 
-def bucketed(digest_array: str, side: int) -> str:
-    """side * side buckets of counters. Digests are dealt by two steps of side each."""
-    bits = side.bit_length() - 1
-    split = f"flatten(transform(sequence(0, {side - 1}), s -> transform(array(filter({digest_array}, d -> (d & {side - 1}L) = s)), part -> transform(sequence(0, {side - 1}), t -> filter(part, d -> (shiftrightunsigned(d, {bits}) & {side - 1}L) = t)))[0]))"
-    return f"transform({split}, b -> transform(array({addressed('b')}), own -> {counters('own')})[0])"
+def attempts(a: str, b: str, side: str, salt: str) -> str:
+    """Buckets p, q of two digest arrays, each with f: what peeling the difference of their sketches recovers (c, k), null if it gets stuck."""
+    counted = lambda digest_array: f"transform(array({addressed(digest_array, f', {salt}')}), own -> {counters('own')})[0]"
+    cells = subtracted(counted("z.p"), counted("z.q"))
+    found = f"if(size(z.p) + size(z.q) = 0, filter(array({ZERO}), u -> false), transform(array({cells}), cells -> {peeled('cells', salt=f', {salt}')})[0])"
+    pairs = f"zip_with({dealt(a, side, salt)}, {dealt(b, side, salt)}, (p, q) -> named_struct('p', p, 'q', q))"
+    return f"transform({pairs}, z -> named_struct('p', z.p, 'q', z.q, 'f', {found}))"
 
 
 def difference(a: str, b: str, side: int) -> str:
     """Digests (c, k) that differ between two digest arrays, from their sketches of side * side buckets alone; null if a bucket can't be peeled."""
-    found = f"transform(zip_with({bucketed(a, side)}, {bucketed(b, side)}, (p, q) -> {subtracted('p', 'q')}), cells -> {peeled('cells')})"
-    return f"transform(array({found}), f -> if(exists(f, x -> x is null), null, flatten(f)))[0]"
+    return f"transform(array({attempts(a, b, f'{side}', '0')}), zs -> if(exists(zs, z -> z.f is null), null, flatten(transform(zs, z -> z.f))))[0]"
 
 
-def recovered(a: str, b: str) -> str:
-    """Digests (c, k) that differ between two digest arrays: the first attempt that succeeds, each with four times the buckets of the one before."""
-    tries = [f"if(abs(size({a}) - size({b})) > {LOAD * side * side * 2}, null, {difference(a, b, side)})" for side in SIDES]
-    only = lambda x, y, c: f"transform(array_except({x}, {y}), d -> named_struct('c', {c}, 'k', d, 'x', {check('d')}))"
-    return f"coalesce({', '.join(tries)}, concat({only(a, b, 1)}, {only(b, a, -1)}))"
+def remaining(a: str, b: str, expected: str) -> str:
+    """How many digests differ between two digest arrays, of which about `expected` do: buckets that can't be peeled are dealt again, larger for what they hold, each time."""
+    side = f"greatest(1, cast(ceil(sqrt(if(r = 0, {expected}, size(t.a) + size(t.b)) * shiftleft(1L, r) / {LOAD}D)) as int))"
+    stuck = lambda of: f"flatten(transform(filter(zs, z -> z.f is null), z -> z.{of}))"
+    recovered = "aggregate(zs, t.n, (n, z) -> n + if(z.f is null, 0, size(z.f)))"
+    again = f"transform(array({side}), side -> transform(array({attempts('t.a', 't.b', 'side', 'r')}), zs -> named_struct('a', {stuck('p')}, 'b', {stuck('q')}, 'n', {recovered}))[0])[0]"
+    step = f"if(size(t.a) + size(t.b) = 0, t, {again})"
+    rest = "t.n + size(array_except(t.a, t.b)) + size(array_except(t.b, t.a))"
+    return f"aggregate(sequence(0, {RETRIES - 1}), named_struct('a', {a}, 'b', {b}, 'n', 0), (t, r) -> {step}, t -> {rest})"
 
 
 def ranges(docs: DataFrame) -> DataFrame:
@@ -172,8 +205,11 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, that of its edited text, and how like the fingerprints are of it, of that and of the next document."""
     rows = with_next(documents(spark, sf_dir)).withColumn("n_chars", F.length("text").cast("long"))
     rows = rows.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 3 as int)), substring(next_text, 1, cast(n_chars div 3 as int)))"))
-    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *(F.expr(sketch(c)).alias(a) for c, a in (("text", "own"), ("edited", "new"), ("next_text", "next"))))
+    texts = (("own", "text"), ("new", "edited"), ("next", "next_text"))
+    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *(F.expr(digests(c)).alias(f"{a}_digests") for a, c in texts))
+    rows = rows.select("*", *(F.expr(sketch(f"{a}_digests")).alias(a) for a, _ in texts))
+    near = lambda other: F.expr(likeness_retried("own", other, "own_digests", f"{other}_digests"))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", F.expr(as_string("own")).alias("fingerprint"), F.expr(as_string("new")).alias("edited_fingerprint"),
-        F.expr(likeness("own", "new")).alias("near_edited"), F.expr(likeness("own", "next")).alias("near_next"),
+        near("new").alias("near_edited"), near("next").alias("near_next"),
     )
