@@ -8,11 +8,11 @@ differ. Strata are tried from the sparsest on, each about twice as full as the o
 difference is exact.
 
 The fingerprint is the sketch itself as a string. Where a stratum sticks, those that were peeled tell about how many digests
-differ, and larger sketches are made for that number: digests are dealt to buckets, each a sketch. A bucket that sticks is
-dealt again to new places with twice the room for each digest, until every bucket has been peeled; so the likeness of the
-query is exact but for equal digests of different cells. A text's own digests are what a retry needs besides the fingerprint. With
-nothing but two fingerprints `likeness` takes the estimate. The work on one text grows with its cells to the power of 1.5
-at most, in the task that holds the text.
+differ, and a larger table is made for that number, again of counters in which what both share cancels. Places with a
+single digest are recovered; what lies in others is dealt again, by another hash and with twice the room for each digest,
+until nothing is left, so the likeness of the query is exact but for equal digests of different cells. A retry needs
+the texts' digests besides the fingerprints. With nothing but two fingerprints, `likeness` takes the estimate. The work on
+one text grows with its cells, in the task that holds the text.
 
 Null texts count as empty. Two texts without cells are alike (1). Equal texts have equal fingerprints, and so have texts of
 the same set of cells. A row with a null doc_id comes last in descending order; rows with equal doc_id follow by text. The
@@ -30,8 +30,8 @@ from .common import documents, text_of
 #: Most characters of a cell. Places in each of the three tables of a stratum. Strata; the last holds what is left.
 CELL, PLACES, STRATA = 64, 8, 14
 BETWEEN = r".,;:!?\\n"
-#: Differing digests that a bucket of the first retry is meant for (half as many each time), and the most retries; what a last one leaves is compared digest by digest.
-LOAD, RETRIES = 4, 8
+#: Places for each digest that is expected to differ, as a power of two: of the first retry, one more each time. Most retries; what the last one leaves is compared digest by digest.
+ROOM, RETRIES = 1, 8
 ZERO = "named_struct('c', 0, 'k', 0L, 'x', 0L)"
 
 
@@ -45,13 +45,13 @@ def check(digest: str) -> str:
     return f"(xxhash64({digest}) & 65535L)"
 
 
-def addresses(digest: str, salt: str = "") -> str:
+def addresses(digest: str) -> str:
     """A digest's places, counted over the three tables, as fields p0, p1, p2."""
-    return ", ".join(f"'p{t}', cast((shiftrightunsigned(xxhash64({digest}{salt}), {40 + 3 * t}) & {PLACES - 1}L) + {t * PLACES} as int)" for t in range(3))
+    return ", ".join(f"'p{t}', cast((shiftrightunsigned(xxhash64({digest}), {40 + 3 * t}) & {PLACES - 1}L) + {t * PLACES} as int)" for t in range(3))
 
 
-def addressed(digest_array: str, salt: str = "") -> str:
-    return f"transform({digest_array}, d -> named_struct('k', d, 'x', {check('d')}, {addresses('d', salt)}))"
+def addressed(digest_array: str) -> str:
+    return f"transform({digest_array}, d -> named_struct('k', d, 'x', {check('d')}, {addresses('d')}))"
 
 
 def counters(addressed_: str) -> str:
@@ -92,9 +92,9 @@ def subtracted(a: str, b: str) -> str:
     return f"zip_with({a}, {b}, (u, v) -> {minus})"
 
 
-def peeled(cells: str, rounds: int = 7, salt: str = "") -> str:
+def peeled(cells: str, rounds: int = 7) -> str:
     """Signed digests that a difference holds (c: 1 only in the first, -1 only in the second), null if peeling gets stuck."""
-    pure = f"transform(array_distinct(filter(s.cells, u -> abs(u.c) = 1 and {check('u.k')} = u.x)), u -> named_struct('c', u.c, 'k', u.k, 'x', u.x, {addresses('u.k', salt)}))"
+    pure = f"transform(array_distinct(filter(s.cells, u -> abs(u.c) = 1 and {check('u.k')} = u.x)), u -> named_struct('c', u.c, 'k', u.k, 'x', u.x, {addresses('u.k')}))"
     # a round without pure places is the last
     fewer = "transform(s.cells, (u, i) -> aggregate(filter(pure, p -> p.p0 = i or p.p1 = i or p.p2 = i), u, (a, p) -> named_struct('c', a.c - p.c, 'k', a.k ^ p.k, 'x', a.x ^ p.x)))"
     found = "concat(s.found, transform(pure, p -> named_struct('c', p.c, 'k', p.k, 'x', p.x)))"
@@ -134,37 +134,43 @@ def likeness_retried(a: str, b: str, digests_a: str, digests_b: str) -> str:
     return alike(a, b, f"transform(array({strata_difference(a, b)}), known -> {retried})[0]")
 
 
-def dealt(digest_array: str, side: str, salt: str) -> str:
-    """Digests in side * side buckets, dealt by two steps of side each."""
-    first = f"transform(sequence(0, {side} - 1), s -> transform(filter(hs, e -> pmod(e.h, {side}) = s), e -> named_struct('h', shiftrightunsigned(e.h, 20), 'd', e.d)))"
-    second = f"transform(sequence(0, {side} - 1), t -> transform(filter(part, e -> pmod(e.h, {side}) = t), e -> e.d))"
-    hashed = f"transform({digest_array}, d -> named_struct('h', shiftrightunsigned(xxhash64(d, {salt}, 1), 8), 'd', d))"
-    return f"flatten(transform(array({hashed}), hs -> transform({first}, part -> {second}))[0])"
+def signed(a: str, b: str) -> str:
+    """Digests of two arrays as one array of numbers, each twice the digest, and one more for the second's."""
+    return f"concat(transform({a}, d -> shiftleft(d, 1)), transform({b}, d -> shiftleft(d, 1) | 1L))"
 
 
-def attempts(a: str, b: str, side: str, salt: str) -> str:
-    """Buckets p, q of two digest arrays, each with f: what peeling the difference of their sketches recovers (c, k), null if it gets stuck."""
-    counted = lambda digest_array: f"transform(array({addressed(digest_array, f', {salt}')}), own -> {counters('own')})[0]"
-    cells = subtracted(counted("z.p"), counted("z.q"))
-    found = f"if(size(z.p) + size(z.q) = 0, filter(array({ZERO}), u -> false), transform(array({cells}), cells -> {peeled('cells', salt=f', {salt}')})[0])"
-    pairs = f"zip_with({dealt(a, side, salt)}, {dealt(b, side, salt)}, (p, q) -> named_struct('p', p, 'q', q))"
-    return f"transform({pairs}, z -> named_struct('p', z.p, 'q', z.q, 'f', {found}))"
+def attempts(signed_: str, places: str, salt: str) -> str:
+    """A sketch of so many places of the difference that signed digests make, but for empty places: each with its digests e, their count c and xor k, and whether it is `empty` or `pure` after what both have cancelled.
 
+    Digests lie in the order of their places, so that each place is a slice of them and a sketch takes as many steps as there are digests.
+    """
+    hashed = f"array_sort(transform({signed_}, e -> shiftleft(shiftrightunsigned(xxhash64(shiftrightunsigned(e, 1), {salt}), 34), 33) | e))"
+    place = lambda e: f"shiftright(shiftrightunsigned({e}, 33) * ({places}), 30)"
+    starts = f"filter(sequence(1, size(es)), i -> if(i = 1, true, {place('es[i - 1]')} <> {place('es[i - 2]')}))"
+    slices = f"transform(array({starts}), ss -> transform(ss, (s, j) -> transform(slice(es, s, if(j + 1 < size(ss), ss[j + 1], size(es) + 1) - s), e -> e & {(1 << 33) - 1}L)))[0]"
+    counter = "named_struct('c', 0, 'k', 0L, 'x', 0L)"
+    more = "named_struct('c', u.c + if((e & 1L) = 0L, 1, -1), 'k', u.k ^ shiftrightunsigned(e, 1), 'x', u.x ^ xxhash64(shiftrightunsigned(e, 1)))"
+    seen = "named_struct('e', z, 'c', u.c, 'k', u.k, 'empty', u.c = 0 and u.k = 0L and u.x = 0L, 'pure', abs(u.c) = 1 and xxhash64(u.k) = u.x)"
+    counted = f"transform({slices}, z -> aggregate(z, {counter}, (u, e) -> {more}, u -> {seen}))"
+    return f"transform(array({hashed}), es -> {counted})[0]"
 
-def difference(a: str, b: str, side: int) -> str:
-    """Digests (c, k) that differ between two digest arrays, from their sketches of side * side buckets alone; null if a bucket can't be peeled."""
-    return f"transform(array({attempts(a, b, f'{side}', '0')}), zs -> if(exists(zs, z -> z.f is null), null, flatten(transform(zs, z -> z.f))))[0]"
+
+def difference(a: str, b: str, places: int) -> str:
+    """Digests (c, k) that differ between two digest arrays, from one table of so many places alone; null if a place holds more than one of them."""
+    found = "transform(filter(zs, z -> z.pure), z -> named_struct('c', z.c, 'k', z.k))"
+    return f"transform(array({attempts(signed(a, b), f'{places}L', '0')}), zs -> if(exists(zs, z -> not z.empty and not z.pure), null, {found}))[0]"
 
 
 def remaining(a: str, b: str, expected: str) -> str:
-    """How many digests differ between two digest arrays, of which about `expected` do: buckets that can't be peeled are dealt again, larger for what they hold, each time."""
-    side = f"greatest(1, cast(ceil(sqrt(if(r = 0, {expected}, size(t.a) + size(t.b)) * shiftleft(1L, r) / {LOAD}D)) as int))"
-    stuck = lambda of: f"flatten(transform(filter(zs, z -> z.f is null), z -> z.{of}))"
-    recovered = "aggregate(zs, t.n, (n, z) -> n + if(z.f is null, 0, size(z.f)))"
-    again = f"transform(array({side}), side -> transform(array({attempts('t.a', 't.b', 'side', 'r')}), zs -> named_struct('a', {stuck('p')}, 'b', {stuck('q')}, 'n', {recovered}))[0])[0]"
-    step = f"if(size(t.a) + size(t.b) = 0, t, {again})"
-    rest = "t.n + size(array_except(t.a, t.b)) + size(array_except(t.b, t.a))"
-    return f"aggregate(sequence(0, {RETRIES - 1}), named_struct('a', {a}, 'b', {b}, 'n', 0), (t, r) -> {step}, t -> {rest})"
+    """How many digests differ between two digest arrays, of which about `expected` do: what a table can't tell is dealt again by another hash to a larger one, each time."""
+    places = f"greatest(1L, shiftleft(cast(if(r = 0, {expected}, size(t.e)) as bigint), r + {ROOM}))"
+    stuck = "flatten(transform(filter(zs, z -> not z.empty and not z.pure), z -> z.e))"
+    found = "aggregate(zs, t.n, (n, z) -> n + if(z.pure, 1, 0))"
+    again = f"transform(array({places}), places -> transform(array({attempts('t.e', 'places', 'r')}), zs -> named_struct('e', {stuck}, 'n', {found}))[0])[0]"
+    step = f"if(size(t.e) = 0, t, {again})"
+    side = lambda k: f"transform(filter(t.e, e -> (e & 1L) = {k}L), e -> shiftrightunsigned(e, 1))"
+    rest = f"t.n + if(size(t.e) = 0, 0, size(array_except({side(0)}, {side(1)})) + size(array_except({side(1)}, {side(0)})))"
+    return f"aggregate(sequence(0, {RETRIES - 1}), named_struct('e', {signed(a, b)}, 'n', 0), (t, r) -> {step}, t -> {rest})"
 
 
 def ranges(docs: DataFrame) -> DataFrame:
