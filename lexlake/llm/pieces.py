@@ -29,6 +29,8 @@ NORMAL, UNKNOWN, BYTE = 1, 2, 6
 UNIGRAM, BPE = 1, 2
 #: What the library takes off the least score for a character that no piece has (fixed value).
 UNKNOWN_PENALTY = 10.0
+#: Chunks of a giant text that are sent at once.
+CUT = 256
 #: Words whose ids a worker holds; bounds its memory, not results.
 CACHE_UNITS = 200_000
 
@@ -334,10 +336,25 @@ def giant_ids(texts: DataFrame, path: str, settings: Settings) -> DataFrame:
     """(uid, ids, chunks) of giant texts. texts: (uid, text), stored."""
     model = pieces(path)
     w, prefix, size, fan = model.longest, SPACE if model.prefix else "", settings.chunk, settings.fan
-    whole = texts.select("uid", F.concat(F.lit(prefix), F.translate("text", " ", SPACE)).alias("s")).withColumn("n", F.length("s")).withColumn("many", F.greatest(F.lit(1), F.floor(F.col("n") / size)).cast("int"))
-    rows = whole.select("uid", "s", "n", "many", F.explode(F.expr("sequence(0, many - 1)")).alias("chunk"))
-    own = F.when(F.col("chunk") == F.col("many") - 1, F.col("n") - F.col("chunk") * size).otherwise(size)
-    chunks = rows.select("uid", "chunk", "many", own.cast("int").alias("n"), F.expr(f"substring(s, chunk * {size} + 1, if(chunk = many - 1, n, {size + w}))").alias("text"))
+    whole = texts.select("uid", F.concat(F.lit(prefix), F.translate("text", " ", SPACE)).alias("s"))
+
+    def cut(batches):
+        """Each text's chunks in order, with what the longest piece may read beyond: slices, so that a text is walked once."""
+        import pyarrow as pa
+
+        for batch in batches:
+            for uid, s in zip(batch.column(0), batch.column(1)):
+                s = s.as_py()
+                many = max(1, len(s) // size)
+                for first in range(0, many, CUT):
+                    own = [(k * size, len(s) if k == many - 1 else (k + 1) * size) for k in range(first, min(first + CUT, many))]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([uid.as_py()] * len(own), batch.schema.field(0).type), pa.array(range(first, first + len(own)), pa.int32()), pa.array([many] * len(own), pa.int32()),
+                         pa.array([y - x for x, y in own], pa.int32()), pa.array([s[x : y if y == len(s) else x + size + w] for x, y in own])],
+                        ["uid", "chunk", "many", "n", "text"],
+                    )
+
+    chunks = whole.mapInArrow(cut, f"uid {texts.schema['uid'].dataType.simpleString()}, chunk int, many int, n int, text string")
     chunks = materialise(chunks.repartition("uid", "chunk"), "chunks")
 
     def matrices(batches):
