@@ -160,10 +160,15 @@ def canonical_list(x) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(F.split(col(x), ","), lambda t: F.trim(t)), lambda t: t != ""))), ",")
 
 
+# Answers of a receiver that will be the same next time.
+HARD_STATUSES = (400, 401, 403, 404, 405, 406, 411, 413, 414, 415, 422)
+
+
 def error_class(status) -> Column:
-    """Class of a delivery attempt by its HTTP status; null is a transport error."""
+    """Class of a delivery attempt by its HTTP status; null is a transport error. Rate limits and other client errors that may pass have classes of their own, so that they neither count towards a run of hard ones nor hide in one."""
     s = col(status)
-    return F.when(s.isNull(), "transport").when(s.between(200, 299), "ok").when(s == 410, "gone").when(s.isin(408, 425, 429) | (s >= 500), "soft").when(s.between(400, 499), "hard").otherwise("redirect")
+    kinds = F.when(s.isNull(), "transport").when(s.between(200, 299), "ok").when(s == 410, "gone").when(s == 429, "limited")
+    return kinds.when(s.isin(*HARD_STATUSES), "hard").when(s.between(400, 499), "retryable").when(s >= 500, "soft").otherwise("redirect")
 
 
 def admissible_url(x) -> Column:

@@ -178,7 +178,7 @@ def canonical_lists(spark, d):
     return rows.select(F.col("p_partkey").alias("id"), S.truth(F.when(F.col("p_size") % 2 == 0, " Yes").otherwise("nope")).alias("truth"), S.canonical_list(F.concat_ws(",", "p_type", "p_brand", "p_type")).alias("list"))
 
 
-@query("select p_partkey id, case p_size % 6 when 0 then 'ok' when 1 then 'gone' when 2 then 'soft' when 3 then 'hard' when 4 then 'transport' else 'soft' end class from part")
+@query("select p_partkey id, case p_size % 6 when 0 then 'ok' when 1 then 'gone' when 2 then 'limited' when 3 then 'hard' when 4 then 'transport' else 'soft' end class from part")
 def error_classes(spark, d):
     k = F.col("p_size") % 6
     code = F.when(k == 0, 204).when(k == 1, 410).when(k == 2, 429).when(k == 3, 404).when(k == 5, 503)

@@ -120,3 +120,9 @@ def test_coverage(spark):
 
 def test_halved():
     assert feed.halved([10] * 8, 45) == 4 and feed.halved([50], 45) == 0 and feed.halved([], 45) == 0
+
+
+def test_classes_of_answers(spark):
+    want = {200: "ok", 204: "ok", 301: "redirect", 404: "hard", 422: "hard", 408: "retryable", 425: "retryable", 409: "retryable", 410: "gone", 429: "limited", 500: "soft", 503: "soft", None: "transport"}
+    df = spark.createDataFrame([(k,) for k in want], "s int")
+    assert {r["s"]: r["c"] for r in df.select("s", S.error_class("s").alias("c")).collect()} == want
