@@ -4,8 +4,9 @@ Lines are normalised (lower case, everything but letters and digits to single bl
 line. The features of a line are the pairs of its consecutive long words, as short ones are common everywhere, and of a
 line that is short or has few long words those of all its words, too; edges count as words. The features with the smallest hashes are the line's sketch.
 Every two places of a sketch make a block.
-In each block, lines in order of length are candidates with the one before them and with the block's first, so a block
-of any size costs two candidates a line. Two lines are near if their lengths allow the edit similarity, and either the
+In each block, lines in order of length are first candidates with the one before them and with the block's first. What
+that leaves unconnected within a block is then compared exactly: every two of its lines of different groups whose lengths
+allow it, tile by tile, so that no task holds more than two tiles of a block. Two lines are near if their lengths allow the edit similarity, and either the
 shortest edit of words has it, or that of characters has it and the one of words leaves three fifths of them.
 Near candidates are linked, and of each connected group the occurrence with the smallest (doc_id, text, line number) stays.
 
@@ -44,6 +45,8 @@ class Settings:
         return f"cast(floor(greatest({a}, {b}) * {1 - self.similarity:.9f} + 1e-9) as int)"
 
 
+#: Lines of a tile of a block; the least lines of a block that has pairs beyond the first candidates.
+TILE, CROWD = 512, 4
 #: What parts a line's words (fixed value).
 BETWEEN_WORDS = "[^\\\\p{L}\\\\p{N}]+"
 
@@ -64,18 +67,42 @@ def lines_of(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return rows.select("doc_id", "text_key", "line_no", F.xxhash64("norm").alias("line"), F.length("norm").alias("n"), F.expr(sketch("words", settings)).alias("sketch"), "norm")
 
 
-def candidate_pairs(sketches: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs (a, b), a < b, of lines that are neighbours in some block and whose lengths allow the edit similarity. sketches: distinct (line, n, sketch)."""
+def blocks_of(sketches: DataFrame, settings: Settings) -> DataFrame:
+    """(block, line, n, place, line_1, n_1, line_2, n_2) of the lines in blocks of two or more: their place by length from 1, the line before and the block's first. sketches: distinct (line, n, sketch)."""
     at = lambda k: F.get("sketch", F.lit(k))
     blocks = [F.when(at(j).isNotNull(), F.xxhash64(at(i), at(j))) for j in range(1, settings.places) for i in range(j)]
-    rows = sketches.select(F.explode(F.array(*blocks)).alias("block"), "line", "n").where("block is not null")
+    rows = sketches.select(F.explode(F.array_distinct(F.array(*blocks))).alias("block"), "line", "n").where("block is not null")
     in_block = Window.partitionBy("block").orderBy("n", "line")
-    met = rows.select("line", "n", *(f.over(in_block).alias(c) for c, f in (("line_1", F.lag("line")), ("n_1", F.lag("n")), ("line_2", F.first("line")), ("n_2", F.first("n")))))
-    met = met.where("line_1 is not null")
-    pairs = met.select("line", "n", F.expr("stack(2, line_1, n_1, line_2, n_2) as (other, m)")).where(f"line != other and abs(n - m) <= {settings.most('n', 'm')}")
+    near = (("place", F.row_number()), ("line_1", F.lag("line")), ("n_1", F.lag("n")), ("line_2", F.first("line")), ("n_2", F.first("n")), ("more", F.lead("line")))
+    met = rows.select("block", "line", "n", *(f.over(in_block).alias(c) for c, f in near))
+    return met.where("line_1 is not null or more is not null").drop("more")
+
+
+def candidate_pairs(blocks: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs (a, b), a < b, of lines that are neighbours in some block and whose lengths allow the edit similarity."""
+    pairs = blocks.where("line_1 is not null").select("line", "n", F.expr("stack(2, line_1, n_1, line_2, n_2) as (other, m)")).where(f"line != other and abs(n - m) <= {settings.most('n', 'm')}")
     return pairs.select(F.least("line", "other").alias("a"), F.greatest("line", "other").alias("b")).distinct()
 
 
+def links_left(blocks: DataFrame, groups: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """(a, b): groups, or lines without one, that near lines of a block link. Every two lines of a block are compared whose groups differ and whose lengths allow it; a block of one group has nothing to add."""
+    own = groups.select(F.col("node").alias("line"), F.col("component").alias("g"))
+    rows = blocks.select("block", "line", "n", "place").join(own, "line", "left").withColumn("g", F.coalesce("g", "line"))
+    unsettled = rows.groupBy("block").agg(F.count("*").alias("many"), F.min("g").alias("g_1"), F.max("g").alias("g_2")).where(f"many >= {CROWD} and g_1 < g_2")
+    rows = rows.join(unsettled.select("block"), "block", "left_semi").withColumn("tile", F.expr(f"(place - 1) div {TILE}"))
+    rows = materialise(rows.join(texts, "line"), "line-crowds")
+    tiles = rows.groupBy("block", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    ij = tiles.select("block", F.col("tile").alias("i"), F.col("hi").alias("n")).join(tiles.select("block", F.col("tile").alias("j"), F.col("lo").alias("m")), "block").where(f"i <= j and m - n <= {settings.most('n', 'm')}").select("block", "i", "j")
+    many = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number is kept: few bytes are much work here
+    a, b = (rows.select("block", F.col("tile").alias(t), *(F.col(c).alias(f"{c}_{x}") for c in ("place", "g", "n", "codes", "norm"))).join(ij, ["block", t]).repartition(many, "block", "i", "j") for x, t in (("a", "i"), ("b", "j")))
+    words = "greatest(length(codes_a), length(codes_b))"
+    by_words = lambda most: f"levenshtein(codes_a, codes_b, {most}) >= 0"
+    near = f"{by_words(f'cast({words} * 2 div 5 as int)')} and ({by_words(settings.most('length(codes_a)', 'length(codes_b)'))} or levenshtein(norm_a, norm_b, {settings.most('n_a', 'n_b')}) >= 0)"
+    same = " and ".join(f"a.{c} = b.{c}" for c in ("block", "i", "j"))
+    met = a.alias("a").join(b.alias("b"), F.expr(f"{same} and place_a < place_b and g_a != g_b and abs(n_a - n_b) <= {settings.most('n_a', 'n_b')} and {near}"))
+    return met.select(F.least("g_a", "g_b").alias("a"), F.greatest("g_a", "g_b").alias("b")).distinct()
+
+
 def word_codes(norm: str) -> str:
     """A string with one character for each word, a hash of it, so that levenshtein() of two such strings counts words."""
     return f"decode(unhex(array_join(transform(split({norm}, ' '), w -> hex(pmod(hash(w), 51200) + 4096)), '')), 'UTF-16BE')"
@@ -116,12 +143,17 @@ def dropped_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame
     place = F.struct("doc_id", "text_key", "line_no")
     distinct = lines.groupBy("line").agg(F.min(place).alias("first"), F.min("n").alias("n"), F.min_by("sketch", "n").alias("sketch"), F.count("*").alias("many"))
     distinct = materialise(distinct, "distinct-lines")
-    pairs = materialise(candidate_pairs(distinct.select("line", "n", "sketch"), settings), "line-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
-    # one occurrence of each line that has a candidate
+    blocks = materialise(blocks_of(distinct.select("line", "n", "sketch"), settings), "line-blocks")
+    pairs = materialise(candidate_pairs(blocks, settings), "line-pairs")
+    wanted = blocks.select("line").distinct()
+    # one occurrence of each line that meets another in a block
     texts = lines.join(distinct.select("line", "first").join(wanted, "line", "left_semi"), "line").where(place == F.col("first"))
     texts = materialise(texts.select("line", "norm", F.expr(word_codes("norm")).alias("codes")).dropDuplicates(["line"]), "line-texts")
-    groups = near_groups(pairs, texts, settings).select(F.col("node").alias("line"), F.col("component").alias("grp"))
+    groups = materialise(near_groups(pairs, texts, settings), "line-near")
+    more = materialise(links_left(blocks, groups, texts, settings), "line-rest")
+    if not more.isEmpty():
+        groups = components(more.union(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    groups = groups.select(F.col("node").alias("line"), F.col("component").alias("grp"))
     merged = materialise(distinct.select("line", "first").join(groups, "line"), "line-groups")
     keep = merged.groupBy("grp").agg(F.min("first").alias("keep"))
     moved = merged.join(keep, "grp").select("line", "keep")
