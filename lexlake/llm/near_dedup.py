@@ -225,6 +225,13 @@ def agreement(a: str, b: str) -> str:
     return f"aggregate(zip_with({a}, {b}, (x, y) -> if(x = y, 1, 0)), 0, (n, x) -> n + x)"
 
 
+def folded(met: DataFrame) -> DataFrame:
+    """Edges that connect what the edges (a, b) from members to leaders do: each member's to the first of its leaders, and that one's to the others, once for all members that met the same. A member has no more leaders than it was in nodes."""
+    leaders = materialise(met.groupBy("a").agg(F.sort_array(F.collect_set("b")).alias("of")), "leaders-met")
+    others = leaders.where(F.size("of") > 1).select("of").distinct().select(F.get("of", F.lit(0)).alias("a"), F.explode(F.expr("slice(of, 2, size(of))")).alias("b"))
+    return leaders.select("a", F.get("of", F.lit(0)).alias("b")).union(others.distinct())
+
+
 def candidates(classes: DataFrame, settings: Settings) -> DataFrame:
     """Candidate edges (a, b) of the trees. classes: (class, signature)."""
     roots = classes.select(F.explode(F.array(*(F.lit(t).cast("long") for t in range(settings.trees)))).alias("node"), "class", "signature")
@@ -247,7 +254,8 @@ def candidates(classes: DataFrame, settings: Settings) -> DataFrame:
     # many nodes have the same members: comparing one of them is enough
     chosen = reduce(DataFrame.union, (sizes for _, sizes in levels)).groupBy("size", "x", "y").agg(F.min("node").alias("node")).select("node")
     small = reduce(DataFrame.union, (nodes for nodes, _ in levels)).join(chosen, "node").join(classes, "class").select("node", "class", "signature")
-    return reduce(DataFrame.union, [*found, compare_nodes(small, settings)])
+    pairs = compare_nodes(small, settings)
+    return folded(reduce(DataFrame.union, found)).union(pairs) if found else pairs
 
 
 def same(x, y) -> int:

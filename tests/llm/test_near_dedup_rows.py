@@ -2,7 +2,9 @@
 
 import random
 
-from lexlake.llm import near_dedup
+from pyspark.sql import functions as F
+
+from lexlake.llm import graph, near_dedup
 
 from test_small import brute_components, shingle_set
 
@@ -44,3 +46,20 @@ def test_recall_at_the_threshold(rows):
     found = sum(got[i] == c for i, c in want.items() if i != c)
     print("found", found, "of", sum(i != c for i, c in want.items()))
     assert all(got[i] in (i, c) for i, c in want.items()) and found >= 0.97 * sum(i != c for i, c in want.items())
+
+
+def test_candidates_grow_with_the_copies_alone(rows):
+    """A large group of near copies is in all nodes of all trees: an edge for a member, not one for each node."""
+    r = random.Random(4)
+    base, texts = words(r, 200), []
+    for k in range(300):
+        own = list(base)
+        own[r.randrange(200)] = f"n{k}"
+        texts.append((k, " ".join(own)))
+    settings = near_dedup.Settings(words=4, node=30)
+    df = rows("doc_id bigint, text string", *texts)
+    classes = near_dedup.shingled(df, settings).select("class", F.col("signature"))
+    edges = near_dedup.candidates(classes, settings)
+    assert edges.distinct().count() < 2 * 300
+    groups = graph.components(edges).groupBy("component").count().collect()
+    assert [g["count"] for g in groups] == [300]
