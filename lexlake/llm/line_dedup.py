@@ -85,21 +85,23 @@ def candidate_pairs(blocks: DataFrame, settings: Settings) -> DataFrame:
 
 
 def links_left(blocks: DataFrame, groups: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
-    """(a, b): groups, or lines without one, that near lines of a block link. Every two lines of a block are compared whose groups differ and whose lengths allow it; a block of one group has nothing to add."""
+    """(a, b): groups, or lines without one, that near lines of a block link. Every two lines of a block are compared whose groups differ and whose lengths allow it, once for all their blocks; a block of one group has nothing to add."""
     own = groups.select(F.col("node").alias("line"), F.col("component").alias("g"))
     rows = blocks.select("block", "line", "n", "place").join(own, "line", "left").withColumn("g", F.coalesce("g", "line"))
     unsettled = rows.groupBy("block").agg(F.count("*").alias("many"), F.min("g").alias("g_1"), F.max("g").alias("g_2")).where(f"many >= {CROWD} and g_1 < g_2")
     rows = rows.join(unsettled.select("block"), "block", "left_semi").withColumn("tile", F.expr(f"(place - 1) div {TILE}"))
-    rows = materialise(rows.join(texts, "line"), "line-crowds")
+    own = rows.groupBy("line").agg(F.collect_set("block").alias("blocks"))
+    rows = materialise(rows.join(own, "line").join(texts, "line"), "line-crowds")
     tiles = rows.groupBy("block", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     ij = tiles.select("block", F.col("tile").alias("i"), F.col("hi").alias("n")).join(tiles.select("block", F.col("tile").alias("j"), F.col("lo").alias("m")), "block").where(f"i <= j and m - n <= {settings.most('n', 'm')}").select("block", "i", "j")
     many = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number is kept: few bytes are much work here
-    a, b = (rows.select("block", F.col("tile").alias(t), *(F.col(c).alias(f"{c}_{x}") for c in ("place", "g", "n", "codes", "norm"))).join(ij, ["block", t]).repartition(many, "block", "i", "j") for x, t in (("a", "i"), ("b", "j")))
+    a, b = (rows.select("block", F.col("tile").alias(t), *(F.col(c).alias(f"{c}_{x}") for c in ("place", "g", "n", "blocks", "codes", "norm"))).join(ij, ["block", t]).repartition(many, "block", "i", "j") for x, t in (("a", "i"), ("b", "j")))
     words = "greatest(length(codes_a), length(codes_b))"
     by_words = lambda most: f"levenshtein(codes_a, codes_b, {most}) >= 0"
     near = f"{by_words(f'cast({words} * 2 div 5 as int)')} and ({by_words(settings.most('length(codes_a)', 'length(codes_b)'))} or levenshtein(norm_a, norm_b, {settings.most('n_a', 'n_b')}) >= 0)"
     same = " and ".join(f"a.{c} = b.{c}" for c in ("block", "i", "j"))
-    met = a.alias("a").join(b.alias("b"), F.expr(f"{same} and place_a < place_b and g_a != g_b and abs(n_a - n_b) <= {settings.most('n_a', 'n_b')} and {near}"))
+    once = "a.block = array_min(array_intersect(blocks_a, blocks_b))"  # two lines share up to all blocks of their sketches
+    met = a.alias("a").join(b.alias("b"), F.expr(f"{same} and place_a < place_b and g_a != g_b and abs(n_a - n_b) <= {settings.most('n_a', 'n_b')} and {once} and {near}"))
     return met.select(F.least("g_a", "g_b").alias("a"), F.greatest("g_a", "g_b").alias("b")).distinct()
 
 

@@ -47,3 +47,21 @@ def test_crowded_blocks_lose_no_link(spark, rows, monkeypatch):
     want = {k for k, g in enumerate(group) if k != g}
     got = {x["doc_id"] for x in line_dedup.dropped_lines(docs).collect()}
     assert len(want) >= 40 and got == want
+
+
+def test_two_lines_are_compared_once(spark, rows, monkeypatch):
+    """Lines whose sketches are equal share 15 blocks; counting their edits is dear, so one of the blocks does it."""
+    from pyspark.sql import functions as F
+
+    kept = {}
+    real = line_dedup.materialise
+    monkeypatch.setattr(line_dedup, "materialise", lambda df, name: kept.setdefault(name, real(df, name)))
+    texts = rows("line bigint, norm string, codes string", *((k, f"{'abcdefgh'[k] * 30} x", "".join(chr(0x1000 + 8 * k + i) for i in range(10))) for k in range(6)))
+    blocks = rows("block bigint, line bigint, n int, place int", *((b, k, 32, k + 1) for b in range(15) for k in range(6)))
+    groups = rows("node bigint, component bigint", (0, 0))
+    met = line_dedup.links_left(blocks, groups, texts, SETTINGS)
+    assert met.count() == 0
+    crowds = kept["line-crowds"]
+    assert crowds.where(F.size("blocks") == 15).count() == 90
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_min(array_intersect(" in plan and plan.index("array_min(") < plan.index("levenshtein(")
