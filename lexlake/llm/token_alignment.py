@@ -25,8 +25,8 @@ from .bpe import WHOLE, WordEncoder
 from .common import documents, materialise, text_of, type_of
 
 SPACE = "▁"
-#: Links of a group above which its ids are counted before they are paired; pairs of a stored row.
-LARGE_GROUP, LIST_ROW = 1 << 16, 4096
+#: Links of a group above which its ids are counted before they are paired; pairs of a stored row, and rows that are sent at once.
+LARGE_GROUP, LIST_ROW, LIST_ROWS = 1 << 16, 4096, 64
 #: Words of one call of the SentencePiece library; its queue of merges is longer the more there are.
 CALL = 50
 
@@ -247,13 +247,25 @@ def cut(texts, most: int):
         at += n
 
 
+def smallest(values, most: int):
+    """Whole numbers from 0 to most in as few bytes as they need: a block's pairs are what fills a worker's memory."""
+    import numpy as np
+
+    return values.astype(np.min_scalar_type(most))
+
+
 def aligned_by_parts(aligner: Aligner, texts, most: int) -> tuple:
-    """aligned() of ever so many bytes, put together."""
+    """(columns by name, number of pairs of each document, pairs and links of each part) of ever so many bytes, aligned in parts."""
     import numpy as np
 
-    parts = [(at, *aligned(aligner, texts.slice(at, n))) for at, n in cut(texts, most)]
-    facts = {c: np.concatenate([f[c] for _, f, _, _ in parts]) for c in parts[0][1]}
-    return facts, np.concatenate([keys + (at << 40) for at, _, keys, _ in parts]), np.concatenate([links for *_, links in parts])
+    facts, counts, pairs, links = [], [], [], []
+    for at, n in cut(texts, most):
+        found, keys, many = aligned(aligner, texts.slice(at, n))
+        facts.append(found)
+        counts.append(np.bincount(keys >> 40, minlength=n))
+        pairs.append(smallest(keys & ((1 << 40) - 1), aligner.many[0] * aligner.many[1]))
+        links.append(smallest(many, many.max(initial=0)))
+    return {c: np.concatenate([f[c] for f in facts]) for c in facts[0]}, np.concatenate(counts), pairs, links
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -282,16 +294,25 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, settings: Settings = Setti
         lists = lambda bounds, values: pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
         for batch in batches:
             for at, n in cut(batch.column(1), settings.block_bytes):
-                facts, keys, links = aligned_by_parts(aligner, batch.column(1).slice(at, n), settings.align_bytes)
-                pairs, places = np.unique(keys & ((1 << 40) - 1), return_inverse=True)
-                bounds = np.searchsorted(keys >> 40, np.arange(n + 1))
+                facts, counts, parts, links = aligned_by_parts(aligner, batch.column(1).slice(at, n), settings.align_bytes)
+                pairs = np.concatenate(parts)
+                pairs.sort()
+                pairs = pairs[np.diff(pairs, prepend=pairs[:1] + 1) != 0]
+                held = np.zeros(len(pairs), np.int64)
                 null = lambda m, kind: pa.nulls(m, kind)
                 longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), batch.column(0).slice(at, n), *(pa.array(facts[c]) for c in FACTS), pa.array(facts["groups_sha256"], pa.string()), lists(bounds, places.astype(np.int32)), lists(bounds, links.astype(np.int64)), null(n, longs), null(n, longs)], STORED)
-                if many := len(pairs):
+                for first, k in cut(batch.column(1).slice(at, n), settings.align_bytes):  # as the parts were cut
+                    own, bounds = slice(first, first + k), np.append(0, np.cumsum(counts[first : first + k]))
+                    places = np.searchsorted(pairs, parts[0]).astype(np.int32)
+                    held += np.bincount(places, minlength=len(pairs))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), batch.column(0).slice(at + first, k), *(pa.array(facts[c][own]) for c in FACTS), pa.array(facts["groups_sha256"][own], pa.string()), lists(bounds, places), lists(bounds, links[0].astype(np.int64)), null(k, longs), null(k, longs)], STORED)
+                    del parts[0], links[0]
+                for first in range(0, len(pairs), LIST_ROWS * LIST_ROW):
+                    some = slice(first, first + LIST_ROWS * LIST_ROW)
+                    many = len(pairs[some])
                     rows = np.append(np.arange(0, many, LIST_ROW), many)
                     m = len(rows) - 1
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), null(m, batch.column(0).type), *(null(m, pa.int64()) for _ in FACTS), null(m, pa.string()), null(m, pa.list_(pa.int32())), null(m, longs), lists(rows, pairs), lists(rows, np.bincount(places, minlength=many))], STORED)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), null(m, batch.column(0).type), *(null(m, pa.int64()) for _ in FACTS), null(m, pa.string()), null(m, pa.list_(pa.int32())), null(m, longs), lists(rows, pairs[some].astype(np.int64)), lists(rows, held[some])], STORED)
                 block += 1
 
     facts = ", ".join(f"{c} bigint" for c in FACTS)

@@ -201,3 +201,17 @@ def test_terms_of_slices():
     texts = pa.array(["zero One", "", "two,THREE…3", "Ärger"]).slice(1)
     found, counts = ranking.terms_in(texts)
     assert found.to_pylist() == ["two", "three…3", "Ärger"] and counts.tolist() == [0, 2, 1]
+
+
+def test_a_blocks_pairs_take_few_bytes():
+    """Pairs and links of a block are held in as few bytes as they need, part by part."""
+    import numpy as np
+    import pyarrow as pa
+
+    aligner = token_alignment.aligner_of(BPE, SPM)
+    texts = pa.array(["some words here", "", "more words, and more"] * 20)
+    facts, counts, pairs, links = token_alignment.aligned_by_parts(aligner, texts, 100)
+    assert len(pairs) > 1 and {x.dtype.itemsize for x in pairs} == {4} and max(x.dtype.itemsize for x in links) == 1
+    whole, keys, many = token_alignment.aligned(aligner, texts)
+    assert np.array_equal(np.concatenate(pairs), keys & ((1 << 40) - 1)) and np.array_equal(np.concatenate(links), many)
+    assert np.array_equal(counts, np.bincount(keys >> 40, minlength=60)) and np.array_equal(facts["n_links"], whole["n_links"])
