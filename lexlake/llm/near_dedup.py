@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, text_of
+from .common import documents, materialise, take_worker, text_of
 from .graph import components
 
 
@@ -127,6 +127,7 @@ def shingled(docs: DataFrame, settings: Settings) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        take_worker("near_dedup", _words, _scratch)
         for batch in batches:
             n, classes, sigs = [], [], []
             for text in batch.column(1).cast(pa.binary()):
@@ -274,6 +275,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFra
     def run(batches):
         import pyarrow as pa
 
+        take_worker("near_dedup", _words, _scratch)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

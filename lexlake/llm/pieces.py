@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, text_of
+from .common import documents, materialise, take_worker, text_of
 
 SPACE = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
@@ -85,23 +85,39 @@ def message(parts) -> bytes:
     return b"".join(varint(n << 3 | wire) + (varint(v) if wire == 0 else varint(len(v)) + v if wire == 2 else v) for n, wire, v in parts)
 
 
-class Pieces:
-    """A vocabulary with log-probabilities, and the library's best-path search over it."""
+class Spelling:
+    """What ids spell; all that decoding needs of a vocabulary."""
 
     def __init__(self, path: str):
-        import sentencepiece
+        self.read(path)
 
+    def read(self, path: str) -> tuple:
+        """The model's fields, its pieces' and its normaliser's."""
         with open(path, "rb") as f:
             top = list(fields(f.read()))
         own = [{n: v for n, _, v in fields(v)} for n, _, v in top if n == 1]
-        self.pieces = [p[1].decode() for p in own]
-        self.kinds = [p.get(3, NORMAL) for p in own]
+        normaliser = next(({n: v for n, _, v in fields(v)} for n, _, v in top if n == 3), {})
+        names, kinds = [p[1].decode() for p in own], [p.get(3, NORMAL) for p in own]
+        self.prefix = bool(normaliser.get(3, 1))
+        self.raw = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind != NORMAL else p.replace(SPACE, " ").encode() for p, kind in zip(names, kinds)]
+        return top, own, names, kinds, normaliser
+
+    def decode(self, ids) -> str:
+        out = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
+        return out[1:] if self.prefix and out[:1] == " " else out
+
+
+class Pieces(Spelling):
+    """A vocabulary with log-probabilities, and the library's best-path search over it."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        top, own, self.pieces, self.kinds, normaliser = self.read(path)
         raw = [struct.unpack("<f", p[2])[0] if 2 in p else 0.0 for p in own]
         trainer = next(({n: v for n, _, v in fields(v)} for n, _, v in top if n == 2), {})
-        normaliser = next(({n: v for n, _, v in fields(v)} for n, _, v in top if n == 3), {})
         if normaliser.get(2) or normaliser.get(4, 1):
             raise ValueError("only models that leave characters and white space as they are")
-        self.prefix = bool(normaliser.get(3, 1))
         if trainer.get(3, UNIGRAM) == BPE:
             normal = [k for k, kind in enumerate(self.kinds) if kind == NORMAL]
             rank = {k: r for r, k in enumerate(sorted(normal, key=lambda k: -raw[k]), 2)}
@@ -126,7 +142,6 @@ class Pieces:
                 v = message([(f, w, x) for f, w, x in fields(v) if f != 3] + [(3, 0, 0)])
             rebuilt.append((n, wire, v))
         self.library = sentencepiece.SentencePieceProcessor(model_proto=message(rebuilt))
-        self.raw = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind != NORMAL else p.replace(SPACE, " ").encode() for p, kind in zip(self.pieces, self.kinds)]
         self.units: dict[str, bytes] = {}
         self.seen = bytearray(1 << 22)
 
@@ -169,10 +184,6 @@ class Pieces:
         flat = iter(self.unit_ids([u for s in split for u in s]))
         return [b"".join(next(flat) for _ in s) for s in split]
 
-    def decode(self, ids) -> str:
-        out = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
-        return out[1:] if self.prefix and out[:1] == " " else out
-
     # --- chunks
 
     def relax(self, text: str, begin: int, end: int, best, back=None):
@@ -277,13 +288,18 @@ class Pieces:
         return [k for part in reversed(out) for k in part]
 
 
-_loaded: dict[str, Pieces] = {}
+_loaded: dict[tuple[type, str], Spelling] = {}
+
+
+def loaded(kind: type, path: str):
+    take_worker("pieces", _loaded)
+    if (kind, path) not in _loaded:
+        _loaded[kind, path] = kind(path)
+    return _loaded[kind, path]
 
 
 def pieces(path: str) -> Pieces:
-    if path not in _loaded:
-        _loaded[path] = Pieces(path)
-    return _loaded[path]
+    return loaded(Pieces, path)
 
 
 def combined(a, b):
@@ -470,7 +486,7 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        model = pieces(path)
+        model = loaded(Spelling, path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

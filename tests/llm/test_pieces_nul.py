@@ -18,3 +18,15 @@ def test_nul_in_giant_texts(rows):
         assert r["chunks"] == 1 and g["chunks"] > 1 and r["decoded"] == x and g["decoded"] == x
         whole = m.library.encode(m.normalised(x))
         assert abs(m.total(np.array(r["ids"])) - m.total(np.array(whole))) < 1e-6 and abs(m.total(np.array(g["ids"])) - m.total(np.array(whole))) < 1e-6
+
+
+def test_decoding_needs_no_search(spark):
+    """A worker that decodes holds what ids spell alone, and none of another operator's caches."""
+    from lexlake.llm import common
+
+    other = {"word": 1}
+    common.take_worker("other", other)
+    light, m = pieces.loaded(pieces.Spelling, SPM), pieces.pieces(SPM)
+    assert not other and not hasattr(light, "library") and pieces.loaded(pieces.Spelling, SPM) is light
+    ids = np.frombuffer(m.encode([" a  b\n\0é漢"])[0], "<i4").tolist()
+    assert light.decode(ids) == m.decode(ids) == " a  b\n\0é漢" and light.raw == m.raw
