@@ -36,11 +36,12 @@ def votes(rows: DataFrame, event: str, member: str, option: str) -> DataFrame:
 
 def capped_children(children: DataFrame, key: str, order: list[str], columns: list[str], cap: int, name: str) -> DataFrame:
     """(key, <name>, <name>_count, <name>_truncated): the first children, their true number, and whether some are left out. No more than cap children of a key are gathered."""
-    counts = children.groupBy(key).agg(F.count("*").alias(f"{name}_count"))
+    # one shuffle and one sort for both: an item beyond the cap is counted, but null in the list, which leaves nulls out
     place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    kept = children.withColumn("_n", place).where(F.col("_n") <= cap)
-    lists = kept.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", *columns))), lambda x: F.struct(*(x[c].alias(c) for c in columns))).alias(name))
-    return lists.join(counts, key).withColumn(f"{name}_truncated", F.col(f"{name}_count") > cap)
+    item = F.when(F.col("_n") <= cap, F.struct("_n", *columns))
+    items = F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(*(x[c].alias(c) for c in columns))).alias(name)
+    rows = children.where(F.col(key).isNotNull()).withColumn("_n", place).groupBy(key)
+    return rows.agg(items, F.count("*").alias(f"{name}_count")).withColumn(f"{name}_truncated", F.col(f"{name}_count") > cap)
 
 
 def evidence_packet(bills: DataFrame, key: str, children: dict[str, tuple[DataFrame, list[str], list[str]]], caps: dict[str, int] = CAPS) -> DataFrame:

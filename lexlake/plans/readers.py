@@ -57,12 +57,12 @@ def related_rows(spark, d):
 def record_full_lists(spark, d):
     """Records with all lists that hang on them, cut to three items with their true numbers, and their places."""
     a = T.actions(spark, d).withColumnRenamed("bill_id", "id")
-    lead = T.sponsors(spark, d).select(F.col("bill_id").alias("id"), "name", (~F.col("primary")).alias("other")).distinct()
+    lead = T.sponsors(spark, d).select(F.col("bill_id").alias("id"), "name", (~F.col("primary")).alias("other")).repartition("id").distinct()  # by the record's key, as the lists are
     lists = {
         "versions": (a.where("kind like '%F'"), ["day", "place"], ["day", "place"]), "actions": (a, ["place", "part_id", "sponsor_id"], ["place", "part_id", "sponsor_id"]),
         "sponsors": (lead, ["other", "name"], ["name"]), "votes": (a.where("kind like 'R%'"), ["sponsor_id", "place"], ["sponsor_id", "place"]),
         "documents": (a.where("kind like '%O'"), ["part_id", "day"], ["part_id", "day"]), "related": (related_rows(spark, d), ["relation", "target_id"], ["relation", "target_id"]),
-        "subjects": (T.subjects(spark, d).withColumnRenamed("bill_id", "id").distinct(), ["subject"], ["subject"]),
+        "subjects": (T.subjects(spark, d).withColumnRenamed("bill_id", "id").repartition("id").distinct(), ["subject"], ["subject"]),
     }
     places = T.jurisdictions(spark, d).where("jurisdiction_id <> 3")
     out = detail.full_record(T.bills(spark, d).select("id", "jurisdiction_id"), "id", lists, places, "jurisdiction_id", 3)
