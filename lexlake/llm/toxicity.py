@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, labels, text_of
+from .common import documents, labels, materialise, text_of
 
 #: Terms that name a group of people; those of one line are swapped for each other (fixed values).
 IDENTITY_GROUPS = (
@@ -75,14 +75,14 @@ SWAPS = {term: group[(k + 1) % len(group)] for group in IDENTITY_GROUPS for k, t
 
 
 def training_rows(docs: DataFrame, marks: DataFrame, settings: Settings, keep=None) -> DataFrame:
-    """(toxic, features, swap): buckets of each distinct token, and those that swapping all identity terms takes away or adds, as sign * (bucket + 1)."""
+    """(toxic, features, swap, part): buckets of each distinct token, those that swapping all identity terms takes away or adds, as sign * (bucket + 1), and a hash of the row."""
     marks = marks.where("doc_id is not null and toxic is not null")
     marks = marks.where(keep) if keep is not None else marks
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = marks.count()
     share = min(1.0, settings.max_rows / max(total, 1))
     chosen = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))  # about max_rows small rows
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text", F.hash("doc_id", "text").alias("part"))
     bits = settings.bits
 
     def run(batches):
@@ -95,57 +95,70 @@ def training_rows(docs: DataFrame, marks: DataFrame, settings: Settings, keep=No
                 plain.append([f for t in tokens for f in word_features(t, bits)])
                 pairs = [(t, s) for t in tokens if (s := swapped(t))]
                 swap.append([-f - 1 for t, _ in pairs for f in word_features(t, bits)] + [f + 1 for _, s in pairs for f in word_features(s, bits)])
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(plain, pa.list_(pa.int32())), pa.array(swap, pa.list_(pa.int32()))], ["toxic", "features", "swap"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(plain, pa.list_(pa.int32())), pa.array(swap, pa.list_(pa.int32())), batch.column(2)], ["toxic", "features", "swap", "part"])
 
-    return rows.mapInArrow(run, "toxic int, features array<int>, swap array<int>")
+    return rows.mapInArrow(run, "toxic int, features array<int>, swap array<int>, part int")
 
 
-#: Features of one pass of the fit.
-PART = 1 << 20
+#: Features of one pass of the fit, and about so many that the driver takes from the executors at once; they bound its memory.
+PART, FETCH = 1 << 20, 1 << 21
+
+
+def fetched(rows: DataFrame):
+    """The training rows as pyarrow tables of about FETCH features."""
+    rows = materialise(rows, "toxicity-rows")
+    n = max(1, -(-(rows.agg(F.sum(F.size("features") + F.size("swap"))).first()[0] or 0) // FETCH))
+    for k in range(n):
+        yield rows.where(F.pmod("part", F.lit(n)) == k).select("toxic", "features", "swap").toArrow()
 
 
 class Lists:
-    """Lists of buckets, one behind another: list k is values[starts[k] : starts[k + 1]]."""
-
-    def __init__(self, columns, keep=None):
-        """columns: Arrow arrays of lists. keep: which buckets stay."""
-        parts, lengths = [], []
-        for c in columns:
-            values, n = np.asarray(c.flatten()), np.asarray(c.value_lengths())
-            if keep is not None:
-                held = keep[values]
-                ends = np.append(0, np.cumsum(held))
-                at = np.append(0, np.cumsum(n))
-                values, n = values[held], np.diff(ends[at])
-            parts.append(values)
-            lengths.append(n)
-        self.values = np.concatenate(parts) if parts else np.empty(0, np.int32)
-        self.starts = np.append(0, np.cumsum(np.concatenate(lengths))) if lengths else np.zeros(1, np.int64)
+    """Lists of buckets, in the runs that they came in. A run has its values, one list behind another, and its lists' lengths."""
 
-    def passes(self):
-        """(first list, end, values, place of each value's list from the first) of runs of lists with about PART values."""
-        at, n = 0, len(self.starts) - 1
-        while at < n:
-            end = min(n, max(at + 1, int(np.searchsorted(self.starts, self.starts[at] + PART, "right")) - 1))
-            yield at, end, self.values[self.starts[at] : self.starts[end]], np.repeat(np.arange(end - at), np.diff(self.starts[at : end + 1]))
-            at = end
+    def __init__(self):
+        self.runs = []
 
+    def add(self, column) -> None:
+        """column: an Arrow array of lists."""
+        self.runs.append((np.array(column.flatten(), np.int32), np.array(column.value_lengths(), np.int64)))
 
-def fit(rows, settings: Settings) -> Model:
-    """Accelerated proximal gradient over the bounded sample. rows: a pyarrow table of training_rows."""
-    size, y = 1 << settings.bits, np.asarray(rows["toxic"]).astype(float)
+    def keep(self, held) -> None:
+        """Drops the buckets that aren't held, run by run, so that the values are never there twice."""
+        for k, (values, n) in enumerate(self.runs):
+            own = held[values]
+            self.runs[k] = values[own], np.diff(np.append(0, np.cumsum(own))[np.append(0, np.cumsum(n))])
+
+    def passes(self):
+        """(first list, end, values, place of each value's list from the first) of some of a run's lists with about PART values."""
+        first = 0
+        for run, lengths in self.runs:
+            starts, at = np.append(0, np.cumsum(lengths)), 0
+            while at < len(lengths):
+                end = min(len(lengths), max(at + 1, int(np.searchsorted(starts, starts[at] + PART, "right")) - 1))
+                yield first + at, first + end, run[starts[at] : starts[end]], np.repeat(np.arange(end - at), lengths[at:end])
+                at = end
+            first += len(lengths)
+
+
+def fit(tables, settings: Settings) -> Model:
+    """Accelerated proximal gradient over the bounded sample. tables: pyarrow tables of training_rows, one at a time."""
+    size = 1 << settings.bits
+    features, swap, marks, in_documents = Lists(), Lists(), [], np.zeros(size, np.int64)
+    for table in tables:
+        marks.append(np.asarray(table["toxic"]).astype(float))
+        features.add(table["features"].combine_chunks())
+        swap.add(table["swap"].combine_chunks())
+        del table
+    y = np.concatenate(marks)
     if not len(y):
         return Model(np.zeros(size, np.float32), -np.inf, settings.bits)
-    swap = Lists(rows["swap"].chunks)
     # buckets of few documents say nothing that carries over
-    in_documents = np.zeros(size, np.int64)
-    for c in rows["features"].chunks:
-        for _, _, values, of in Lists([c]).passes():
-            in_documents += np.bincount(np.unique(of * size + values) % size, minlength=size)
-    features = Lists(rows["features"].chunks, in_documents >= settings.least_documents)
-    del rows
-    sign, s = np.sign(swap.values), np.abs(swap.values) - 1
-    of = np.repeat(np.arange(len(y)), np.diff(swap.starts))
+    for _, _, values, of in features.passes():
+        in_documents += np.bincount(np.unique(of * size + values) % size, minlength=size)
+    features.keep(in_documents >= settings.least_documents)
+    swaps_of, swap_lengths = (np.concatenate(x) for x in zip(*swap.runs))
+    sign, s = np.sign(swaps_of), np.abs(swaps_of) - 1
+    of = np.repeat(np.arange(len(y)), swap_lengths)
     swaps = max(len(np.unique(of)), 1)
     w, v, momentum = np.zeros(size), np.zeros(size), 1.0
     bias = bias_v = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
@@ -182,7 +195,7 @@ def fit(rows, settings: Settings) -> Model:
 
 def train(docs: DataFrame, marks: DataFrame, settings: Settings = Settings(), keep=None) -> Model:
     """keep: a condition on the rows of marks that may teach."""
-    return fit(training_rows(docs, marks, settings, keep).toArrow(), settings)
+    return fit(fetched(training_rows(docs, marks, settings, keep)), settings)
 
 
 _weights: dict[str, dict[str, float]] = {}

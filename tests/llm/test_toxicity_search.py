@@ -54,6 +54,20 @@ def test_fit_and_scores(rows):
         assert abs(got[i] - 1 / (1 + math.exp(-total))) < 1e-6
 
 
+def test_driver_takes_rows_part_by_part(rows, monkeypatch):
+    monkeypatch.setattr(toxicity, "FETCH", 400)
+    r = random.Random(3)
+    texts = rows("doc_id bigint, text string", *((k, " ".join(f"word{r.randrange(40)}" for _ in range(20)) if k % 7 else None) for k in range(60)))
+    marks = rows("doc_id bigint, toxic int", *((k, k % 2) for k in range(60)))
+    settings = toxicity.Settings(bits=10)
+    tables = list(toxicity.fetched(toxicity.training_rows(texts, marks, settings)))
+    assert len(tables) > 3 and sum(t.num_rows for t in tables) == 60 and max(t.num_rows for t in tables) < 30
+    parts = toxicity.train(texts, marks, settings)
+    monkeypatch.setattr(toxicity, "FETCH", 1 << 30)
+    whole = toxicity.train(texts, marks, settings)
+    assert np.abs(whole.weights).max() > 0.1 and np.abs(parts.weights - whole.weights).max() < 1e-6 and abs(parts.bias - whole.bias) < 1e-6
+
+
 def test_names(rows):
     df = rows("doc_id bigint, text string, score string", (1, "a", "own"))
     model = toxicity.train(df, rows("doc_id bigint, toxic int"))
