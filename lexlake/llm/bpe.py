@@ -27,10 +27,14 @@ class WordEncoder:
 
     def __init__(self, path: str, literal: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = literal
+        vocabulary = self.tokenizer.get_vocab()
+        self.leads = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.leads[[k for token, k in vocabulary.items() if token.startswith("\u0120")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -48,13 +52,15 @@ class WordEncoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def ids_of(self, words: list[str]) -> tuple:
-        """(ids, number of ids of each). Words hold no newline, so one call with newlines between them serves all."""
+        """(ids, number of ids of each). One call serves all: a word that a blank leads begins with an id that has the blank, another one gets a newline before it."""
         import numpy as np
 
-        ids = self.whole("\n".join(words))
-        ends = np.append(np.flatnonzero(ids == NEWLINE_ID), len(ids))
-        if len(ends) == len(words):
-            return ids[ids != NEWLINE_ID], np.diff(ends, prepend=-1) - 1
+        bare = [w[:1] != " " for w in words]
+        ids = self.whole("".join(["\n" + w if b else w for w, b in zip(words, bare)]))
+        newline = ids == NEWLINE_ID
+        begins = np.flatnonzero(newline | self.leads[ids])
+        if np.array_equal(newline[begins], bare):
+            return ids[~newline], np.diff(begins, append=len(ids)) - newline[begins]
         parts = [self.whole(w) for w in words]
         return np.concatenate(parts), np.array([len(x) for x in parts])
 
@@ -84,7 +90,7 @@ class WordEncoder:
         self.used = int(self.starts[kept - 1] + self.counts[kept - 1])
         rows = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(rows < 0)
-        marks = np.fromiter((hash(words[k]) for k in new), np.int64, len(new)) & (SEEN - 1)
+        marks = np.fromiter(map(hash, map(words.__getitem__, new.tolist())), np.int64, len(new)) & (SEEN - 1)
         again = self.seen[marks]
         self.seen[marks] = True
         new = np.concatenate([new[again], new[~again]])
@@ -102,7 +108,7 @@ class WordEncoder:
         cut = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0")
         lists = pc.split_pattern(cut, "\0")
         numbered = lists.flatten().dictionary_encode()
-        rows = self.rows_of(numbered.dictionary.to_pylist())[np.asarray(numbered.indices)]
+        rows = self.rows_of(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())[np.asarray(numbered.indices)]
         counts = self.counts[rows]
         ends = np.cumsum(counts, dtype=np.int32)
         at = np.repeat((self.starts[rows] - (ends - counts)).astype(np.int32), counts)

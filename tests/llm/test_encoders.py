@@ -40,3 +40,16 @@ def test_white_space_as_the_library_has_it():
             at += n
         assert at == len(texts)
         bpe.SLICE_BYTES = 1000
+
+
+def test_new_words_go_to_the_library_without_newlines(monkeypatch):
+    """Words that a blank leads need nothing between them; a newline before each was a word more for the library."""
+    import pyarrow as pa
+
+    e, calls = bpe.WordEncoder(BPE), []
+    real = e.whole
+    monkeypatch.setattr(e, "whole", lambda text: calls.append(text) or real(text))
+    texts = ["Start don't it's 12,5 x-y Ünïcode\nSecond 日本 (a) \u0120b c\u0120", "one", "a\nb c"]
+    (_, _, ids, counts), = e.slices(pa.array(texts))
+    assert ids.tolist() == [k for x in texts for k in real(x).tolist()] and counts.tolist() == [len(real(x)) for x in texts]
+    assert len(calls) == 1 and calls[0].count("\n") == 5
