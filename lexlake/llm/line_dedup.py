@@ -45,8 +45,8 @@ class Settings:
         return f"cast(floor(greatest({a}, {b}) * {1 - self.similarity:.9f} + 1e-9) as int)"
 
 
-#: Lines of a tile of a block; the least lines of a block that has pairs beyond the first candidates.
-TILE, CROWD = 512, 4
+#: Lines of a tile of a block, few enough for its pairs to be a small part of a task's; the least lines of a block that has pairs beyond the first candidates.
+TILE, CROWD = 128, 4
 #: What parts a line's words (fixed value).
 BETWEEN_WORDS = "[^\\\\p{L}\\\\p{N}]+"
 
@@ -91,14 +91,17 @@ def links_left(blocks: DataFrame, groups: DataFrame, texts: DataFrame, settings:
     unsettled = rows.groupBy("block").agg(F.count("*").alias("many"), F.min("g").alias("g_1"), F.max("g").alias("g_2")).where(f"many >= {CROWD} and g_1 < g_2")
     rows = rows.join(unsettled.select("block"), "block", "left_semi").withColumn("tile", F.expr(f"(place - 1) div {TILE}"))
     own = rows.groupBy("line").agg(F.collect_set("block").alias("blocks"))
+    texts = texts.withColumn("words", F.expr("transform(array_distinct(split(codes, '')), c -> ascii(c))"))
     rows = materialise(rows.join(own, "line").join(texts, "line"), "line-crowds")
     tiles = rows.groupBy("block", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     ij = tiles.select("block", F.col("tile").alias("i"), F.col("hi").alias("n")).join(tiles.select("block", F.col("tile").alias("j"), F.col("lo").alias("m")), "block").where(f"i <= j and m - n <= {settings.most('n', 'm')}").select("block", "i", "j")
     many = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number is kept: few bytes are much work here
-    a, b = (rows.select("block", F.col("tile").alias(t), *(F.col(c).alias(f"{c}_{x}") for c in ("place", "g", "n", "blocks", "codes", "norm"))).join(ij, ["block", t]).repartition(many, "block", "i", "j") for x, t in (("a", "i"), ("b", "j")))
+    a, b = (rows.select("block", F.col("tile").alias(t), *(F.col(c).alias(f"{c}_{x}") for c in ("place", "g", "n", "blocks", "words", "codes", "norm"))).join(ij, ["block", t]).repartition(many, "block", "i", "j") for x, t in (("a", "i"), ("b", "j")))
     words = "greatest(length(codes_a), length(codes_b))"
     by_words = lambda most: f"levenshtein(codes_a, codes_b, {most}) >= 0"
-    near = f"{by_words(f'cast({words} * 2 div 5 as int)')} and ({by_words(settings.most('length(codes_a)', 'length(codes_b)'))} or levenshtein(norm_a, norm_b, {settings.most('n_a', 'n_b')}) >= 0)"
+    # a distinct word that the other line lacks is an edit; counting those takes far less than the edits themselves
+    may = f"greatest(size(words_a), size(words_b)) - size(array_intersect(words_a, words_b)) <= {words} * 2 div 5"
+    near = f"{may} and {by_words(f'cast({words} * 2 div 5 as int)')} and ({by_words(settings.most('length(codes_a)', 'length(codes_b)'))} or levenshtein(norm_a, norm_b, {settings.most('n_a', 'n_b')}) >= 0)"
     same = " and ".join(f"a.{c} = b.{c}" for c in ("block", "i", "j"))
     once = "a.block = array_min(array_intersect(blocks_a, blocks_b))"  # two lines share up to all blocks of their sketches
     met = a.alias("a").join(b.alias("b"), F.expr(f"{same} and place_a < place_b and g_a != g_b and abs(n_a - n_b) <= {settings.most('n_a', 'n_b')} and {once} and {near}"))

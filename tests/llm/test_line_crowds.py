@@ -65,3 +65,21 @@ def test_two_lines_are_compared_once(spark, rows, monkeypatch):
     assert crowds.where(F.size("blocks") == 15).count() == 90
     plan = met._jdf.queryExecution().optimizedPlan().toString()
     assert "array_min(array_intersect(" in plan and plan.index("array_min(") < plan.index("levenshtein(")
+
+
+def test_lines_of_other_words_are_told_before_edits_are_counted(spark, rows, monkeypatch):
+    """Distinct words that only one line has bound the edits of words, so most unlike lines of a block need no count of edits; no link is lost by it."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    lines = [[word() for _ in range(20)] for _ in range(3)]
+    for k in range(3):  # 4, 8 and 9 of 20 words are others; repeated words
+        lines += [lines[k][:at] + [word() for _ in range(n)] + lines[k][at + n :] for at, n in ((3, 4), (5, 8), (6, 9))] + [lines[k][:10] + lines[k][:10]]
+    norms = [" ".join(x) for x in lines]
+    texts = rows("line bigint, norm string", *enumerate(norms)).selectExpr("line", "norm", f"{line_dedup.word_codes('norm')} as codes")
+    order = sorted(range(len(norms)), key=lambda k: (len(norms[k]), k))
+    blocks = rows("block bigint, line bigint, n int, place int", *((1, k, len(norms[k]), place) for place, k in enumerate(order, 1)))
+    met = line_dedup.links_left(blocks, rows("node bigint, component bigint", (99, 99)), texts, SETTINGS)
+    want = {(a, b) for b in range(len(norms)) for a in range(b) if near(norms[a], norms[b])}
+    assert len(want) >= 3 and {(x["a"], x["b"]) for x in met.collect()} == want
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("array_intersect(words") < plan.index("levenshtein(")
