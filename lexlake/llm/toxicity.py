@@ -101,7 +101,7 @@ def training_rows(docs: DataFrame, marks: DataFrame, settings: Settings, keep=No
 
 
 #: Features of one pass of the fit, and about so many that the driver takes from the executors at once; they bound its memory.
-PART, FETCH = 1 << 20, 1 << 21
+PART, FETCH = 1 << 20, 1 << 22
 
 
 def fetched(rows: DataFrame):
