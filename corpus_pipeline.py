@@ -38,7 +38,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    rows = pieces.decode(pieces.encode(docs, path), path)
+    rows = pieces.encode(docs, path, decoded=True)
     return rows.select("doc_id", "lang", "source", "n_chars", F.size("ids").alias("n_ids"), "ids", F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 

@@ -328,8 +328,8 @@ def chained(maps: list):
 # --- Spark
 
 
-def encode_short(docs: DataFrame, path: str) -> DataFrame:
-    """docs with ids: each text in one piece."""
+def encode_short(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
+    """docs with ids: each text in one piece. With `decoded`, the same worker decodes them."""
 
     def run(batches):
         import numpy as np
@@ -342,10 +342,11 @@ def encode_short(docs: DataFrame, path: str) -> DataFrame:
                 ids = model.encode([x or "" for x in part.column(part.schema.get_field_index("text")).to_pylist()])
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype("<i4")
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "ids"])
+                texts = [pa.array([model.decode(np.frombuffer(x, "<i4").tolist()) for x in ids], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, *texts], [*part.schema.names, "ids", *["decoded"] * decoded])
 
     fields_ = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields_}, ids array<int>")
+    return docs.mapInArrow(run, f"{fields_}, ids array<int>" + ", decoded string" * decoded)
 
 
 def giant_ids(texts: DataFrame, path: str, settings: Settings) -> DataFrame:
@@ -469,15 +470,20 @@ def giant_ids(texts: DataFrame, path: str, settings: Settings) -> DataFrame:
     return parts.groupBy("uid").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda p: p["ids"])).alias("ids"), F.count("*").cast("int").alias("chunks"))
 
 
-def encode(docs: DataFrame, path: str, settings: Settings = Settings()) -> DataFrame:
-    """docs with ids (of null and empty texts: none) and chunks, the number of parts in which the text was encoded."""
-    docs = docs.drop("ids", "chunks")
+def encode(docs: DataFrame, path: str, settings: Settings = Settings(), decoded: bool = False) -> DataFrame:
+    """docs with ids (of null and empty texts: none) and chunks, the number of parts in which the text was encoded.
+
+    With `decoded` also as decode() has it; a short text is then encoded and decoded by one worker, where two operations
+    in a row would have two at once for each task.
+    """
+    docs = docs.drop("ids", "chunks", *["decoded"] * decoded)
     long = F.length(text_of()) > settings.giant
-    short = encode_short(docs.where(~long), path).withColumn("chunks", F.lit(1))
+    short = encode_short(docs.where(~long), path, decoded).withColumn("chunks", F.lit(1))
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     giants = materialise(docs.where(long).select(F.monotonically_increasing_id().alias("uid"), whole), "giants")
     found = giant_ids(giants.select("uid", "row.text"), path, settings)
-    return short.unionByName(giants.join(found, "uid").select("row.*", "ids", "chunks"))
+    giants = giants.join(found, "uid").select("row.*", "ids", "chunks")
+    return short.unionByName(decode(giants, path) if decoded else giants)
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -503,5 +509,5 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    rows = decode(encode(documents(spark, sf_dir).select("doc_id", "text"), path), path)
+    rows = encode(documents(spark, sf_dir).select("doc_id", "text"), path, decoded=True)
     return rows.select("doc_id", F.size("ids").alias("n_ids"), "chunks", "ids", (F.col("decoded") == text_of()).alias("round_trip"))
